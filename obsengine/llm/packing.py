@@ -12,6 +12,7 @@ the plan has at most about `3 * capacity * log2(capacity)` runs. Rows find their
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,41 +26,72 @@ from pyspark.sql.window import Window
 
 from .common import durable
 
-CACHED = 400_000
+CACHED = 800_000
 SPLITS_ONLY_IN_PYTHON = ("\x1c", "\x1d", "\x1e", "\x1f")
-_kept: dict[str, tuple[object, dict[str, bytes]]] = {}
+#: ASCII signs that form one pre-token however many stand together; an apostrophe may begin another.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_kept: dict[str, tuple[object, object, dict[str, bytes]]] = {}
 
 
-def _tokenizer(path: str) -> tuple[object, dict[str, bytes]]:
+def _tokenizer(path: str) -> tuple[object, object, dict[str, bytes]]:
     if path not in _kept:
         from tokenizers import Tokenizer
 
-        _kept[path] = Tokenizer.from_file(path), {}
+        tokenizer = Tokenizer.from_file(path)
+        _kept[path] = tokenizer, tokenizer.model, {}
     return _kept[path]
 
 
+def _byte_signs() -> dict[int, int]:
+    """The byte-level alphabet: bytes that print stand for themselves, the rest for the code points from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+BYTE_SIGNS = _byte_signs()
+
+
+def _raw(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each whole text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer cuts at white space first, so what lies between is encoded once and kept. A text with a special
-    token's string or a separator that only Python takes for white space is encoded as it is.
+    The tokenizer cuts at white space first, so what lies between is encoded once and kept. Letters of Latin-1 with
+    signs after them are two pre-tokens, which go to the tokenizer's model alone; other strings go through all of it.
+    A text with a special token's string or a separator that only Python takes for white space is encoded as it is.
     """
-    tokenizer, kept = _tokenizer(path)
+    tokenizer, model, kept = _tokenizer(path)
     apart = (*SPLITS_ONLY_IN_PYTHON, *(t.content for t in tokenizer.get_added_tokens_decoder().values()))
     odd = [any(s in t for s in apart) for t in texts]
     words = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
     if len(kept) > CACHED:
         kept.clear()
-    new = list(set().union(*words) - kept.keys())
-    if new:
-        e = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+
+    def alone(pre_token: str) -> bytes:
+        raw = kept.get(pre_token)
+        if raw is None:
+            signs = pre_token if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(BYTE_SIGNS)
+            raw = kept[pre_token] = _raw([t.id for t in model.tokenize(signs)])
+        return raw
+
+    rest = []
+    for w in set().union(*words) - kept.keys():
+        stem = w.rstrip(SIGNS)
+        if stem.isalpha() and max(stem) < "\u0100":
+            kept[w] = alone(stem.lower()) + alone(w[len(stem) :]) if len(stem) < len(w) else alone(stem.lower())
+        else:
+            rest.append(w)
+    if rest:
+        e = tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
         of = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-        ids = np.array(e.ids, "<u4")
-        cut = np.searchsorted(of, np.arange(len(new) + 1))
-        raw = ids.tobytes()
-        kept.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(new, cut.tolist(), cut[1:].tolist(), strict=False))
+        raw = np.array(e.ids, "<u4").tobytes()
+        cut = np.searchsorted(of, np.arange(len(rest) + 1)).tolist()
+        kept.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(rest, cut, cut[1:], strict=False))
     get = kept.__getitem__
-    return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else b"".join(map(get, w)) for t, w, o in zip(texts, words, odd, strict=True)]
+    return [_raw(tokenizer.encode(t, add_special_tokens=False).ids) if o else b"".join(map(get, w)) for t, w, o in zip(texts, words, odd, strict=True)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
