@@ -20,6 +20,7 @@ from .common import durable, seeded
 
 SEP = "\x1f"
 RANK_BITS = 60
+MOST_SENT = 50_000  # leaves whose plan, some 100 bytes each, is sent to all tasks
 
 
 def words(text: str = "text") -> Column:
@@ -96,7 +97,8 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[st
     cut = placed.where("before < rest").groupBy("_mix_leaf").agg(F.max(F.struct("place", "before")).alias("c"))
     plan = given.join(cut.select(F.col("_mix_leaf").alias("_leaf"), F.col("c.place").alias("_mix_cut"), F.col("c.before").alias("_mix_before")), F.col("_mix_leaf") == F.col("_leaf"), "left")
     plan = durable(plan.select(F.col("_mix_leaf").alias("_mix_of"), F.col("whole").alias("_mix_whole"), F.col("rest").alias("_mix_rest"), F.col("mask").alias("_mix_mask"), "_mix_cut", "_mix_before"))
-    drawn = rows.join(plan, F.col("_mix_leaf") == F.col("_mix_of"))
+    small = plan.limit(MOST_SENT + 1).count() <= MOST_SENT  # beyond it the rows are shuffled to their leaves' plans
+    drawn = rows.join(F.broadcast(plan) if small else plan, F.col("_mix_leaf") == F.col("_mix_of"))
     drawn = drawn.withColumn("_mix_order", F.col("_mix_rank").bitwiseXOR(F.col("_mix_mask"))).withColumn("_mix_place", F.shiftright("_mix_order", RANK_BITS - bits))
     part = F.when(F.col("_mix_place") < F.col("_mix_cut"), 2).when(F.col("_mix_place") == F.col("_mix_cut"), 1).otherwise(0)
     kept = docs.columns
