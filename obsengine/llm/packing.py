@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import durable
 
-CACHED = 800_000
+CACHED = 500_000
 SPLITS_ONLY_IN_PYTHON = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: ASCII signs that form one pre-token however many stand together; an apostrophe may begin another.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
