@@ -24,6 +24,7 @@ MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 READ_AT_ONCE = 1 << 20
 MOST_HEADER = 1 << 16
+MOST_TASKS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
@@ -177,7 +178,9 @@ def read(spark: SparkSession, path: str, split_bytes: int = 8 << 20) -> DataFram
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return splits(spark, path, split_bytes).repartition("path", "start").mapInArrow(run, SCHEMA)
+    ranges = splits(spark, path, split_bytes)
+    tasks = max(1, min(ranges.count(), MOST_TASKS))  # a given number, else small rows of large ranges meet in one task
+    return ranges.repartition(tasks).mapInArrow(run, SCHEMA)
 
 
 def digest_columns(records: DataFrame) -> list[Column]:
