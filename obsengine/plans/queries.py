@@ -550,6 +550,9 @@ def k1_rmse(spark, sf_dir):
     return metrics.rmse(rows, ["unit"])
 
 
+from . import more  # noqa: E402, F401  adds its queries to these
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in QUERIES.items()}
 
