@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df` computed once: in the shared checkpoint folder if the session has one, else cached (and computed anew if lost)."""
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    return df.persist()
+
+
 def seeded_rank(seed: int, *parts: Column | str) -> Column:
     """A digest of the seed and the length-prefixed parts, a total order that depends on values alone."""
     texts = [F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]]
@@ -36,6 +43,7 @@ def running(df: DataFrame, order: str, sums: Mapping[str, str], descending: bool
     `order` must be a number and differ between the rows of a group `by`. Rows are dealt to ranges of about equal
     counts, each range's total is added to those after it, and only a range is summed row by row in one task.
     """
+    df = kept(df)
     bounds = sorted(set(df.stat.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.005)))
     if not bounds:
         rows = df.withColumn("_range", F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordering import running
+from ..functions.ordering import kept, running
 
 
 def remaining_life(windows: DataFrame, failures: DataFrame, ceiling: float) -> DataFrame:
@@ -60,6 +60,7 @@ def event_weights(predictions: DataFrame, event: str = "event") -> DataFrame:
 
 def event_recall_at(predictions: DataFrame, share: float, event: str = "event", score: str = "score") -> DataFrame:
     """K6: events found when the alarm is as low as a share of normal windows allows, equal scores taken whole."""
+    predictions = kept(predictions)
     g = running(score_groups(predictions, event, score), "score", {"m": "misses"}, descending=True)
     normal = g.agg(F.sum("misses")).first()[0] or 0.0
     low = g.where(F.col("m") <= share * normal).agg(F.min("score").alias("alarm"))
