@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, mixing, neighbours, packing, simhash, sketch, tokens, toxicity, warc
+from . import chat, html, mixing, neighbours, oracle, packing, simhash, sketch, tokens, toxicity, warc
 from .common import shared_dir, table
 
 CAPACITY = 4096
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat": oracle.chat_sql(), "op9_mixing": oracle.mixing_sql(DOMAINS, WEIGHTS, 3, 42)}
