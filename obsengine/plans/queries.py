@@ -550,7 +550,7 @@ def k1_rmse(spark, sf_dir):
     return metrics.rmse(rows, ["unit"])
 
 
-from . import layouts, learning, more, rules  # noqa: E402, F401  add their queries to these
+from . import groups, layouts, learning, more, rules  # noqa: E402, F401  add their queries to these
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

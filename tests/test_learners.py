@@ -51,3 +51,23 @@ def test_refusals(spark):
 def test_verdicts(spark):
     rows = spark.createDataFrame([(1.0, 0.0, 0.2, 0.3), (1.0, 0.0, 0.01, 0.3), (1.0, 0.0, 0.01, 0.02), (1.0, 0.0, -0.3, -0.1), (1.0, None, -0.3, 0.3), (1.0, 0.0, -0.01, 0.01)], "error double, spread double, low double, high double")
     assert [r["verdict"] for r in layouts.verdict(rows, 0.05).collect()] == ["confirmed", "distinguishable", "practically nil", "worse", "indistinguishable", "practically nil"]
+
+
+def test_whitened_and_subspace_distances(spark):
+    from obsengine.operators import covariance
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    n, d = x.shape
+    c = x - x.mean(0)
+    s = c.T @ c / n
+    level = np.trace(s) / d
+    away = ((s - level * np.eye(d)) ** 2).sum() / d
+    noise = sum(((np.outer(v, v) - s) ** 2).sum() for v in c) / n**2 / d
+    cov = s + min(noise, away) / away * (level * np.eye(d) - s)
+    want = np.einsum("ij,jk,ik->i", c, np.linalg.inv(cov), c)
+    got = covariance.whitened_distance(rows, "v", 4).orderBy("id").collect()
+    assert [r["distance"] for r in got] == pytest.approx(list(want))
+    parts = covariance.subspace_distance(rows, "v", 4, share=1.0).agg(F.max("outside"), F.median("within")).first()
+    assert parts[0] == pytest.approx(0, abs=1e-6) and parts[1] == pytest.approx(float(np.median(want)))
