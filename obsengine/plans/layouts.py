@@ -105,7 +105,7 @@ def u2_window_regime(spark, sf_dir):
     return layouts.window_regime(tokens(spark, sf_dir), len(CHANNELS))
 
 
-@query(f"WITH {OBS}, {HOURLY}, d AS (SELECT *, CASE WHEN lag(hour) OVER w = hour - 1 THEN mean - lag(mean) OVER w END AS change FROM hourly WINDOW w AS (PARTITION BY unit, channel ORDER BY hour)), fl AS (SELECT channel, hour, avg(change) AS fleet FROM d WHERE change IS NOT NULL GROUP BY ALL) SELECT channel, count(*) AS changes, {r('corr(change, fleet)', 'correlation')} FROM d JOIN fl USING (channel, hour) WHERE change IS NOT NULL GROUP BY channel")
+@query(f"WITH {OBS}, {HOURLY}, d AS (SELECT *, CASE WHEN lag(hour) OVER w = hour - 1 THEN mean - lag(mean) OVER w END AS change FROM hourly WINDOW w AS (PARTITION BY unit, channel ORDER BY hour)), fl AS (SELECT channel, hour, avg(change) AS fleet FROM d WHERE change IS NOT NULL GROUP BY ALL) SELECT channel, count(*) AS changes, {r('CASE WHEN count(*) > 1 THEN corr(change, fleet) END', 'correlation')} FROM d JOIN fl USING (channel, hour) WHERE change IS NOT NULL GROUP BY channel")
 def u9_fleet_correlations(spark, sf_dir):
     return layouts.fleet_correlations(hourly(spark, sf_dir))
 
