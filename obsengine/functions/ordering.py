@@ -58,3 +58,17 @@ def running(df: DataFrame, order: str, sums: Mapping[str, str], descending: bool
     inside = Window.partitionBy(*by, "_range").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(starts, [*by, "_range"])
     return out.withColumns({to: F.sum(c).over(inside) + F.col(f"_b_{to}") for to, c in sums.items()}).drop("_range", *[f"_b_{to}" for to in sums])
+
+
+def sorted_position(df: DataFrame, order: Sequence[Column | str], to: str = "place", ranges: int = 64) -> DataFrame:
+    """`df` with its place from 1 by a total order of columns of any kind, ties between whole rows in any order.
+
+    Rows are dealt to ranges of the whole order, so that many rows of one value are spread too; the ranges' sizes are
+    added up and rows are numbered inside their range only.
+    """
+    rows = kept(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn("_row", inside).join(F.broadcast(starts), "_range").withColumn(to, (F.col("_row") + F.col("_before")).cast("long")).drop("_range", "_row", "_before")

@@ -48,3 +48,22 @@ def channel_pairs(df: DataFrame, width: float = 1.0) -> DataFrame:
 def repeated_instants(df: DataFrame) -> DataFrame:
     """How many rows an instant of a unit and channel stands on, and how many instants that is."""
     return df.groupBy("unit", "channel", "time").agg(F.count(F.lit(1)).alias("rows")).groupBy("rows").agg(F.count(F.lit(1)).alias("instants"))
+
+
+def location_summary(results: DataFrame, least: int) -> DataFrame:
+    """Of each location its results and, for its most frequent organisation (ties by name), the share, finite
+    readings, those with a date only, those timed without a known zone, and whether at least `least` readings are kept.
+
+    `results`: `(location, organisation, value, dated_only, unzoned)`.
+    """
+    readable = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    each = results.groupBy("location", "organisation").agg(F.count(F.lit(1)).alias("n"), F.count_if(readable).alias("readings"), F.count_if(readable & F.col("dated_only")).alias("dated_only"), F.count_if(readable & F.col("unzoned")).alias("unzoned"))
+    most = F.min(F.struct((-F.col("n")).alias("n"), "organisation", "readings", "dated_only", "unzoned")).alias("o")
+    rows = each.groupBy("location").agg(F.sum("n").alias("results"), most)
+    return rows.select("location", "results", "o.organisation", (-F.col("o.n") / F.col("results")).alias("organisation_share"), "o.readings", "o.dated_only", "o.unzoned", (F.col("o.readings") >= least).alias("kept"))
+
+
+def monthly_regime(readings: DataFrame, origin: str) -> DataFrame:
+    """The sampling regime (U1) of each calendar month of all units together; times are hours from `origin`."""
+    at = F.timestamp_add("HOUR", F.floor("time").cast("int"), F.lit(origin).cast("timestamp_ntz"))
+    return unit_regime(readings.withColumn("unit", F.date_format(at, "yyyy-MM")).select("unit", "channel", "time", "value"))
