@@ -22,6 +22,28 @@ def windows_before(windows: DataFrame, count: int, length: float) -> DataFrame:
     return best.select("unit", "position", "k", "b.before", "b.ends")
 
 
+def join_history(cells: DataFrame, windows: DataFrame, count: int, length: float, bins: int) -> DataFrame:
+    """Each window's cells and those of the `count - 1` windows before it on one axis of `count * bins` bins.
+
+    A place whose window doesn't end within 1 % of a length of where it should is empty. Windows that overlap are
+    refused.
+    """
+    if interleaved_units(windows).limit(1).count():
+        raise ValueError("windows of a unit overlap")
+    before = windows_before(windows, count - 1, length).join(windows.select("unit", "position", "win_end"), ["unit", "position"])
+    near = before.where(F.abs(F.col("win_end") - F.col("k") * length - F.col("ends")) <= 0.01 * length).select("unit", "position", "k", "before")
+    places = near.unionByName(windows.select("unit", "position", F.lit(0).alias("k"), F.col("position").alias("before")))
+    held = places.join(cells.withColumnRenamed("position", "before"), ["unit", "before"])
+    return held.withColumn("bin", F.col("bin") + (F.lit(count - 1) - F.col("k")) * bins).drop("k", "before")
+
+
+def layout_gaps(a: DataFrame, b: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """`(column, rows, only_a, only_b, largest_gap)` of two layouts of the same cells."""
+    both = a.select(*key, *[F.col(c).alias(f"a_{c}") for c in columns], F.lit(True).alias("_a")).join(b.select(*key, *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(True).alias("_b")), key, "full_outer")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")).alias("gap")) for c in columns])).alias("g")
+    return both.select("_a", "_b", each).groupBy("g.column").agg(F.count_if(F.col("_a") & F.col("_b")).alias("rows"), F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b"), F.max("g.gap").alias("largest_gap"))
+
+
 def interleaved_units(windows: DataFrame) -> DataFrame:
     """Windows that begin before an earlier one of their unit has ended."""
     w = Window.partitionBy("unit").orderBy("win_start", "position").rowsBetween(Window.unboundedPreceding, -1)
@@ -56,10 +78,10 @@ def channel_error_scales(errors: DataFrame) -> DataFrame:
 
 
 def autocorrelation(hourly: DataFrame, lags: list[int]) -> DataFrame:
-    """The correlation of a series with itself some hours before, over pairs that both read."""
+    """The correlation of a series with itself some hours before, over pairs that both read; one pair, which has none, gives NaN."""
     shifted = hourly.select("unit", "channel", F.col("hour").alias("then"), F.col("mean").alias("earlier"))
     rows = hourly.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("then", F.col("hour") - F.col("lag"))
-    return rows.join(shifted, ["unit", "channel", "then"]).groupBy("channel", "lag").agg(F.count(F.lit(1)).alias("pairs"), F.corr("mean", "earlier").alias("correlation"))
+    return rows.join(shifted, ["unit", "channel", "then"]).groupBy("channel", "lag").agg(F.count(F.lit(1)).alias("pairs"), F.when(F.count(F.lit(1)) > 1, F.corr("mean", "earlier")).otherwise(float("nan")).alias("correlation"))
 
 
 def answerability(answers: DataFrame, by: list[str], target: str, answer: str) -> DataFrame:

@@ -69,3 +69,35 @@ def subspace_distance(rows: DataFrame, vector: str, dim: int, share: float = 0.9
     mids = parts(fit).agg(F.median("within").alias("_w"), F.median("outside").alias("_o"))
     over = lambda c, m: F.col(c) / F.when(F.col(m) > 0, F.col(m)).otherwise(1.0)
     return parts(rows).crossJoin(F.broadcast(mids)).withColumn("score", over("within", "_w") + over("outside", "_o")).drop("_w", "_o")
+
+
+def taught_direction(rows: DataFrame, vector: str, dim: int, fitting: DataFrame, event: str = "event") -> DataFrame:
+    """Rows with `along`, their whitened coordinate towards the taught events, `distance`, their squared whitened
+    distance, and `combined`, the mean of both over the fitting rows' medians and scaled deviations.
+
+    `fitting` holds `event`: 0, or the number of a taught event, each of which weighs one over its rows. Mean, scales
+    and shrunk covariance come from the rows outside the events. Events at the fitting mean give no direction.
+    """
+    outside = fitting.where(F.col(event) == 0)
+    facts = outside.select(F.posexplode(vector)).groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("s")).orderBy("pos").collect()  # a row per feature
+    level, scale = np.array([f["m"] for f in facts]), np.array([f["s"] if f["s"] > 0 else 1.0 for f in facts])
+    standard = lambda df: df.withColumn("_s", F.zip_with(centred(vector, level), numbers(scale), lambda x, s: x / s))
+    mean, cov = shrunk_covariance(standard(outside), "_s", dim)
+    values, vectors = np.linalg.eigh(cov)
+    held = values > 1e-12 * max(values.max(), 1e-300)
+    root = (vectors[:, held] / np.sqrt(values[held])) @ vectors[:, held].T
+    taught = standard(fitting.where(F.col(event) > 0)).select(event, F.posexplode("_s")).groupBy(event, "pos").agg(F.avg("col").alias("m")).groupBy("pos").agg(F.avg("m").alias("m")).orderBy("pos").collect()
+    towards = root @ (np.array([t["m"] for t in taught]) - mean) if taught else np.zeros(dim)
+    if not np.linalg.norm(towards) > 1e-12:
+        raise ValueError("the taught events lie at the fitting mean")
+    axis = root @ (towards / np.linalg.norm(towards))
+
+    def parts(df: DataFrame) -> DataFrame:
+        out = projected(standard(df), "_s", mean, np.column_stack([root, axis]), "_z")
+        return out.withColumns({"along": F.element_at("_z", -1), "distance": F.aggregate(F.slice("_z", 1, dim), F.lit(0.0), lambda s, x: s + x * x)}).drop("_z", "_s")
+
+    own = parts(fitting).select("along", "distance")
+    mids = own.agg(F.median("along").alias("_ma"), F.median("distance").alias("_md"))
+    off = own.crossJoin(F.broadcast(mids)).groupBy("_ma", "_md").agg((1.4826 * F.median(F.abs(F.col("along") - F.col("_ma")))).alias("_sa"), (1.4826 * F.median(F.abs(F.col("distance") - F.col("_md")))).alias("_sd"))
+    over = lambda c, m, s: (F.col(c) - F.col(m)) / F.when(F.col(s) > 0, F.col(s)).otherwise(1.0)
+    return parts(rows).crossJoin(F.broadcast(off)).withColumn("combined", (over("along", "_ma", "_sa") + over("distance", "_md", "_sd")) / 2).drop("_ma", "_md", "_sa", "_sd")

@@ -56,3 +56,21 @@ def standardise_features(rows: DataFrame, columns: list[str], fit: DataFrame | N
     both = rows.crossJoin(F.broadcast(fit.agg(*aggs)))
     z = {c: F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0), F.lit(0.0)) for c in columns}
     return both.withColumns(z).select(*rows.columns)
+
+
+def spectral_features(spectrum: DataFrame, channels: list[str], cycles: int = 8) -> DataFrame:
+    """the spectrum of each window as a wide row, `{channel}_p{cycle}`; null where too little was read."""
+    at = lambda c, k: F.max(F.when((F.col("channel") == c) & (F.col("cycle") == k), F.col("power"))).alias(f"{c}_p{k}")
+    return spectrum.groupBy(*WIN).agg(*[at(c, k) for c in channels for k in range(1, cycles + 1)])
+
+
+def scheme_features(tokens: DataFrame, scheme: str, channels: list[str], columns: list[str]) -> DataFrame:
+    """a window's features by scheme: `per_channel`, `aggregated` or `spectral`."""
+    if scheme == "spectral":
+        return spectral_features(window_spectrum(tokens), channels)
+    stats = window_statistics(tokens)
+    if scheme == "per_channel":
+        return per_channel_features(stats, channels, columns)
+    if scheme == "aggregated":
+        return channel_aggregated_features(stats, columns)
+    raise ValueError(f"no scheme {scheme}")

@@ -64,3 +64,19 @@ def mass_concentration(tokens: DataFrame) -> DataFrame:
     total = of_unit.agg(F.sum("unit_mass").alias("all_mass"))
     rows = mass.join(of_unit, "unit").crossJoin(F.broadcast(total))
     return rows.select(*WIN, "n", "mass", (F.col("mass") / F.nullif(F.col("unit_mass"), F.lit(0.0))).alias("share_of_unit"), (F.col("unit_mass") / F.nullif(F.col("all_mass"), F.lit(0.0))).alias("unit_share"))
+
+
+def hidden_cells(cells: DataFrame, share: float, seed: int) -> DataFrame:
+    """Cells that read, `value` their mean and `time` their bin, with `hidden` by digest for a share of them."""
+    digest = seeded_rank(seed, *WIN, "channel", "bin")
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
+    return cells.where("presence = 1").select(*WIN, "channel", "bin", F.col("bin").cast("double").alias("time"), F.col("mean").alias("value"), (u < share).alias("hidden"))
+
+
+def imputation_errors(masked: DataFrame) -> DataFrame:
+    """`(unit, position, channel, error)`: how far the line between a window's visible cells misses its hidden ones on
+    average; a channel without visible cells in the window is answered by its mean over all visible cells. Scored by A13.
+    """
+    level = masked.where("NOT hidden").groupBy("channel").agg(F.avg("value").alias("_level"))
+    told = interpolate_hidden(masked).join(F.broadcast(level), "channel", "left")
+    return told.groupBy(*WIN, "channel").agg(F.avg(F.abs(F.coalesce("line", "_level") - F.col("value"))).alias("error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -118,3 +118,15 @@ def fit_and_score(rows: DataFrame, side: str, columns: Sequence[str], target: st
     drawn = ranked(pool, key, seed).where(F.col("place") <= budget).drop("digest", "place")
     model = boosted_trees(drawn, columns, target, outcome, seed=seed)
     return score_windows(model, rows.where(F.col(side) != "training"), columns)
+
+
+def stacked_rows(sources: Mapping[str, tuple[DataFrame, float]], key: Sequence[str], target: str, budget: int, seed: int) -> DataFrame:
+    """Labelled rows of several corpora to fit one model on: `budget` of each by seeded rank, targets over the scale
+    of their own scheme, with `corpus`."""
+    out = None
+    for name in sorted(sources):
+        df, scale = sources[name]
+        drawn = ranked(df, key, seed).where(F.col("place") <= budget).select(*df.columns)
+        rows = drawn.withColumns({target: F.col(target) / scale, "corpus": F.lit(name)})
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out

@@ -68,17 +68,18 @@ def step_of(time: str, steps: int):
     return F.least(F.floor(F.col(time) * steps + 1e-3), F.lit(steps - 1)).cast("int")
 
 
-def cells(tokens: DataFrame, bins: int) -> DataFrame:
+def cells(tokens: DataFrame, bins: int, frame: DataFrame | None = None) -> DataFrame:
     """A row for each bin of each channel that a window holds.
 
     An empty bin carries the last value on (null before the first reading). `last_offset` is how far the last reading
-    lies into its bin, `since` how many bins ago the channel was last read.
+    lies into its bin, `since` how many bins ago the channel was last read. Channels that only `frame` holds, tokens
+    too, are laid out empty.
     """
     b = step_of("time", bins)
     read = tokens.withColumn("bin", b).groupBy(*WIN, "channel", "bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.min("value").alias("minimum"), F.max("value").alias("maximum"),
         F.min(F.struct("time", "value"))["value"].alias("first"), F.max(F.struct("time", "value")).alias("latest"))
-    held = tokens.select(*WIN, "channel").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    held = (tokens if frame is None else frame).select(*WIN, "channel").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     rows = held.join(read, [*WIN, "channel", "bin"], "left")
     w = Window.partitionBy(*WIN, "channel").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     carried = F.last(F.col("latest.value"), ignorenulls=True).over(w)
@@ -89,6 +90,12 @@ def cells(tokens: DataFrame, bins: int) -> DataFrame:
         (F.col("latest.time") * bins - F.col("bin")).alias("last_offset"), (F.col("bin") - seen).alias("since"))
 
 
+def cells_without(tokens: DataFrame, hidden: DataFrame, bins: int) -> DataFrame:
+    """Cells as if the readings of the cells `hidden` `(unit, position, channel, bin)` were never taken."""
+    visible = tokens.withColumn("bin", step_of("time", bins)).join(hidden, [*WIN, "channel", "bin"], "left_anti").drop("bin")
+    return cells(visible, bins, tokens)
+
+
 def rollup_cells(cells: DataFrame, factor: int) -> DataFrame:
     """Coarser cells from finer ones, equal to laying out the readings whole: counts add, means are weighted."""
     read = cells.where("presence = 1").withColumn("n", F.round(F.expm1("log_count")))

@@ -125,12 +125,12 @@ def b9_chance_by_rotation(spark, sf_dir):
 EXCESS = f"{ROTATED}, fa AS (SELECT 'found' AS arm, unit, events, CAST(found AS DOUBLE) AS found, chance FROM rot UNION ALL SELECT 'half', unit, events, found * 0.5e0, chance FROM rot UNION ALL SELECT 'none', unit, events, 0e0, chance FROM rot)"
 
 
-@query(f"WITH {EXCESS}, {strata_sql(60, 'SELECT unit, CAST(events > 0 AS INTEGER) AS stratum FROM rot')}, dx AS (SELECT draw, arm, sum((found - chance) * k) AS x FROM fa JOIN dr USING (unit) GROUP BY ALL), dd AS (SELECT a.draw, a.arm, a.x, max(b.x) AS rest FROM dx a JOIN dx b ON a.draw = b.draw AND a.arm <> b.arm GROUP BY ALL), sp AS (SELECT arm, quantile_cont(x, 0.0125) AS low, quantile_cont(x, 0.9875) AS high, stddev_pop(x - rest) AS sd FROM dd WHERE draw >= 0 GROUP BY arm) SELECT arm, {r('x', 'value')}, {r('rest', 'best_of_rest')}, {r('low', 'low')}, {r('high', 'high')}, {r('sd', 'sd')}, {r('(SELECT 3.083e0 * median(sd) FROM sp)', 'least_gain')} FROM dd JOIN sp USING (arm) WHERE draw = -1")
+@query(f"WITH {EXCESS}, {strata_sql(81, 'SELECT unit, CAST(events > 0 AS INTEGER) AS stratum FROM rot')}, dx AS (SELECT draw, arm, sum((found - chance) * k) AS x FROM fa JOIN dr USING (unit) GROUP BY ALL), dd AS (SELECT a.draw, a.arm, a.x, max(b.x) AS rest FROM dx a JOIN dx b ON a.draw = b.draw AND a.arm <> b.arm GROUP BY ALL), sp AS (SELECT arm, quantile_cont(x, 0.0125) AS low, quantile_cont(x, 0.9875) AS high, stddev_pop(x - rest) AS sd FROM dd WHERE draw >= 0 GROUP BY arm) SELECT arm, {r('x', 'value')}, {r('rest', 'best_of_rest')}, {r('low', 'low')}, {r('high', 'high')}, {r('sd', 'sd')}, {r('(SELECT 3.083e0 * median(sd) FROM sp)', 'least_gain')} FROM dd JOIN sp USING (arm) WHERE draw = -1")
 def b10_excess(spark, sf_dir):
     base = rotated(spark, sf_dir)
     named = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(s).alias("s")) for a, s in (("found", 1.0), ("half", 0.5), ("none", 0.0))])).alias("a")
     rows = base.select("unit", "events", "found", "chance", named).select("a.arm", "unit", "events", (F.col("found") * F.col("a.s")).alias("found"), "chance")
-    return finding.excess(rows, 60, SEED)
+    return finding.excess(rows, 81, SEED)  # percentiles 1.25 and 98.75 are then drawn values
 
 
 def cold_sql(days: int | None) -> str:
