@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.repair import keep_preferred, most_frequent, one_row_per_instant, scale_within_unit, units_with_least, widest_channels
+from ..operators.sides import thin_to_cap
 from .tables import finite, hours_since, to_long
 
 # Ward codes, and the descriptors that stand at 00:00 of a stay.
@@ -136,11 +137,18 @@ def telemetry_half(rows: DataFrame, group: str = "mission", width: float = 30.0,
     return first.select(F.concat_ws("/", group, month).alias("unit"), "channel", ((F.col("r.at") - F.col("start")) / 3600).alias("time"), F.col("r.value").alias("value"))
 
 
-def telemetry_raw(rows: DataFrame, channels: Sequence[str], origin: str, excluded: Sequence[str] = (), ts: str = "ts") -> DataFrame:
-    """Chosen channels over the whole span by calendar month, some months left out, hours from a fixed origin."""
+def telemetry_raw(rows: DataFrame, channels: Sequence[str], origin: str, excluded: Sequence[str] = (), ts: str = "ts", cap: int | None = None) -> DataFrame:
+    """Chosen channels over the whole span by calendar month, some months left out, hours from a fixed origin.
+
+    With `cap` a channel of more readings over its whole span is thinned to bins of whole seconds (D9), before months.
+    """
+    own = rows.where(F.col("channel").isin(*channels))
+    if cap is not None:
+        seconds = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{origin}', {ts})") / F.lit(1e6)
+        own = thin_to_cap(own.select(F.lit("all").alias("unit"), "channel", seconds.alias("time"), "value"), cap, 1.0)
+        own = own.withColumn(ts, F.timestamp_add("MICROSECOND", F.round(F.col("time") * 1e6).cast("long"), F.lit(origin).cast("timestamp_ntz")))
     month = F.date_format(ts, "yyyy-MM")
-    own = rows.where(F.col("channel").isin(*channels) & ~month.isin(*excluded))
-    return finite(own.select(month.alias("unit"), "channel", hours_since(ts, origin).alias("time"), "value"))
+    return finite(own.where(~month.isin(*excluded)).select(month.alias("unit"), "channel", hours_since(ts, origin).alias("time"), "value"))
 
 
 def icu_readings(patients: DataFrame, charted: Mapping[str, DataFrame], codes: DataFrame, least_hours: float = 48.0) -> DataFrame:

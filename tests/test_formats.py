@@ -102,3 +102,13 @@ def test_events_outcomes_parts(spark, tmp_path):
     assert rows(formats.choose_parts(df, ["y"])) == [("y", "y/1")]
     with pytest.raises(ValueError, match="z"):
         formats.choose_parts(df, ["z"])
+
+
+def test_raw_telemetry_by_month_and_thinned(spark):
+    long = spark.sql("SELECT timestampadd(SECOND, 6 * id, timestamp_ntz'2024-01-31 23:59:30') AS ts, 'a' AS channel, cast(id AS double) AS value FROM range(10) UNION ALL SELECT timestamp_ntz'2024-03-01 00:00:00', 'b', 1.0D UNION ALL SELECT timestamp_ntz'2024-01-01 00:00:00', 'z', 1.0D")
+    origin = "2024-01-01 00:00:00"
+    got = formats.telemetry_raw(long, ["a", "b"], origin, ["2024-03"])
+    assert {r["unit"] for r in got.collect()} == {"2024-01", "2024-02"} and got.count() == 10
+    thin = rows(formats.telemetry_raw(long, ["a", "b"], origin, [], cap=5))
+    assert [r[0] for r in thin if r[1] == "b"] == ["2024-03"]
+    assert 0 < len([r for r in thin if r[1] == "a"]) <= 5
