@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names of HTML.
-UNSEEN = "script style noscript template svg math head title iframe object canvas audio video textarea select datalist"
+UNSEEN = "script style noscript template svg math title iframe object canvas audio video textarea select datalist"
 BLOCKS = "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr section article main header footer nav aside form fieldset legend figure figcaption blockquote pre hr address details summary dialog menu center hgroup search button option"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 UNSEEN_TAGS, BLOCK_TAGS, VOID_TAGS = (frozenset(x.split()) for x in (UNSEEN, BLOCKS, VOID))
@@ -32,6 +32,7 @@ CLOSED_BY = {"p": BLOCK_TAGS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:svg|math)(?=[\s/])(?:[^>\"'=/]|/(?!>)|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))*+/>"  # a slash in an unquoted value closes nothing
     rf"|<(?P<raw>{'|'.join(UNSEEN.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",

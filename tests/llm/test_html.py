@@ -23,6 +23,14 @@ def test_blocks_by_hand():
     assert {"div", "div.a", ".a", "p", "p.b", ".c"} <= set(html.blocks("<div class='a'><p id=B-c>x")[0].path)
 
 
+def test_head_may_stay_open_and_slashes_close():
+    said = lambda page: [b.text for b in html.blocks(page)]
+    for head in ("<head><title>x</title><style>p{}</style><body>", "<HEAD class=a>\n<meta charset=utf-8><title>x</title><script>if (a</b>'</p>') x</script>", "<head><title>x</title></head><body>"):
+        assert said(f"<html>{head}<article><p>One.</p><p>Two.</p></article>") == ["One.", "Two."]
+    for own in ("<svg/>", "<svg />", "<math class='a>b' hidden/>", '<svg a="/"\n/>', "<svg a=b/c />", "<svg a=b/>no</svg>", "<svg><path d='x'/><title>no</title></svg>", "<math><mi/>no</math>"):
+        assert said(f"<p>One {own} two.</p><p>Three.</p>") == ["One two.", "Three."]
+
+
 def test_gradient_is_that_of_differences():
     rng = np.random.default_rng(0)
     pages = [(rng.standard_normal((n, 7)).astype(np.float32), (rng.random(n) < 0.5).astype(np.float32)) for n in (1, 4, 6)]
