@@ -26,14 +26,36 @@ def test_orders_and_footrule():
     place = np.full((40, 20), 6)
     np.put_along_axis(place, o, np.arange(6)[None, :], 1)
     want = 6 * 7 - np.abs(place[:10, None] - place[None]).sum(2)
-    assert (neighbours.footrule_gain(o[:10], o, 20) == want).all()
+    assert (neighbours.footrule_gain(o[:10], neighbours.postings(o, 20), 40) == want).all()
+
+
+def test_cosines_of_candidates_alone():
+    rng = np.random.default_rng(3)
+    x, q, p = rng.standard_normal((900, 16)), rng.standard_normal((7, 16)), rng.standard_normal((100, 16))
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    own = neighbours.footrule_gain(neighbours.orders(q, p, 20), neighbours.postings(neighbours.orders(x, p, 20), 100), 900)
+    a, b, score, scored = neighbours.nearest(q, x, own, 90, 6)
+    edge = np.sort(own, axis=1)[:, -90]
+    assert scored == (own >= edge[:, None]).sum() < 7 * 200
+    assert (own[a, b] >= edge[a]).all()
+    assert np.allclose(score, (x[b] * q[a]).sum(1) / np.linalg.norm(x[b], axis=1) / np.linalg.norm(q[a], axis=1))
+
+
+def test_lengths_are_indexes_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(3 + i % 2).tolist(), 0, "") for i in range(200)]
+    got = neighbours.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, pivots=20, prefix=9, least=200).collect()
+    for parity in (0, 1):
+        some = [r for r in rows if r[0] % 2 == parity]
+        for q, near in brute(some, [r[0] for r in some if r[0] % 50 == 0]).items():
+            assert [i for i, _ in near] == [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
 
 
 def test_recall_and_exact_scores(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.standard_normal(64).astype("f4").tolist(), 0, "clash") for i in range(3000)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = neighbours.search(df, F.col("vec_id") % 50 == 0, block=700, query_block=40).collect()
+    got = neighbours.search(df, F.col("vec_id") % 50 == 0, block=700, query_block=40, pivots=500).collect()
     want = brute(rows, range(0, 3000, 50))
     found = {(r.query_id, r.vec_id): r.score for r in got}
     hits = [(q, i) in found for q, near in want.items() for i, _ in near]
