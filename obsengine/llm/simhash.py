@@ -5,9 +5,10 @@ distance of two such vectors never exceeds the Hamming distance of the fingerpri
 the radius can't link. The segments are dealt to `bands + radius` grid axes: vectors within the radius agree on at
 least `bands` axes, hence share a grid cell for some choice of `bands` axes. Members of a cell are compared exactly.
 
-A cell of more than `dense` fingerprints isn't compared pair by pair: each of its members is posted under every
-word at half the radius from it, since two words within the radius have such a word in common. Either way a cell
-returns a spanning forest of its links, never the pairs, so a group of n near copies costs n rows per cell.
+The number of bands follows from the number of fingerprints, so that cells stay small however many there are. A cell
+that is crowded all the same (texts much alike) is split by further axes, over the bits themselves in another order:
+the argument holds for any axes. A cell returns a spanning forest of its links, never the pairs, so a group of n near
+copies costs n rows per cell.
 """
 
 from __future__ import annotations
@@ -26,6 +27,11 @@ from .common import components, durable
 SEED = 42
 WORDS_AT_ONCE = 1 << 16
 LOW = 0x5555555555555555  # the lower bit of each segment
+#: Bits of a segment's count that two random fingerprints share by chance: -log2(1/16 + 1/4 + 1/16).
+SEGMENT_BITS = 1.415
+EXPECTED_IN_CELL = 32
+#: Odd steps that put the 64 bits in another order for each further split.
+STEPS = (5, 11, 23, 29, 37, 43, 53)
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -67,109 +73,144 @@ def axes(bands: int, radius: int) -> list[tuple[int, int]]:
     return list(zip(cut, cut[1:], strict=False))
 
 
+def bands_for(n: int, radius: int) -> int:
+    """The fewest bands, two at least, for which `n` random fingerprints make cells of some 32."""
+    bands = 2
+    while bands + radius < 32 and n > EXPECTED_IN_CELL * 2 ** (SEGMENT_BITS * 32 * bands / (bands + radius)):
+        bands += 1
+    return bands
+
+
 def embed(fp: np.ndarray) -> np.ndarray:
     """The bit count of each two-bit segment in unary (00, 01, 11), so that differing bits are the Manhattan distance."""
     low, one = np.uint64(LOW), np.uint64(1)
     return ((fp | fp >> one) & low) | ((fp & fp >> one) & low) << one
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _masks(pieces: list[int], bands: int) -> list[int]:
+    """The union of each choice of `bands` pieces, as signed longs."""
+    return [_signed(sum(some)) for some in combinations(pieces, bands)]
+
+
 def grid_cells(fps: DataFrame, bands: int = 2, radius: int = 4) -> DataFrame:
-    """`(axes_used, cell, fp)`: every fingerprint in one cell for each choice of `bands` axes."""
-    chosen = []
-    for axis in combinations(axes(bands, radius), bands):
-        mask = 0
-        for i, j in axis:
-            mask |= ((1 << 2 * j) - 1) ^ ((1 << 2 * i) - 1)
-        chosen.append(mask - (1 << 64) if mask >> 63 else mask)
+    """`(cell, fp)`: every fingerprint in one cell for each choice of `bands` axes."""
+    pieces = [((1 << 2 * j) - 1) ^ ((1 << 2 * i) - 1) for i, j in axes(bands, radius)]
     next_bit = F.shiftrightunsigned("fp", 1)
     some = F.col("fp").bitwiseOR(next_bit).bitwiseAND(F.lit(LOW))
     both = F.col("fp").bitwiseAND(next_bit).bitwiseAND(F.lit(LOW))
     counts = fps.select("fp", some.bitwiseOR(F.shiftleft(both, 1)).alias("counts"))
-    posted = counts.select("fp", "counts", F.posexplode(F.array(*[F.lit(m) for m in chosen])).alias("axes_used", "mask"))
-    return posted.select("axes_used", F.col("counts").bitwiseAND(F.col("mask")).alias("cell"), "fp")
+    posted = counts.select("fp", "counts", F.posexplode(F.array(*[F.lit(m) for m in _masks(pieces, bands)])).alias("axes", "mask"))
+    return posted.select(F.xxhash64("axes", F.col("counts").bitwiseAND(F.col("mask"))).alias("cell"), "fp")
+
+
+def split_cells(cells: DataFrame, step: int, bands: int = 2, radius: int = 4) -> DataFrame:
+    """`(cell, fp)`: each member of a cell in one smaller cell for each choice of `bands` of the axes that `step` orders.
+
+    Members of a cell within the radius share a smaller one, as they differ on `radius` of its axes at most.
+    """
+    pieces = [0] * (bands + radius)
+    for bit in range(64):
+        pieces[bit * step % 64 * len(pieces) // 64] |= 1 << bit
+    posted = cells.select("cell", "fp", F.posexplode(F.array(*[F.lit(m) for m in _masks(pieces, bands)])).alias("axes", "mask"))
+    return posted.select(F.xxhash64("cell", "axes", F.col("fp").bitwiseAND(F.col("mask"))).alias("cell"), "fp")
 
 
-def _forest(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the links a-b between positions of `fp`: each linked position beside the least one it reaches."""
-    root = np.arange(len(fp))
+def _forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The least position that each of `n` reaches by the links a-b, and by those that `root` stands for."""
+    root = np.arange(n) if root is None else root
     while len(a):
         low = np.minimum(root[a], root[b])
         new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
+        for at in (a, b, root[a], root[b]):
+            np.minimum.at(new, at, low)
         new = new[new]
         if (new == root).all():
             break
         root = new
-    moved = np.flatnonzero(root != np.arange(len(fp)))
-    return fp[moved], fp[root[moved]]
+    return root
+
+
+def _near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs are within the radius: Manhattan distance of the counts first, then the bits themselves."""
+    near = np.bitwise_count(embed(x) ^ embed(y)) <= radius
+    near[near] = np.bitwise_count((x ^ y)[near]) <= radius
+    return near
 
 
-def _cell_links(members: np.ndarray, sizes: np.ndarray, radius: int, pairs_at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of many cells: `members` holds their fingerprints one cell after another."""
+def _cell_links(members: np.ndarray, sizes: np.ndarray, radius: int, pairs_at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of many cells: `members` holds their fingerprints one cell after another. Each linked one beside its root."""
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     order = np.argsort(sizes, kind="stable")
     at = 0
     while at < len(order):
         size = int(sizes[order[at]])
-        same = int(np.searchsorted(sizes[order], size, "right"))
-        take = max(1, pairs_at_once // (size * size))
-        i, j = np.triu_indices(size, 1)
-        for k in range(at, same, take):
-            rows = members[starts[order[k : min(same, k + take)]][:, None] + np.arange(size)]
-            counts = embed(rows)
-            near = np.bitwise_count(counts[:, i] ^ counts[:, j]) <= radius
-            cell, pair = np.nonzero(near)
-            left, right = rows[cell, i[pair]], rows[cell, j[pair]]
-            close = np.bitwise_count(left ^ right) <= radius
+        if size * size <= pairs_at_once:  # cells of one size together
+            some = order[at : min(int(np.searchsorted(sizes[order], size, "right")), at + max(1, pairs_at_once // (size * size)))]
+            rows = members[starts[some][:, None] + np.arange(size)]
+            i, j = np.triu_indices(size, 1)
+            cell, pair = np.nonzero(_near(rows[:, i], rows[:, j], radius))
             flat = rows.ravel()
-            yield _forest(flat, (cell * size + i[pair])[close], (cell * size + j[pair])[close])
-        at = same
-
-
-def links(fps: DataFrame, radius: int = 4, bands: int = 2, dense: int = 1500) -> DataFrame:
-    """`(a, b)`: links between distinct fingerprints whose components are those of all pairs within `radius` bits."""
-    cells = grid_cells(fps, bands, radius)
-    sized = cells.groupBy("axes_used", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = durable(sized.where(F.col("n") > dense))
-    small = cells.join(crowded.select("axes_used", "cell"), ["axes_used", "cell"], "left_anti") if crowded.limit(1).count() else cells
-    small = small.groupBy("axes_used", "cell").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
+            root = _forest(len(flat), cell * size + i[pair], cell * size + j[pair])
+        else:  # a large cell by stretches of its rows
+            some, flat = order[at : at + 1], members[starts[order[at]] : starts[order[at]] + size]
+            root, stretch = np.arange(size), max(1, pairs_at_once // size)
+            for k in range(0, size, stretch):
+                a, b = np.nonzero(_near(flat[k : k + stretch, None], flat[None, k:], radius))
+                root = _forest(size, a + k, b + k, root)
+        at += len(some)
+        moved = np.flatnonzero(root != np.arange(len(flat)))
+        yield flat[moved], flat[root[moved]]
+
+
+def links(fps: DataFrame, radius: int = 4, bands: int | None = None, most_in_cell: int = 4096) -> DataFrame:
+    """`(a, b)`: links between distinct fingerprints whose components are those of all pairs within `radius` bits.
+
+    `bands` follows from the count of `fps` unless given. A cell of more than `most_in_cell` is split, again and again:
+    many different fingerprints differ in many bits, so each split leaves a group of them smaller by half or more.
+    """
+    bands = bands or bands_for(fps.count(), radius)
+    cells, done = grid_cells(fps, bands, radius), []
+    for step in STEPS:
+        crowded = durable(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_in_cell).select("cell"))
+        if not crowded.limit(1).count():
+            break
+        done.append(cells.join(crowded, "cell", "left_anti"))
+        cells = durable(split_cells(cells.join(crowded, "cell", "left_semi"), step, bands, radius))
+    for part in done:
+        cells = cells.unionByName(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            found = list(_cell_links(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sizes, radius, 1 << 21))
+            found = list(_cell_links(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sizes, radius))
             if found:
                 a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
                 kept = np.unique(np.stack([a, b]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1])], ["a", "b"])
 
-    found = small.mapInArrow(run, "a long, b long")
-    if crowded.limit(1).count():
-        half = radius // 2 + radius % 2
-        flips = [sum(1 << i for i in bits) for n in range(half + 1) for bits in combinations(range(64), n)]
-        near = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in flips])
-        posted = cells.join(crowded.select("axes_used", "cell"), ["axes_used", "cell"], "left_semi").select("fp").distinct()
-        posted = posted.select("fp", F.explode(near).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
-        least = posted.groupBy("word").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
-        found = found.unionByName(posted.join(least, "word").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct())
-    return found.distinct()
+    held = cells.groupBy("cell").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
+    return held.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, bands: int = 2, dense: int = 1500) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, bands: int | None = None, most_in_cell: int = 4096) -> DataFrame:
     """`(doc_id, fp, component_id)` for every row; component_id is the least doc_id that links of `radius` bits reach.
 
     Texts without words have fingerprint 0 and link as any other. Equal fingerprints are one node of the graph, so
     exact copies cost nothing beyond their rows. Repeated rows stay; a row whose doc_id is null keeps it and takes
-    part, and a component of such rows only has a null component_id. An empty table gives an empty result.
+    part, and a component of such rows only has a null component_id. Other columns are left aside whatever their
+    names. An empty table gives an empty result.
     """
     own = durable(fingerprints(docs, doc_id, text, shingle))
     nodes = durable(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(nodes.select("fp"), radius, bands, dense))
-    placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = placed.join(least, "root").select(F.col("fp").alias("node"), "component_id")
-    return own.join(named, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "component_id")
+    # nodes are named by their least doc_id first, so that the root of a component holds its least doc_id
+    named = nodes.select("fp", F.struct(F.col("low").isNull().alias("none"), "low", "fp").alias("key"))
+    found = links(nodes.select("fp"), radius, bands, most_in_cell)
+    keyed = found.join(named.select(F.col("fp").alias("a"), F.col("key").alias("key_a")), "a").join(named.select(F.col("fp").alias("b"), F.col("key").alias("key_b")), "b")
+    roots = components(keyed, "key_a", "key_b").select(F.col("node.fp").alias("node"), F.col("root.low").alias("least"))
+    placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("node"), F.when(F.col("node").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
+    return own.join(placed, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "component_id")

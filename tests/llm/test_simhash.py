@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from obsengine.llm import simhash
@@ -18,8 +19,8 @@ def plain(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute(fps):
-    """Root of each number under links of 4 or fewer differing bits."""
+def brute(fps, radius=4):
+    """Root of each number under links of `radius` or fewer differing bits."""
     fps = sorted(set(fps))
     root = {f: f for f in fps}
 
@@ -30,7 +31,7 @@ def brute(fps):
 
     for i, a in enumerate(fps):
         for b in fps[i + 1 :]:
-            if (a ^ b).bit_count() <= 4:
+            if (a ^ b).bit_count() <= radius:
                 root[max(find(a), find(b))] = min(find(a), find(b))
     return {f: find(f) for f in fps}
 
@@ -73,22 +74,39 @@ def test_components_are_those_of_all_pairs(spark):
     assert sorted(((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in got), key=str) == want
 
 
-def test_links_of_chosen_bits_dense_and_sparse(spark):
-    rng = random.Random(3)
-    fps = [rng.getrandbits(64) for _ in range(300)]
-    for base in fps[:20]:
-        for n in (1, 2, 3, 4, 4, 4, 5, 6):
+def roots_of(df):
+    from obsengine.llm.common import components
+
+    return {r.node & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in components(df).collect()}
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 4, 5, 6])
+def test_links_of_chosen_bits(spark, radius):
+    rng = random.Random(radius)
+    fps = [rng.getrandbits(64) for _ in range(200)]
+    for base in fps[:15]:
+        for n in range(1, radius + 3):
             fps.append(base ^ sum(1 << b for b in rng.sample(range(64), n)))
     base = rng.getrandbits(64)
-    fps += [base ^ sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(60)]  # a dense group
-    want = brute(fps)
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in set(fps)], "fp long")
-    from obsengine.llm.common import components
+    fps += [base ^ sum(1 << b for b in rng.sample(range(64), radius)) for _ in range(80)]  # a crowded group
+    want = brute(fps, radius)
+    df = spark.createDataFrame([(simhash._signed(f),) for f in set(fps)], "fp long")
+    groups = lambda roots: sorted(sorted(f for f in set(fps) if roots.get(f, f) == r) for r in {roots.get(f, f) for f in fps})
+    for bands, most in ((None, 4096), (2, 12)) if radius != 4 else ((None, 4096), (2, 12), (3, 20), (5, 4096)):
+        assert groups(roots_of(simhash.links(df, radius, bands, most))) == groups(want)
+
+
+def test_large_cells_by_stretches():
+    rng = np.random.default_rng(1)
+    x = np.unique(rng.integers(0, 1 << 12, 1500, dtype=np.uint64) << np.uint64(7) | rng.integers(0, 8, 1500, dtype=np.uint64))
+    a, b = zip(*((p.tolist(), q.tolist()) for p, q in simhash._cell_links(x, np.array([len(x)]), 2, 5000)), strict=True)
+    got = dict(zip(sum(a, []), sum(b, []), strict=True))
+    assert {int(f): got.get(int(f), int(f)) for f in x} == brute(x.tolist(), 2)
+
 
-    for dense in (1500, 12):
-        got = {r.node & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in components(simhash.links(df, dense=dense)).collect()}
-        groups = lambda roots: sorted(sorted(f for f in set(fps) if roots.get(f, f) == r) for r in {roots.get(f, f) for f in fps})
-        assert groups(got) == groups(want)
+def test_bands_follow_the_count():
+    assert [simhash.bands_for(n, 4) for n in (0, 10**6, 10**8, 10**10)] == [2, 2, 4, 7]
+    assert simhash.bands_for(10**15, 30) == 2
 
 
 def test_empty_table(spark):
