@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
+import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +16,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where it is unset."""
+    """The folder that driver and executors share, `spark.checkpoint.dir`.
+
+    Where it is unset, a folder of this machine takes its place on a local master; on a cluster that is refused.
+    """
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """`name`, with underscores before it until no column in `taken` is called so, whatever its case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared folder: a lost executor loses none of it and its lineage is cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """`df`, computed once and written to the shared folder: a lost executor loses none of it and its lineage is cut.
+
+    A table and not a checkpoint, since that keeps the plan's guess of its size: in a loop of joins the guess squares
+    with each round, until its digits take longer than the work. A table has its true size.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def seeded(seed: int, *columns: Column | str) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, seeded
+from .common import durable, fresh, seeded
 
 SEP = "\x1f"
 RANK_BITS = 60
@@ -74,12 +74,13 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[st
     `share` of all tokens. A leaf's rows go by seeded rank of doc_id (ties by doc_id: repeated rows have one rank and
     are interchangeable), each epoch in an order of its own; a row is read if the rows before it don't reach the quota,
     so a leaf passes its quota by less than a row. A whole epoch reads rows without tokens too, a prefix only those
-    before its end. An empty table gives an empty result. Working columns are named `_mix_*` and don't clash with others.
+    before its end. An empty table gives an empty result. Other columns pass unchanged whatever their names.
     """
     n = docs.count()
     bits = max(0, min(30, int(math.log2(max(1, n / rows_a_bucket)))))
     size = words() if tokens is None else tokens
-    rows = docs.withColumns({"_mix_leaf": path(*levels.values()), "_mix_n": size, "_mix_rank": seeded(seed, doc_id)})
+    own = fresh("_mix_row", docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias(own), path(*levels.values()).alias("_mix_leaf"), size.alias("_mix_n"), seeded(seed, doc_id).alias("_mix_rank"))
     rows = rows.withColumn("_mix_bucket", F.shiftright("_mix_rank", RANK_BITS - bits))
     names = [f"_mix_l{i}" for i in range(len(levels))]
     sums = durable(rows.groupBy("_mix_leaf", "_mix_bucket").agg(F.sum("_mix_n").alias("n")))
@@ -101,12 +102,11 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[st
     drawn = rows.join(F.broadcast(plan) if small else plan, F.col("_mix_leaf") == F.col("_mix_of"))
     drawn = drawn.withColumn("_mix_order", F.col("_mix_rank").bitwiseXOR(F.col("_mix_mask"))).withColumn("_mix_place", F.shiftright("_mix_order", RANK_BITS - bits))
     part = F.when(F.col("_mix_place") < F.col("_mix_cut"), 2).when(F.col("_mix_place") == F.col("_mix_cut"), 1).otherwise(0)
-    kept = docs.columns
     drawn = drawn.withColumn("_mix_part", part).where("_mix_whole > 0 OR _mix_part > 0")
     sure = F.when(F.col("_mix_part") == 2, F.col("_mix_whole") + 1).otherwise(F.col("_mix_whole"))
-    surely = drawn.where(sure > 0).select(*kept, F.explode(F.sequence(F.lit(0), sure - 1)).alias("_mix_epoch"))
-    inside = Window.partitionBy("_mix_leaf").orderBy("_mix_order", doc_id).rowsBetween(Window.unboundedPreceding, -1)
+    surely = drawn.where(sure > 0).select(own, F.explode(F.sequence(F.lit(0), sure - 1)).alias("_mix_epoch"))
+    inside = Window.partitionBy("_mix_leaf").orderBy("_mix_order", F.col(own)[doc_id]).rowsBetween(Window.unboundedPreceding, -1)
     edge = drawn.where("_mix_part = 1").withColumn("_mix_sum", F.coalesce(F.sum("_mix_n").over(inside), F.lit(0)) + F.col("_mix_before"))
-    edge = edge.where("_mix_sum < _mix_rest").select(*kept, F.col("_mix_whole").alias("_mix_epoch"))
+    edge = edge.where("_mix_sum < _mix_rest").select(own, F.col("_mix_whole").alias("_mix_epoch"))
     out = surely.unionByName(edge)
-    return out.withColumnRenamed("_mix_epoch", epoch_to) if epoch_to else out.drop("_mix_epoch")
+    return out.select(f"{own}.*", F.col("_mix_epoch").alias(epoch_to)) if epoch_to else out.select(f"{own}.*")

@@ -209,7 +209,7 @@ def pack(items: DataFrame, capacity: int = 4096, length: str = "length", order:
     """`items` with `sequence_id` and `offset`: every row in one sequence of at most `capacity`, gapless from 0.
 
     `order` names columns that tell rows of a length apart; rows that they don't tell apart are interchangeable, so
-    the packing is the same whichever comes first. Lengths below 1, above the capacity or null are refused.
+    the packing is the same whichever comes first. Columns of `items` pass unchanged whatever their names. Lengths below 1, above the capacity or null are refused.
     """
     histogram = {r[0]: r[1] for r in items.groupBy(length).agg(F.count(F.lit(1))).where(F.coalesce(F.col(length).between(1, capacity), F.lit(False))).limit(capacity).collect()}
     if items.where(~F.coalesce(F.col(length).between(1, capacity), F.lit(False))).limit(1).count():
@@ -225,8 +225,9 @@ def pack(items: DataFrame, capacity: int = 4096, length: str = "length", order:
         at = ranks.to_numpy(np.int64) - run[:, 1]
         return pd.DataFrame({"sequence_id": run[:, 4] + at // run[:, 3], "offset": run[:, 5] + at % run[:, 3] * run[:, 0]})
 
-    out = ranked(items, length, list(order)).withColumn("_place", place(F.col(length).cast("long"), F.col("_rank")))
-    return out.select(*items.columns, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
+    own = items.select(F.struct(*items.columns).alias("row"), F.col(length).cast("long").alias("length"), *[F.col(c).alias(f"order{i}") for i, c in enumerate(order)])
+    out = ranked(own, "length", [f"order{i}" for i in range(len(order))]).withColumn("_place", place(F.col("length"), F.col("_rank")))
+    return out.select("row.*", F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
