@@ -40,25 +40,33 @@ def tokens(text: Column) -> Column:
 def windows(turns: DataFrame, budget: int = 512, history: int = 128, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """`(conv_id, window, turns_before, turns_new, n_tokens, formatted, loss)`, a row for each window.
 
-    A turn belongs to the span in which its prefix sum of tokens begins; a span is `budget - history` tokens less the
-    system turn's, at least one. So a window overshoots its budget by less than one turn, which is never cut. Before the
+    Prefix sums of the turns' tokens are cut at multiples of `budget - history` less the system turn's tokens. Turns
+    between two cuts are a span; a turn across a cut is a span of its own, and is never cut itself. So `n_tokens` keeps
+    to the budget wherever the system turn and the longest turn do; a longer one stands alone with the system turn.
+    Before the
     span's `turns_new` turns stand `turns_before` others: the system turn and the history, the latest turns of at most
-    `history` tokens in the span before. `loss` lists `(start, length)` of the assistant's texts in `formatted`,
+    `history` tokens in the span before, as far as the budget has room. `loss` lists `(start, length)` of the assistant's texts in `formatted`,
     escaped, counted in characters from 0. Turns go by turn, then role and text; nulls come first and count as empty.
-    Repeated rows stay. A conversation without a system turn (its first turn) has none in its windows.
+    Repeated rows stay, rows of null `conv_id` are one conversation, other columns are left aside whatever their names,
+    and an empty table gives an empty result. A conversation without a system turn (its first turn) has none in its windows.
     """
     blank = F.lit("")
     own = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), blank).alias("role"), F.coalesce(F.col(text).cast("string"), blank).alias("text"))
     ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    rows = own.withColumn("n", tokens(F.col("text")).cast("long")).withColumn("nth", F.row_number().over(ordered)).withColumn("sum_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    rows = own.withColumn("n", tokens(F.col("text")).cast("long")).withColumn("nth", F.row_number().over(ordered))
     first = F.first(F.struct("role", "text", "n")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("system", F.when(first["role"] == "system", first))
-    size = F.greatest(F.lit(budget - history) - F.coalesce(F.col("system.n"), F.lit(0)), F.lit(1))
-    rows = rows.withColumn("window", F.floor(F.col("sum_before") / size)).withColumn("last", F.col("sum_before") + F.col("n"))
-    rows = rows.withColumn("window", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("window")) - 1)
-    end = F.max("last").over(Window.partitionBy("conv_id", "window"))
-    rows = rows.withColumn("later", (end - F.col("sum_before") <= history) & (F.col("nth") > F.when(F.col("system").isNotNull(), 1).otherwise(0)))
+    rows = rows.withColumn("system", F.when(first["role"] == "system", first)).withColumn("lead", F.coalesce(F.col("system.n"), F.lit(0)))
+    rows = rows.withColumn("own", F.when((F.col("nth") == 1) & F.col("system").isNotNull(), 0).otherwise(F.col("n")))
+    rows = rows.withColumn("begin", F.coalesce(F.sum("own").over(before), F.lit(0))).withColumn("end", F.col("begin") + F.col("own"))
+    size = F.greatest(F.lit(budget - history) - F.col("lead"), F.lit(1))
+    cell, last = F.floor(F.col("begin") / size), F.floor(F.greatest(F.col("end") - 1, F.col("begin")) / size)
+    rows = rows.withColumn("span", 2 * cell + (last > cell).cast("int")).withColumn("window", (F.dense_rank().over(Window.partitionBy("conv_id").orderBy("span")) - 1).cast("long"))
+    rows = rows.withColumn("stop", F.max("end").over(Window.partitionBy("conv_id", "window")))
+    following = F.max("stop").over(Window.partitionBy("conv_id").orderBy("window").rangeBetween(1, 1))
+    room = F.least(F.lit(history), F.lit(budget) - F.col("lead") - (following - F.col("stop")))
+    again = (F.col("stop") - F.col("begin") <= room) & (F.col("nth") > F.when(F.col("system").isNotNull(), 1).otherwise(0))
+    rows = rows.withColumn("later", following.isNotNull() & F.coalesce(again, F.lit(False)))
     own_place = F.struct(F.lit(2).alias("kind"), "nth", "role", "text", "n", (F.col("role") == "assistant").alias("target"))
     copies = F.when(F.col("later"), F.array(F.struct(F.col("window").alias("window"), own_place.alias("t")), F.struct((F.col("window") + 1).alias("window"), own_place.withField("kind", F.lit(1)).withField("target", F.lit(False)).alias("t"))))
     placed = rows.select("conv_id", "system", F.explode(copies.otherwise(F.array(F.struct(F.col("window").alias("window"), own_place.alias("t"))))).alias("p"))

@@ -30,42 +30,60 @@ UNSEEN_TAGS, BLOCK_TAGS, VOID_TAGS = (frozenset(x.split()) for x in (UNSEEN, BLO
 #: What opens inside one of these ends it first.
 CLOSED_BY = {"p": BLOCK_TAGS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?:svg|math)(?=[\s/])(?:[^>\"'=/]|/(?!>)|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))*+/>"  # a slash in an unquoted value closes nothing
-    rf"|<(?P<raw>{'|'.join(UNSEEN.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: Comments, and script and style, whose insides are not markup; the latter two run to the page's end if need be.
+OPAQUE = r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+#: An element that closes itself; a slash in an unquoted value closes nothing.
+CLOSED = r"<(?:svg|math)(?=[\s/])(?:[^>\"'=/]|/(?!>)|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))*+/>"
+MARKUP = re.compile(OPAQUE + "|" + CLOSED + r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>", re.S | re.I)
+CLOSE = re.compile(r"</(?:script|style)(?=[\s/>])[^>]*>\Z", re.I)
+NESTED = re.compile(OPAQUE + "|" + CLOSED + rf"|<(?P<end>/?)(?P<tag>{'|'.join(t for t in UNSEEN.split() if t not in ('script', 'style'))})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PATH, WORDS, MEASURES = 256, 32, 10
 KEPT_PATHS = 20_000
+STRETCH = 4096  # blocks of a page whose features are held at once
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
+    path: int  # a bit for each hashed part of the tag path
+    tag: int  # the hash of the innermost tag
     text: str
     linked: int
-    words: list[str]
+
+
+def hashed(part: str) -> int:
+    return zlib.crc32(part.encode("utf-8", "replace")) % PATH
+
+
+def unseen_ends(html: str) -> dict[int, int]:
+    """Where each element whose content isn't shown ends, by where it begins; those that nothing closes are left out."""
+    opened: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for m in NESTED.finditer(html):
+        if m["tag"]:
+            if not m["end"]:
+                opened.setdefault(m["tag"].lower(), []).append(m.start())
+            elif opened.get(m["tag"].lower()):
+                ends[opened[m["tag"].lower()].pop()] = m.end()
+    return ends
 
 
 def blocks(html: str | None) -> list[Block]:
     """The blocks of a whole page in order: character references decoded, white space inside a block made one space."""
     html = html or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, int, int]] = []  # tag, path, hash of the tag
+    ends = unseen_ends(html)
     names = Counter()
     pieces: list[str] = []
-    links = linked = at = 0
+    links = linked = at = skip = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(pieces)).split())
         if text:
-            out.append(Block(stack[-1][1] if stack else (), text, linked, text.split(" ")))
+            out.append(Block(*(stack[-1][1:] if stack else (0, -1)), text, linked))
         pieces.clear()
         linked = 0
 
@@ -76,10 +94,21 @@ def blocks(html: str | None) -> list[Block]:
             if links:
                 linked += len(text)
 
+    # no tag ends after the last `>`: what follows it is text, up to a comment that nothing closes
+    rest = html[html.rfind(">") + 1 :]
+    html = html[: len(html) - len(rest)]
+    rest = rest.partition("<!--")[0]
     for m in MARKUP.finditer(html):
+        if m.start() < skip:
+            continue
+        if m.end() == len(html) and (m["raw"] and not CLOSE.search(m[0]) or m[0].startswith("<!--") and not m[0].endswith("-->")):
+            rest = ""
         say(html[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
+        if tag in UNSEEN_TAGS and not m["end"]:
+            at = skip = ends.get(m.start(), at)
+            continue
         if tag == "br":
             pieces.append("\n")
         elif tag == "a":
@@ -99,44 +128,45 @@ def blocks(html: str | None) -> list[Block]:
             if stack and tag in CLOSED_BY.get(stack[-1][0], ()):
                 names[stack.pop()[0]] -= 1
             if tag not in VOID_TAGS:
-                said = [tag]
+                path = (stack[-1][1] if stack else 0) | 1 << hashed(tag)
                 if "=" in m["rest"]:
                     for kind, *value in NAMED.findall(m["rest"]):
-                        said += [f"{tag}.{p.lower()}" for p in PARTS.findall("".join(value))] + [f".{p.lower()}" for p in PARTS.findall("".join(value))]
-                above = stack[-1][1] if stack else ()
-                stack.append((tag, (*above, *[s for s in said if s not in above], f"={tag}") if len(above) < 200 else above))
+                        for part in PARTS.findall("".join(value)):
+                            path |= 1 << hashed(f"{tag}.{part.lower()}") | 1 << hashed(f".{part.lower()}")
+                stack.append((tag, path, hashed(f"={tag}")))
                 names[tag] += 1
     say(html[at:])
+    say(rest)
     flush()
     return out
 
 
-_paths: dict[tuple[str, ...], np.ndarray] = {}
+_paths: dict[tuple[int, int], np.ndarray] = {}
 
 
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
+def path_vector(path: int, tag: int) -> np.ndarray:
     """Which hashed parts the path holds; the innermost tag counts besides."""
-    if path not in _paths:
+    if (path, tag) not in _paths:
         if len(_paths) > KEPT_PATHS:
             _paths.clear()
-        v = np.zeros(PATH, np.float32)
-        v[[zlib.crc32(p.encode("utf-8", "replace")) % PATH for p in path if p[0] != "="]] = 1
-        if path:
-            v[zlib.crc32(path[-1].encode("utf-8", "replace")) % PATH] += 1
-        _paths[path] = v
-    return _paths[path]
+        v = np.unpackbits(np.frombuffer(path.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
+        if tag >= 0:
+            v[tag] += 1
+        _paths[path, tag] = v
+    return _paths[path, tag]
 
 
-def features(page: list[Block]) -> np.ndarray:
-    """A row for each block: tag path, hashed words, measures."""
+def features(page: list[Block], first: int = 0, of: int | None = None) -> np.ndarray:
+    """A row for each block: tag path, hashed words, measures. The blocks are those from `first` of a page of `of`."""
     out = np.zeros((len(page), PATH + WORDS + MEASURES), np.float32)
-    crc = zlib.crc32
+    crc, of = zlib.crc32, of or len(page)
     for i, b in enumerate(page):
-        n, chars = len(b.words), len(b.text)
-        out[i, :PATH] = path_vector(b.path)
-        out[i, PATH : PATH + WORDS] = np.bincount([crc(w.lower().encode("utf-8", "replace")) & WORDS - 1 for w in b.words], minlength=WORDS) / n
+        words = b.text.split(" ")
+        n, chars = len(words), len(b.text)
+        out[i, :PATH] = path_vector(b.path, b.tag)
+        out[i, PATH : PATH + WORDS] = np.bincount([crc(w.lower().encode("utf-8", "replace")) & WORDS - 1 for w in words], minlength=WORDS) / n
         end = b.text[-1]
-        out[i, PATH + WORDS :] = (np.log1p(n) / 5, np.log1p(chars) / 7, min(1.0, b.linked / chars), end in ".!?", end == ":", chars / n > 7, n < 4, n > 15, (i + 0.5) / len(page), np.log1p(len(page)) / 5)
+        out[i, PATH + WORDS :] = (np.log1p(n) / 5, np.log1p(chars) / 7, min(1.0, b.linked / chars), end in ".!?", end == ":", chars / n > 7, n < 4, n > 15, (first + i + 0.5) / of, np.log1p(of) / 5)
     return out
 
 
@@ -194,6 +224,36 @@ class Labeller:
         return out
 
 
+    def label_blocks(self, page: list[Block], stretch: int = STRETCH) -> np.ndarray:
+        """The probability of each block of one page of any length: only a stretch of blocks has its features held."""
+        n, z, w = self.wh.shape[1], np.full(len(page), self.bias[0], np.float32), self.out
+        starts = range(0, len(page), stretch)
+        for d in range(2):
+            h, c = np.zeros(n, np.float32), np.zeros(n, np.float32)
+            for at in starts if d == 0 else reversed(starts):
+                drive = features(page[at : at + stretch], at, len(page)) @ self.wx[d] + self.b[d]
+                for t in range(len(drive)) if d == 0 else range(len(drive) - 1, -1, -1):
+                    x = drive[t] + h @ self.wh[d]
+                    i, f, o = np.split(1 / (1 + np.exp(-x[: 3 * n])), 3)
+                    c = f * c + i * np.tanh(x[3 * n :])
+                    h = o * np.tanh(c)
+                    z[at + t] += h @ w[d * n : (d + 1) * n]
+        return 1 / (1 + np.exp(-z))
+
+
+def grouped(pages: list[str | None], most: int = 64, chars: int = 4 << 20) -> Iterator[list[str | None]]:
+    """Pages some at a time: at most `most`, and no more after `chars` characters of them."""
+    some, size = [], 0
+    for p in pages:
+        some.append(p)
+        size += len(p or "")
+        if len(some) >= most or size >= chars:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, pages))
     x = np.zeros((len(pages), steps, pages[0].shape[1]), np.float32)
@@ -376,11 +436,14 @@ def extract(pages: DataFrame, model: Labeller, page_id: str = "page_id", url: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = [blocks(h) for h in part.column(2).to_pylist()]
-                said = shared.value.label([features(b) for b in found])
-                texts = ["\n".join(b.text for b, p in zip(page, ps, strict=True) if p >= cut) for page, ps in zip(found, said, strict=True)]
+            at = 0
+            for some in grouped(batch.column(2).to_pylist()):
+                found = [blocks(h) for h in some]
+                short = [k for k, page in enumerate(found) if len(page) <= STRETCH]
+                said = dict(zip(short, shared.value.label([features(found[k]) for k in short]), strict=True))
+                texts = ["\n".join(b.text for b, p in zip(page, said[k] if k in said else shared.value.label_blocks(page), strict=True) if p >= cut) for k, page in enumerate(found)]
+                part = batch.slice(at, len(some))
+                at += len(some)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))

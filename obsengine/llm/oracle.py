@@ -42,10 +42,14 @@ def chat_sql(budget: int = 512, history: int = 128) -> str:
     rows = f"SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', {tricky} UNION ALL SELECT -7, 1, 'assistant', {tricky}"
     return f"""WITH own AS ({rows}),
 counted AS (SELECT *, length(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^ \\t\\n\\x0B\\f\\r\\p{{L}}\\p{{N}}]')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth, 14 + length({role}) + length({escape('text')}) AS size FROM own),
-summed AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY nth) - n AS passed, max(CASE WHEN nth = 1 AND role = 'system' THEN n END) OVER (PARTITION BY conv_id) AS system_n, max(CASE WHEN nth = 1 AND role = 'system' THEN size END) OVER (PARTITION BY conv_id) AS system_size FROM counted),
-spans AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY passed // greatest({budget - history} - coalesce(system_n, 0), 1)) - 1 AS span FROM summed),
-placed AS (SELECT *, max(passed + n) OVER (PARTITION BY conv_id, span) - passed <= {history} AND nth > CASE WHEN system_n IS NULL THEN 0 ELSE 1 END AS again, max(span) OVER (PARTITION BY conv_id) AS spans FROM spans)
+led AS (SELECT *, coalesce(max(CASE WHEN nth = 1 AND role = 'system' THEN n END) OVER (PARTITION BY conv_id), 0) AS lead, max(CASE WHEN nth = 1 AND role = 'system' THEN size END) OVER (PARTITION BY conv_id) AS system_size FROM counted),
+summed AS (SELECT *, CASE WHEN nth = 1 AND role = 'system' THEN 0 ELSE n END AS own, sum(CASE WHEN nth = 1 AND role = 'system' THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY nth) AS upto, greatest({budget - history} - lead, 1) AS width FROM led),
+cut AS (SELECT *, (upto - own) // width AS cell, greatest(upto - 1, upto - own) // width AS cell_of_end FROM summed),
+spans AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY 2 * cell + CASE WHEN cell_of_end > cell THEN 1 ELSE 0 END) - 1 AS span FROM cut),
+ended AS (SELECT *, max(upto) OVER (PARTITION BY conv_id, span) AS stop FROM spans),
+followed AS (SELECT *, max(stop) OVER (PARTITION BY conv_id ORDER BY span RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS following FROM ended),
+placed AS (SELECT *, following IS NOT NULL AND stop - upto + own <= least({history}, {budget} - lead - (following - stop)) AND nth > CASE WHEN system_size IS NULL THEN 0 ELSE 1 END AS again, max(span) OVER (PARTITION BY conv_id) AS spans FROM followed)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
-CAST(sum(size) + coalesce(sum(size) FILTER (again AND span < spans), 0) + max(spans * coalesce(system_size, 0)) AS BIGINT) AS formatted_chars
+CAST(sum(size) + coalesce(sum(size) FILTER (again), 0) + max(spans * coalesce(system_size, 0)) AS BIGINT) AS formatted_chars
 FROM placed GROUP BY conv_id"""

@@ -1,25 +1,23 @@
 """Token counts under a unigram model, by dynamic programming that words with a common beginning share.
 
-The pre-tokens of a batch that haven't been seen are put in a trie. A walk in lexicographic order keeps one row of
-forward scores per character of the path, so a shared prefix is scored once; a terminal stores the number of tokens
-on the best path. The vocabulary is a public tokenizer's; its pieces' log-probabilities follow from their ranks.
+The pre-tokens that a worker hasn't seen are put in a trie that it keeps: a node holds the forward score of its prefix,
+so a prefix is scored once however many words and batches share it, and a terminal's number of tokens on the best path
+is kept with its word. The vocabulary is a public tokenizer's; its pieces' log-probabilities follow from their ranks.
 """
 
 from __future__ import annotations
 
 import math
-import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"  # stands for the space before a word
-CACHED = 500_000
-WORD = re.compile(r"\S+")
-_kept: dict[tuple[str, float], tuple[dict[str, float], int, dict[str, int]]] = {}
+NODES = 1_000_000  # of a trie, some 150 bytes each; beyond them it starts afresh
+_kept: dict[tuple[str, float, float], Trie] = {}
 
 
 def rank_scores(pieces: list[str], exponent: float = 1.0) -> dict[str, float]:
@@ -29,66 +27,84 @@ def rank_scores(pieces: list[str], exponent: float = 1.0) -> dict[str, float]:
     return {p: s - total for p, s in raw.items()}
 
 
-def _model(path: str, exponent: float) -> tuple[dict[str, float], int, dict[str, int]]:
-    if (path, exponent) not in _kept:
-        from sentencepiece import SentencePieceProcessor
+def pieces(path: str) -> list[str]:
+    """A vocabulary's own pieces by rank, without those for control, bytes and the unknown."""
+    from sentencepiece import SentencePieceProcessor
 
-        m = SentencePieceProcessor(model_file=path)
-        own = [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
-        scores = rank_scores(own, exponent)
-        _kept[path, exponent] = scores, max(map(len, scores), default=1), {}
-    return _kept[path, exponent]
+    m = SentencePieceProcessor(model_file=path)
+    return [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
 
 
-def forward_counts(words: list[str], scores: dict[str, float], longest: int, unknown: float) -> dict[str, int]:
-    """The number of tokens on each word's best path; of equal scores the path with fewer tokens counts.
+class Trie:
+    """The number of tokens on words' best paths; of equal scores the path with fewer tokens counts.
 
     A character outside the vocabulary counts a token for each of its UTF-8 bytes, each at the score `unknown`.
     """
-    best, tokens, done, path = [0.0], [0], {}, ""
-    get = scores.get
-    for word in sorted(set(words)):
-        shared = 0
-        for x, y in zip(path, word, strict=False):
-            if x != y:
+
+    def __init__(self, scores: dict[str, float], unknown: float, nodes: int = NODES) -> None:
+        self.scores, self.unknown, self.most, self.longest = scores, unknown, nodes, max(map(len, scores), default=1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[int, int] = {}  # by node and character
+        self.best, self.tokens, self.done = array("d", [0.0]), array("q", [0]), {}
+
+    def count(self, word: str, mark: str = MARK) -> int:
+        """Tokens of the mark and the word."""
+        said, node, path, child, best, tokens = mark + word, 0, [0], self.child, self.best, self.tokens
+        for c in said:
+            node = child.get(node << 21 | ord(c))
+            if node is None:
                 break
-            shared += 1
-        del best[shared + 1 :], tokens[shared + 1 :]
-        for i in range(shared + 1, len(word) + 1):
-            size = len(word[i - 1].encode("utf-8", "surrogatepass"))
-            top, least = best[i - 1] + unknown * size, tokens[i - 1] + size
+            path.append(node)
+        get, unknown, longest = self.scores.get, self.unknown, self.longest
+        for i in range(len(path), len(said) + 1):
+            above, size = path[-1], len(said[i - 1].encode("utf-8", "surrogatepass"))
+            top, least = best[above] + unknown * size, tokens[above] + size
             for j in range(max(0, i - longest), i):
-                s = get(word[j:i])
-                if s is not None and ((s := s + best[j]) > top or s == top and tokens[j] < least - 1):
-                    top, least = s, tokens[j] + 1
+                s = get(said[j:i])
+                if s is not None and ((s := s + best[path[j]]) > top or s == top and tokens[path[j]] < least - 1):
+                    top, least = s, tokens[path[j]] + 1
+            child[above << 21 | ord(said[i - 1])] = len(best)
+            path.append(len(best))
             best.append(top)
             tokens.append(least)
-        path, done[word] = word, tokens[len(word)]
-    return done
+        self.done[word] = found = tokens[path[-1]]
+        return found
+
+    def total(self, words: list[str]) -> int:
+        done, count, out = self.done, self.count, 0
+        for w in words:
+            n = done.get(w)
+            out += count(w) if n is None else n
+        if len(self.best) > self.most or len(done) > self.most // 2:
+            self.clear()
+        return out
+
+
+def _trie(path: str, exponent: float, unknown: float) -> Trie:
+    if (path, exponent, unknown) not in _kept:
+        _kept[path, exponent, unknown] = Trie(rank_scores(pieces(path), exponent), unknown)
+    return _kept[path, exponent, unknown]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", exponent: float = 1.0, unknown: float = -20.0) -> DataFrame:
     """`(doc_id, n_pretokens, n_tokens)` of every whole text, a row for each row.
 
     Pre-tokens are what white space parts, each with the mark of a space before it. Null and empty texts have none.
-    Nothing is shuffled: a task keeps counts of at most `CACHED` pre-tokens and starts afresh beyond that.
+    Repeated rows are counted each, null doc_ids are kept, other columns are left aside whatever their names, and an
+    empty table gives an empty result. Nothing is shuffled: a worker keeps one trie for its tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores, longest, counts = _model(vocabulary, exponent)
+        trie = _trie(vocabulary, exponent, unknown)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                words = [[] if t is None else t.split() for t in part.column(1).to_pylist()]
-                if len(counts) > CACHED:
-                    counts.clear()
-                new = set().union(*words) - counts.keys()
-                if new:
-                    found = forward_counts([MARK + w for w in new], scores, longest, unknown)
-                    counts.update((w[1:], n) for w, n in found.items())
-                get = counts.__getitem__
-                n = [len(w) for w in words]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([sum(map(get, w)) for w in words], pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
+            n, found = [], []
+            for t in batch.column(1):
+                words = (t.as_py() or "").split()
+                n.append(len(words))
+                found.append(trie.total(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")

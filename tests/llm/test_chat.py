@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 from hypothesis import given, settings
@@ -68,6 +69,25 @@ def test_windows_keep_system_history_and_budget(spark):
             assert len(parsed(r)) == r.turns_before + r.turns_new
 
 
+def test_windows_keep_to_the_budget(spark):
+    count = lambda text: len(re.findall(r"[^\W_]+|[^\s\w]|_", text))
+    df = spark.createDataFrame(rows(), SCHEMA)
+    longest = {}
+    for c, _, role, text, _ in rows():
+        longest.setdefault(c, []).append((role, count(text or "")))
+    for budget, history in ((512, 128), (80, 30), (40, 39)):
+        for r in chat.windows(df, budget, history).withColumn("t", chat.parsed(F.col("formatted"))).collect():
+            sizes = [count(t) for _, t in r.t]
+            system = sizes[0] if r.t[0][0] == "system" else 0
+            assert r.n_tokens == sum(sizes)
+            own = sizes[r.turns_before :] if r.window else sizes[bool(system) :]
+            if system + max(own, default=0) <= budget and system + 1 <= budget - history or len(own) == 1 and system + own[0] <= budget:
+                assert r.n_tokens <= budget
+            else:
+                assert len(own) == 1 or system >= budget - history
+            assert sum(sizes[: r.turns_before]) - (system if r.window else 0) <= history
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text(st.sampled_from("\\#</turn>:\nab"), max_size=20), min_size=1, max_size=40))
 def test_escape_is_reversible_and_hides_controls(spark, texts):

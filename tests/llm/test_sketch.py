@@ -65,6 +65,19 @@ def test_containment_of_unequal_texts(spark):
     assert r.c > 0.95 and r.j < 0.1
 
 
+@pytest.mark.parametrize("floor", [0, 64])
+def test_merge_is_the_sketch_of_the_union(spark, floor):
+    rng = random.Random(5)
+    sets = [[f"word{rng.randrange(4000)}" for _ in range(n)] for n in (0, 1, 3, 40, 60, 64, 65, 300, 500, 900, 3000)]
+    pairs = [(" ".join(a), " ".join(b), " ".join(dict.fromkeys(a + b))) for a in sets for b in sets if a and b]
+    df = spark.createDataFrame(pairs, "a string, b string, both string")
+    for c in ("a", "b", "both"):
+        df = sketch.with_sketch(df, c, f"s_{c}", words=1, floor=floor)
+    df = df.withColumn("m", sketch.merge("s_a", "s_b", floor=floor))
+    assert df.where("m.upto <> s_both.upto OR m.hashes <> s_both.hashes").count() == 0
+    assert df.where("size(m.hashes) > 64").count() > 10
+
+
 def test_nothing_leaves_the_jvm(spark):
     plan = sketch.edited_likeness(spark.createDataFrame(rows(), SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan.replace("ArrowEval", "Arrow")

@@ -22,12 +22,22 @@ def test_shared_prefixes_count_as_each_word_alone():
     rng = random.Random(0)
     scores = tokens.rank_scores(["a", "b", "ab", "aba", "bb", "abab", "c"])
     words = {"".join(rng.choices("abcdé", k=rng.randint(0, 9))) for _ in range(600)}
-    got = tokens.forward_counts(list(words), scores, 4, -20.0)
-    assert got == {w: plain(w, scores, -20.0) for w in words}
+    want = {w: plain(w, scores, -20.0) for w in words}
+    trie = tokens.Trie(scores, -20.0)
+    assert {w: trie.count(w, "") for w in words} == want
+    small = tokens.Trie(scores, -20.0, 50)  # starts afresh again and again
+    assert all(small.total([w, w]) == 2 * plain(tokens.MARK + w, scores, -20.0) for w in words)
+
+
+def test_prefixes_are_scored_once():
+    trie = tokens.Trie(tokens.rank_scores(["a", "b", "ab"]), -20.0)
+    for words in (["abab", "abaa"], ["abab", "abba", "ab"], ["abaab"]):
+        trie.total(words)
+    assert len(trie.best) == 1 + len({(tokens.MARK + w)[:i] for w in ("abab", "abaa", "abba", "ab", "abaab") for i in range(1, 7)} )
 
 
 def test_whole_texts(spark):
-    scores, longest, _ = tokens._model(PATH, 1.0)
+    scores = tokens.rank_scores(tokens.pieces(PATH))
     texts = [None, "", "  ", "the cat sat", "the the the", "naïve 日本 ☃", "word " * 30000, "tab\tand\nline"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(3, "the cat sat", 1), (None, "x", 1)], "doc_id long, text string, n_tokens int")
     got = tokens.token_counts(docs, PATH).collect()
