@@ -44,14 +44,17 @@ def with_sketch(df: DataFrame, text: str, to: str, words: int = 5, fraction: flo
 def merge(a: str, b: str, fraction: float = 1 / 8, floor: int = 0) -> Column:
     """The sketch of the union of two sets, from their sketches of the same `fraction` and `floor`."""
     below = -(1 << 63) + int(fraction * (1 << 64))
-    both = F.sort_array(F.array_union(F.col(f"{a}.hashes"), F.col(f"{b}.hashes")))
-    if not floor:
-        return F.struct(F.lit(below - 1).alias("upto"), both.alias("hashes"))
-    under = F.filter(both, lambda h: h < below)
-    kept = F.when(F.size(under) >= floor, under).otherwise(F.slice(both, 1, floor))
-    whole = (F.col(f"{a}.upto") == MOST) & (F.col(f"{b}.upto") == MOST) & (F.size(both) <= floor)
-    upto = F.when(whole, F.lit(MOST)).when(F.size(kept) > floor, F.lit(below - 1)).otherwise(F.greatest(F.lit(below - 1), F.element_at(kept, -1)))
-    return F.struct(upto.alias("upto"), kept.alias("hashes"))
+    whole = (F.col(f"{a}.upto") == MOST) & (F.col(f"{b}.upto") == MOST)
+
+    def of(both: Column) -> Column:
+        under = F.size(F.filter(both, lambda h: h < below))
+        kept = F.when(under >= floor, under).otherwise(F.least(F.size(both), F.lit(floor)))
+        last = F.greatest(F.lit(below - 1), F.try_element_at(both, kept))
+        upto = F.when(whole & (F.size(both) <= floor), F.lit(MOST)).when(kept > floor, F.lit(below - 1)).otherwise(last)
+        return F.struct((upto if floor else F.lit(below - 1)).alias("upto"), F.slice(both, F.lit(1), kept).alias("hashes"))
+
+    # the union stands in a list of one, so that it is computed once
+    return F.element_at(F.transform(F.array(F.sort_array(F.array_union(F.col(f"{a}.hashes"), F.col(f"{b}.hashes")))), of), 1)
 
 
 def fingerprint(sketch: str) -> Column:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsengine.llm import sketch
+from obsengine.llm.common import durable
 
 SCHEMA = "doc_id long, text string, next_text string"
 
@@ -73,7 +74,7 @@ def test_merge_is_the_sketch_of_the_union(spark, floor):
     df = spark.createDataFrame(pairs, "a string, b string, both string")
     for c in ("a", "b", "both"):
         df = sketch.with_sketch(df, c, f"s_{c}", words=1, floor=floor)
-    df = df.withColumn("m", sketch.merge("s_a", "s_b", floor=floor))
+    df = durable(durable(df).withColumn("m", sketch.merge("s_a", "s_b", floor=floor)))
     assert df.where("m.upto <> s_both.upto OR m.hashes <> s_both.hashes").count() == 0
     assert df.where("size(m.hashes) > 64").count() > 10
 
