@@ -213,4 +213,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = found.join(named.select(F.col("fp").alias("a"), F.col("key").alias("key_a")), "a").join(named.select(F.col("fp").alias("b"), F.col("key").alias("key_b")), "b")
     roots = components(keyed, "key_a", "key_b").select(F.col("node.fp").alias("node"), F.col("root.low").alias("least"))
     placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("node"), F.when(F.col("node").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
+    placed = durable(placed)  # so that the join below has nothing but its two exchanges, and Spark splits hot fingerprints
     return own.join(placed, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "component_id")
