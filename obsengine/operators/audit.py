@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordering import percentiles
+
 
 def unit_regime(df: DataFrame) -> DataFrame:
     """Of each unit its span, channels, readings, instants, readings an instant, gap variation and spread of rates."""
@@ -32,7 +34,10 @@ def exposure(df: DataFrame) -> DataFrame:
 def channel_steps(df: DataFrame) -> DataFrame:
     """Of each channel of all units its readings, first and last, and percentiles of the step between readings."""
     step = F.col("time") - F.lag("time").over(Window.partitionBy("unit", "channel").orderBy("time"))
-    return df.withColumn("step", step).groupBy("channel").agg(F.count(F.lit(1)).alias("readings"), F.min("time").alias("first"), F.max("time").alias("last"), F.median("step").alias("step_median"), F.percentile("step", F.lit(0.05)).alias("step_p05"), F.percentile("step", F.lit(0.95)).alias("step_p95"))
+    rows = df.withColumn("step", step)
+    steps = percentiles(rows, "step", [0.5, 0.05, 0.95], ["channel"], "p")
+    counts = rows.groupBy("channel").agg(F.count(F.lit(1)).alias("readings"), F.min("time").alias("first"), F.max("time").alias("last"))
+    return counts.join(steps, "channel", "left").select("channel", "readings", "first", "last", *[F.get("p", i).alias(f"step_{n}") for i, n in enumerate(("median", "p05", "p95"))])
 
 
 def channel_pairs(df: DataFrame, width: float = 1.0) -> DataFrame:

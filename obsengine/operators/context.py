@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordering import median
+
 
 def windows_before(windows: DataFrame, count: int, length: float) -> DataFrame:
     """For each k from 1 to `count` the window of the unit that ends nearest k lengths earlier.
@@ -72,7 +74,7 @@ def unit_reference(scores: DataFrame) -> DataFrame:
 
 def channel_error_scales(errors: DataFrame) -> DataFrame:
     """A window's mean and largest error over its channel's median error; a channel with median 0 divides by 1."""
-    mid = errors.groupBy("channel").agg(F.median("error").alias("mid"))
+    mid = median(errors, "error", ["channel"], "mid")
     ratio = F.col("error") / F.when(F.col("mid") > 0, F.col("mid")).otherwise(1.0)
     return errors.join(mid, "channel").groupBy("unit", "position").agg(F.avg(ratio).alias("mean_error"), F.max(ratio).alias("max_error"))
 

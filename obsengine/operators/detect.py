@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordering import kept, median, percentiles
+
 VALUES = ("mean", "minimum", "maximum", "last", "log_count")
 
 
@@ -16,9 +18,10 @@ def window_summaries(tokens: DataFrame) -> DataFrame:
 
 def departure_floor(summaries: DataFrame) -> DataFrame:
     """A2: of each channel and value a tenth of the scaled median absolute deviation; without spread the median of the rest, else 1."""
-    long = summaries.unpivot(["channel"], list(VALUES), "kind", "x")
-    mid = long.groupBy("channel", "kind").agg(F.median("x").alias("mid"))
-    mad = long.join(mid, ["channel", "kind"]).groupBy("channel", "kind").agg((F.median(F.abs(F.col("x") - F.col("mid"))) * 0.14826).alias("floor"))
+    long = kept(summaries.unpivot(["channel"], list(VALUES), "kind", "x"))
+    mid = median(long, "x", ["channel", "kind"], "mid")
+    off = long.join(mid, ["channel", "kind"]).select("channel", "kind", F.abs(F.col("x") - F.col("mid")).alias("off"))
+    mad = median(off, "off", ["channel", "kind"], "mad").select("channel", "kind", (F.col("mad") * 0.14826).alias("floor"))
     rest = mad.where("floor > 0").groupBy("kind").agg(F.median("floor").alias("rest"))
     return mad.join(rest, "kind", "left").select("channel", "kind", F.when(F.col("floor") > 0, F.col("floor")).otherwise(F.coalesce("rest", F.lit(1.0))).alias("floor"))
 
@@ -44,10 +47,36 @@ def window_score(departures: DataFrame) -> DataFrame:
     return departures.groupBy("unit", "position").agg(F.max("departure").alias("score"), F.avg("departure").alias("mean_score"))
 
 
-def score_alarm(scores: DataFrame, contamination: float, fitting: DataFrame | None = None) -> DataFrame:
-    """A5: scores less the level that a share `contamination` of the fitting scores exceeds; one number is broadcast."""
-    level = (scores if fitting is None else fitting).agg(F.percentile("score", F.lit(1 - contamination)).alias("level"))
-    return scores.crossJoin(F.broadcast(level)).withColumn("alarm", F.col("score") - F.col("level"))
+def spread_of(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """`(*by, centre, spread)`: median and scaled median absolute deviation; a deviation of rounding alone is 0."""
+    mid = median(rows, value, by, "centre")
+    joined = rows.join(mid, by) if by else rows.crossJoin(F.broadcast(mid))
+    off = median(joined.select(*by, F.abs(F.col(value) - F.col("centre")).alias("off")), "off", by, "mad")
+    both = mid.join(off, by) if by else mid.crossJoin(off)
+    scaled = 1.4826 * F.col("mad")
+    return both.select(*by, "centre", F.when(scaled > 1e-9 * (1 + F.abs("centre")), scaled).otherwise(0.0).alias("spread"))
+
+
+def against_own_unit(scores: DataFrame, fallback: DataFrame) -> DataFrame:
+    """`scores` with `read`: the score less its unit's median over the unit's spread, or `fallback`'s where it has none."""
+    own = scores.join(spread_of(scores, "score", ["unit"]), "unit").crossJoin(F.broadcast(fallback))
+    return own.withColumn("read", (F.col("score") - F.col("centre")) / F.when(F.col("spread") > 0, F.col("spread")).otherwise(F.col("fallback"))).drop("centre", "spread", "fallback")
+
+
+def score_alarm(scores: DataFrame, contamination: float, fitting: DataFrame | None = None, per_unit: bool = False) -> DataFrame:
+    """A5: scores less the level that a share `contamination` of the fitting scores exceeds; one number is broadcast.
+
+    With `per_unit` each score is first read against its own unit's scores, in `read`; a unit without a spread takes
+    that of all fitting scores, else 1.
+    """
+    value = "score"
+    if per_unit:
+        of = spread_of(scores if fitting is None else fitting, "score", [])
+        fallback = of.select(F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0).alias("fallback"))
+        fitting = fitting if fitting is None else against_own_unit(fitting, fallback)
+        scores, value = kept(against_own_unit(scores, fallback)), "read"
+    level = percentiles(scores if fitting is None else fitting, value, [1 - contamination], to="_p").select(F.get("_p", 0).alias("level"))
+    return scores.crossJoin(F.broadcast(level)).withColumn("alarm", F.col(value) - F.col("level"))
 
 
 def mean_distance(rows: DataFrame, vector: str, dim: int, fitting: DataFrame | None = None) -> DataFrame:

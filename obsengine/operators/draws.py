@@ -86,3 +86,14 @@ def mixture(parts: Sequence[tuple[DataFrame, float, int]], seed: int, key: str =
 def first_window(windows: DataFrame) -> DataFrame:
     """The earliest window of each unit."""
     return windows.groupBy("unit").agg(F.min(F.struct("win_end", "position")).alias("w")).select("unit", "w.position", "w.win_end")
+
+
+def inner_holdout(units: DataFrame, one_in: int, seed: int) -> DataFrame:
+    """`units` with `held_out`: one in `one_in` of them, rounded up, by seeded rank; two at least must be there."""
+    if one_in < 2:
+        raise ValueError("one_in must be at least two")
+    ranked = digest_position(units.withColumn("_d", seeded_rank(seed, F.lit("inner-holdout"), "unit")), "_d", ["unit"], to="_place").drop("_d")
+    n = units.count()
+    if -(-n // one_in) >= n:
+        raise ValueError(f"{n} units leave none to learn from when one in {one_in} is held out")
+    return ranked.withColumn("held_out", F.col("_place") <= -(-n // one_in)).drop("_place")

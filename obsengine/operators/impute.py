@@ -18,6 +18,44 @@ def draw_masks(tokens: DataFrame, share: float, seed: int) -> DataFrame:
     return rows.withColumn("hidden", (u < share) & (F.col("_d") != first)).drop("_d")
 
 
+def mask_windows(tokens: DataFrame, seed: int, channel: float = 0.0, block: float = 0.0, block_span: float = 0.3, token: float = 0.0, tail: float = 0.0, tail_span: tuple[float, float] = (0.1, 0.3), interval: float = 0.0, interval_span: tuple[float, float] = (0.1, 0.3), timeless: str | None = None) -> DataFrame:
+    """M1: `tokens` with `hidden` and what hid them: `by_channel`, `by_block`, `by_token`, `by_tail`, `by_interval`.
+
+    Each argument is the rate of its draw: whole channels of a window, a stretch of `block_span` of a channel, single
+    tokens, the end of a window, a stretch in all channels; spans are shares of the window. Numbers follow from digests
+    of the seed, the window and the channel or the token's place, so they replay anywhere. `timeless` tokens are
+    reached by no stretch of time. A window left without visible tokens shows its first one; `by_channel` holds
+    where a channel shows none after that, whichever draws hid it.
+    """
+    number = lambda name, *key: F.conv(F.substring(seeded_rank(seed, F.lit(name), *WIN, *key), 1, 13), 16, 10).cast("double") / float(16**13)
+    order = Window.partitionBy(*WIN).orderBy("time", "channel", "value")
+    rows = tokens.withColumn("_nth", F.row_number().over(order))
+    t, timed = F.col("time"), F.lit(True) if timeless is None else ~F.col(timeless)
+    begin = number("block start", "channel") * (1 - block_span)
+    last = tail_span[0] + number("tail span") * (tail_span[1] - tail_span[0])
+    span = interval_span[0] + number("interval span") * (interval_span[1] - interval_span[0])
+    since = number("interval start") * (1 - span)
+    rows = rows.withColumns({
+        "_whole": number("channel", "channel") < channel,
+        "by_block": (number("block", "channel") < block) & timed & (t >= begin) & (t <= begin + block_span),
+        "by_token": number("token", "_nth") < token,
+        "by_tail": (number("tail") < tail) & timed & (t >= 1 - last),
+        "by_interval": (number("interval") < interval) & timed & (t >= since) & (t <= since + span),
+    })
+    rows = rows.withColumn("hidden", F.col("_whole") | F.col("by_block") | F.col("by_token") | F.col("by_tail") | F.col("by_interval"))
+    starved = F.min(F.col("hidden").cast("int")).over(Window.partitionBy(*WIN)) == 1
+    rows = rows.withColumn("hidden", F.col("hidden") & ~(starved & (F.col("_nth") == 1)))
+    shown = F.min(F.col("hidden").cast("int")).over(Window.partitionBy(*WIN, "channel")) == 0
+    rows = rows.withColumn("by_channel", F.col("hidden") & ~shown)
+    return rows.withColumns({c: F.col(c) & F.col("hidden") for c in ("by_block", "by_token", "by_tail", "by_interval")}).drop("_nth", "_whole")
+
+
+def expected_ratio(channel: float = 0.0, block: float = 0.0, block_span: float = 0.3, token: float = 0.0, tail: float = 0.0, tail_span: tuple[float, float] = (0.1, 0.3), interval: float = 0.0, interval_span: tuple[float, float] = (0.1, 0.3)) -> float:
+    """M1: the share of tokens that `mask_windows` hides of windows whose tokens lie evenly over time and channels."""
+    stays = (1 - channel) * (1 - block * block_span) * (1 - token)
+    return 1 - stays * (1 - tail * sum(tail_span) / 2) * (1 - interval * sum(interval_span) / 2)
+
+
 def mask_kind(masked: DataFrame) -> DataFrame:
     """M2: `channel` where a channel of a window is left without visible tokens, else `token`."""
     visible = F.sum((~F.col("hidden")).cast("int")).over(Window.partitionBy(*WIN, "channel"))

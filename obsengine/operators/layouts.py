@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordering import percentiles
+
 WIN = ["unit", "position"]
 
 
@@ -71,7 +73,7 @@ def diff_preparations(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def channel_alarms(departures: DataFrame, share: float) -> DataFrame:
     """Each channel's own alarm level, which a share of its windows exceeds."""
-    return departures.groupBy("channel").agg(F.percentile("departure", F.lit(1 - share)).alias("alarm"))
+    return percentiles(departures, "departure", [1 - share], ["channel"], "p").select("channel", F.get("p", 0).alias("alarm"))
 
 
 def envelope_departures(now: DataFrame, floor: float) -> DataFrame:

@@ -75,6 +75,24 @@ def flagged_runs(predictions: DataFrame, flag: str = "flagged", event: str = "ev
     return runs.groupBy("unit", "_island").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.bool_or(F.col(event) > 0).alias("true_alarm")).drop("_island")
 
 
+def corrected_event_fbeta(predictions: DataFrame, beta: float = 0.5, flag: str = "flagged", event: str = "event") -> DataFrame:
+    """K7: one row `(events, found, false_runs, recall, precision, fbeta)` at the alarm that `flag` stands for.
+
+    Recall is the share of events with a flagged window. Precision is that of events found among these and the runs
+    that meet none, times the share of normal windows left quiet: to flag everything scores nothing.
+    """
+    if beta <= 0:
+        raise ValueError("beta must be positive")
+    is_event = F.coalesce(F.col(event) > 0, F.lit(False))
+    counts = predictions.agg(F.countDistinct(F.when(is_event, F.col(event))).alias("events"), F.countDistinct(F.when(is_event & F.col(flag), F.col(event))).alias("found"), F.count_if(~is_event).alias("normal"), F.count_if(~is_event & ~F.col(flag)).alias("quiet"))
+    false_runs = flagged_runs(predictions, flag, event).agg(F.count_if(~F.coalesce("true_alarm", F.lit(False))).alias("false_runs"))
+    rows = counts.crossJoin(F.broadcast(false_runs))  # a row each
+    share = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    rows = rows.withColumn("recall", F.col("found") / F.nullif("events", F.lit(0))).withColumn("precision", share(F.col("found"), F.col("found") + F.col("false_runs")) * share(F.col("quiet"), F.col("normal")))
+    weighted = share((1 + beta**2) * F.col("precision") * F.col("recall"), beta**2 * F.col("precision") + F.col("recall"))
+    return rows.withColumn("fbeta", weighted).select("events", "found", "false_runs", "recall", "precision", "fbeta")
+
+
 def average_rank(df: DataFrame, column: str, to: str) -> DataFrame:
     """`df` with the rank of `column`, equal values sharing their mean rank."""
     sizes = df.groupBy(column).agg(F.count(F.lit(1)).cast("double").alias("_n"))
@@ -87,10 +105,15 @@ def rank_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return average_rank(average_rank(df, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("spearman"))
 
 
-def holm(tests: DataFrame, p: str = "p") -> DataFrame:
-    """Holm's adjusted p and Benjamini and Hochberg's; a family of tests is a few rows and is ordered whole."""
+def holm(tests: DataFrame, p: str = "p", family_size: int | None = None) -> DataFrame:
+    """Holm's adjusted p and Benjamini and Hochberg's; a family of tests is a few rows and is ordered whole.
+
+    `family_size` counts the whole family where only some of its tests were run, and can't be less than these.
+    """
     w = Window.partitionBy(F.lit(0)).orderBy(p, "test")
     n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    if family_size is not None:
+        n = F.when(n > family_size, F.raise_error(F.lit(f"more tests than the family's {family_size}"))).otherwise(F.lit(family_size))
     rows = tests.withColumn("_k", F.row_number().over(w)).withColumn("_n", n)
     down = F.max(F.least(F.lit(1.0), F.col(p) * (F.col("_n") - F.col("_k") + 1))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     up = F.min(F.least(F.lit(1.0), F.col(p) * F.col("_n") / F.col("_k"))).over(w.rowsBetween(0, Window.unboundedFollowing))

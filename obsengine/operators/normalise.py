@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.normal import normal_cdf, normal_quantile
+from ..functions.ordering import median, percentiles
+
+RANK_FLOOR = 1e-7  # normal scores stay within those of this rank and its mirror
+
 
 def extend_vocabulary(vocabulary: DataFrame | None, channels: DataFrame) -> DataFrame:
     """New channels get the next ids from 1 in name order. A vocabulary has a row per channel, so it is ordered whole."""
@@ -26,16 +31,15 @@ def fit_standard(df: DataFrame) -> DataFrame:
 
 def fit_robust(df: DataFrame) -> DataFrame:
     """Median, median absolute deviation and scale: 1.4826 of it, or the deviation if it is 0."""
-    mid = df.groupBy("channel").agg(F.median("value").alias("median"), F.stddev_pop("value").alias("std"))
-    off = df.join(mid, "channel").groupBy("channel").agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"))
+    mid = median(df, "value", ["channel"]).join(df.groupBy("channel").agg(F.stddev_pop("value").alias("std")), "channel")
+    off = median(df.join(mid, "channel").select("channel", F.abs(F.col("value") - F.col("median")).alias("off")), "off", ["channel"], "mad")
     scale = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.col("std"))
     return mid.join(off, "channel").withColumn("scale", scale)
 
 
 def fit_quantile(df: DataFrame, knots: int = 1001) -> DataFrame:
     """`knots` linearly interpolated quantiles."""
-    at = F.array(*[F.lit(i / (knots - 1)) for i in range(knots)])
-    return df.groupBy("channel").agg(F.percentile("value", at).alias("quantiles"))
+    return percentiles(df, "value", [i / (knots - 1) for i in range(knots)], ["channel"], "quantiles")
 
 
 def normalise(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -60,6 +64,22 @@ def quantile_rank(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(stats.select("channel", "quantiles"), "channel").withColumn("rank", rank).select(*df.columns, "rank")
 
 
+def normal_scores(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """The normal score of a value's rank among its channel's quantiles, the rank kept off 0 and 1 by the floor."""
+    ranked = quantile_rank(df, stats)
+    within = F.greatest(F.lit(RANK_FLOOR), F.least(F.lit(1 - RANK_FLOOR), F.col("rank")))
+    return ranked.withColumn("value", normal_quantile(within)).select(*df.columns)
+
+
+def from_normal_scores(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Raw values of normal scores, on the line between the two quantiles about the score's rank."""
+    last = F.size("quantiles") - 1
+    at = normal_cdf(F.col("value")) * last
+    low = F.least(F.floor(at), last - 1).cast("int")
+    line = F.get("quantiles", low) + (at - low) * (F.get("quantiles", low + 1) - F.get("quantiles", low))
+    return df.join(stats.select("channel", "quantiles"), "channel").withColumn("value", line).select(*df.columns)
+
+
 def denormalise(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Raw values of standard scores."""
     return df.join(stats, "channel").withColumn("value", F.col("value") * F.when(F.col("std") > 0, F.col("std")).otherwise(1.0) + F.col("mean")).select(*df.columns)

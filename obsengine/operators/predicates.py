@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordering import sorted_position
+
 
 def qualify_by_condition(rows: DataFrame, conditions: DataFrame, settings: Sequence[str], tolerance: float) -> DataFrame:
     """`condition` of each row: the first whose settings all lie within `tolerance`; null where none does.
@@ -112,14 +114,14 @@ def turns_later(windows: DataFrame, hours: DataFrame, length: float) -> DataFram
 def overlap_marked_rows(assigned: DataFrame, mark: Column) -> DataFrame:
     """Windows that hold a marked reading take their unit's number among the units with marks, the others 0."""
     held = assigned.groupBy("unit", "position").agg(F.coalesce(F.bool_or(mark), F.lit(False)).alias("marked"))
-    numbers = held.where("marked").select("unit").distinct().withColumn("number", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("unit")))
+    numbers = sorted_position(held.where("marked").select("unit").distinct(), ["unit"], "number")
     return held.join(numbers, "unit", "left").select("unit", "position", F.when(F.col("marked"), F.col("number")).otherwise(0).cast("long").alias("event"))
 
 
 def unit_events(units: DataFrame, anomaly: str = "anomaly") -> DataFrame:
     """An anomalous unit is an event of its own, numbered from 1 by name; other units are 0."""
-    nth = F.row_number().over(Window.partitionBy(F.col(anomaly) > 0).orderBy("unit"))
-    return units.withColumn("event", F.when(F.col(anomaly) > 0, nth).otherwise(0).cast("long"))
+    odd = F.coalesce(F.col(anomaly) > 0, F.lit(False))
+    return sorted_position(units.where(odd), ["unit"], "event").unionByName(units.where(~odd).withColumn("event", F.lit(0).cast("long")))
 
 
 def consolidate_events(rows: DataFrame, channels: Sequence[str], scored: Sequence[str]) -> DataFrame:

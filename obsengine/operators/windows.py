@@ -39,12 +39,21 @@ def assign_windows(readings: DataFrame, units: DataFrame, length: float, stride:
     return rows.where((F.col("time") >= F.col("win_start")) & (F.col("time") < F.col("win_start") + length)).drop("extent_start")
 
 
-def tokenise(assigned: DataFrame, length: float) -> DataFrame:
-    """Time as a fraction of the window, and the gap since the channel's last token in it, or its start."""
+def tokenise(assigned: DataFrame, length: float, statics: DataFrame | None = None) -> DataFrame:
+    """Time as a fraction of the window, and the gap since the channel's last token in it, or its start.
+
+    `statics` are a unit's descriptors `(unit, channel, value)`: each is a token of every window of its unit that holds
+    a reading, with time and gap 0, and `timeless` tells these tokens from the others.
+    """
     w = Window.partitionBy(*WIN, "channel").orderBy("time", "value")
     t = (F.col("time") - F.col("win_start")) / length
     rows = assigned.withColumn("time", t)
-    return rows.withColumn("gap", F.col("time") - F.coalesce(F.lag("time").over(w), F.lit(0.0))).select("unit", "position", "channel", "value", "time", "gap")
+    out = rows.withColumn("gap", F.col("time") - F.coalesce(F.lag("time").over(w), F.lit(0.0))).select("unit", "position", "channel", "value", "time", "gap")
+    if statics is not None:
+        told = assigned.select("unit", "position").distinct().join(statics.select("unit", "channel", F.col("value").cast("double").alias("value")), "unit")
+        told = told.select("unit", "position", "channel", "value", F.lit(0.0).alias("time"), F.lit(0.0).alias("gap"), F.lit(True).alias("timeless"))
+        return out.withColumn("timeless", F.lit(False)).unionByName(told)
+    return out
 
 
 def empty_units(units: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -52,9 +61,19 @@ def empty_units(units: DataFrame, assigned: DataFrame) -> DataFrame:
     return units.select("unit").join(assigned.select("unit").distinct(), "unit", "left_anti")
 
 
-def pack_windows(tokens: DataFrame) -> DataFrame:
-    """A row for each window with its tokens in canonical order."""
-    return tokens.groupBy(*WIN).agg(F.sort_array(F.collect_list(F.struct("time", "channel", "value", "gap"))).alias("tokens"))
+def pack_windows(tokens: DataFrame, length: int | None = None) -> DataFrame:
+    """A row for each window with its tokens in canonical order.
+
+    With `length` each window's tokens are filled up to it with zeros without channel, and `mask` is true where a token
+    stands; a window with more tokens is refused.
+    """
+    packed = tokens.groupBy(*WIN).agg(F.sort_array(F.collect_list(F.struct("time", "channel", "value", "gap"))).alias("tokens"))
+    if length is None:
+        return packed
+    n, kinds = F.size("tokens"), dict(tokens.dtypes)
+    blank = F.struct(*[(F.lit(None) if c == "channel" else F.lit(0.0)).cast(kinds[c]).alias(c) for c in ("time", "channel", "value", "gap")])
+    fits = F.when(n > length, F.raise_error(F.lit(f"a window holds more than {length} tokens"))).otherwise(F.lit(length) - n)
+    return packed.select(*WIN, F.concat("tokens", F.array_repeat(blank, fits)).alias("tokens"), F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), fits)).alias("mask"))
 
 
 def window_counts(units: DataFrame, length: float, stride: float) -> DataFrame:

@@ -250,8 +250,8 @@ def read_events(spark: SparkSession, labels: str, types: str) -> DataFrame:
 
 
 def export_predictions(predictions: DataFrame, path: str) -> None:
-    """Every answer of every run as flat rows, a folder for each run."""
-    predictions.repartition("run").sortWithinPartitions("run", "unit", "position").write.partitionBy("run").parquet(path)
+    """Every answer of every run as flat rows, a folder for each run; a run's units are spread over tasks."""
+    predictions.repartition("run", "unit").sortWithinPartitions("run", "unit", "position").write.partitionBy("run").parquet(path)
 
 
 def read_pairs(spark: SparkSession, path: str, control: str, candidate: str) -> DataFrame:
