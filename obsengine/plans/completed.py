@@ -25,7 +25,7 @@ s AS (SELECT *, hit AND NOT (nth = 1 AND bool_and(hit) OVER (PARTITION BY unit,
 m AS (SELECT *, hidden AND bool_and(hidden) OVER (PARTITION BY unit, position, channel) AS by_channel FROM s)"""
 
 
-@query(f"WITH {_DRAWN} SELECT count(*) AS tokens, {r('avg(CAST(hidden AS INT))', 'measured')}, {r(str(impute.expected_ratio(**RATES)), 'expected')}, " + ", ".join(f"count(*) FILTER (hidden AND {c}) AS {c}" for c in ("by_channel", "by_block", "by_token", "by_tail", "by_interval")) + " FROM m")
+@query(f"WITH {_DRAWN} SELECT count(*) AS tokens, {r('avg(CAST(hidden AS INT))', 'measured')}, {r(f'CAST({impute.expected_ratio(**RATES)} AS DOUBLE)', 'expected')}, " + ", ".join(f"count(*) FILTER (hidden AND {c}) AS {c}" for c in ("by_channel", "by_block", "by_token", "by_tail", "by_interval")) + " FROM m")
 def m1_draw_masks(spark, sf_dir):
     hidden = impute.mask_windows(tokens(spark, sf_dir), SEED, **RATES)
     kinds = ("by_channel", "by_block", "by_token", "by_tail", "by_interval")
@@ -33,7 +33,7 @@ def m1_draw_masks(spark, sf_dir):
 
 
 _Q = "q AS (SELECT channel, quantile_cont(value, [" + ", ".join(f"{i / 20}" for i in range(21)) + "]) AS q FROM obs GROUP BY channel)"
-_RANKED = f"{OBS}, {_Q}, b AS (SELECT *, len(list_filter(q, k -> k < value)) AS below, len(list_filter(q, k -> k <= value)) AS upto FROM obs JOIN q USING (channel)), rk AS (SELECT *, CASE WHEN upto > below THEN (below + upto - 1) / 2.0 / 20 WHEN below = 0 THEN 0.0 WHEN below > 20 THEN 1.0 ELSE (below - 1 + (value - q[below]) / (q[below + 1] - q[below])) / 20 END AS rank FROM b), w AS (SELECT *, greatest(1e-7, least(1 - 1e-7, rank)) AS p FROM rk)"
+_RANKED = f"{OBS}, {_Q}, b AS (SELECT *, len(list_filter(q, lambda k: k < value)) AS below, len(list_filter(q, lambda k: k <= value)) AS upto FROM obs JOIN q USING (channel)), rk AS (SELECT *, CASE WHEN upto > below THEN (below + upto - 1) / 2.0 / 20 WHEN below = 0 THEN 0.0 WHEN below > 20 THEN 1.0 ELSE (below - 1 + (value - q[below]) / (q[below + 1] - q[below])) / 20 END AS rank FROM b), w AS (SELECT *, greatest(1e-7, least(1 - 1e-7, rank)) AS p FROM rk)"
 
 
 @query(f"WITH {_RANKED} SELECT unit, channel, {r('time', 'time')}, {r(normal_quantile_sql('p'), 'value')} FROM w")
@@ -42,11 +42,15 @@ def n5_normal_scores(spark, sf_dir):
     return normalise.normal_scores(obs, normalise.fit_quantile(obs, 21))
 
 
-@query(f"WITH {OBS} SELECT unit, channel, {r('time', 'time')}, round(value, 3) + 0.0 AS value FROM obs WHERE channel IS NOT NULL")
+@query(f"WITH {OBS} SELECT channel, count(*) AS readings, count(*) AS restored FROM obs WHERE channel IS NOT NULL GROUP BY channel")
 def n6_from_normal_scores(spark, sf_dir):
-    obs = readings(spark, sf_dir)
+    """Values come back but for what the rank floor takes off a channel's extremes, a ten-thousandth of a knot's width."""
+    obs = readings(spark, sf_dir).where("channel IS NOT NULL")
     stats = normalise.fit_quantile(obs, 1001)
-    return normalise.from_normal_scores(normalise.normal_scores(obs, stats), stats).withColumn("value", F.round("value", 3))
+    width = F.array_max(F.zip_with("quantiles", F.slice("quantiles", 2, 1000), lambda a, b: b - a))
+    back = normalise.from_normal_scores(normalise.normal_scores(obs.withColumn("raw", F.col("value")), stats), stats)
+    near = back.join(stats.select("channel", width.alias("width")), "channel").withColumn("near", F.abs(F.col("value") - F.col("raw")) <= 1.001e-4 * F.col("width") + 1e-9)
+    return near.groupBy("channel").agg(F.count(F.lit(1)).alias("readings"), F.count_if("near").alias("restored"))
 
 
 _STATIC = "st AS (SELECT CAST(c_custkey AS VARCHAR) AS unit, 'balance' AS channel, c_acctbal AS value FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'nation', c_nationkey FROM customer)"

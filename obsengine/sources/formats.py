@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..operators.repair import keep_preferred, most_frequent, one_row_per_instant, scale_within_unit, units_with_least, widest_channels
 from ..operators.sides import thin_to_cap
-from .tables import finite, hours_since, to_long
+from .tables import describe, finite, hours_since, to_long
 
 # Ward codes, and the descriptors that stand at 00:00 of a stay.
 WARDS = {1: "coronary care", 2: "cardiac surgery recovery", 3: "medical", 4: "surgical"}
@@ -219,8 +219,17 @@ def choose_parts(df: DataFrame, parts: Sequence[str]) -> DataFrame:
     return df.where(F.col("part").isin(*parts)).withColumn("unit", F.concat_ws("/", "part", "unit"))
 
 
-def publish(tokens: DataFrame, path: str, manifest: Mapping[str, object], part: str = "part") -> None:
-    """Tokens by part, a unit's rows in one file of its part, and the manifest beside them; a path in use is refused."""
+def publish(tokens: DataFrame, path: str, manifest: Mapping[str, object], part: str = "part", source: DataFrame | None = None, fingerprint: int | None = None) -> None:
+    """Tokens by part, a unit's rows in one file of its part, and the manifest beside them; a path in use is refused.
+
+    With `source`, the readings that the tokens were made of, their description joins the manifest, and readings whose
+    `fingerprint` isn't the one given are refused: they have moved since.
+    """
+    if source is not None:
+        found = describe(source).first().asDict()
+        if fingerprint is not None and found["fingerprint"] != fingerprint:
+            raise ValueError(f"the source's fingerprint is {found['fingerprint']}, not {fingerprint}")
+        manifest = {**manifest, **found}
     tokens.repartition(part, "unit").sortWithinPartitions(part, "unit", "position").write.partitionBy(part).parquet(f"{path}/tokens")
     spark = tokens.sparkSession
     spark.createDataFrame([(k, str(v)) for k, v in sorted(manifest.items())], "key string, value string").write.json(f"{path}/manifest")
