@@ -8,6 +8,7 @@ What remains is a short table of n-grams, and the score of a text of any length
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import seeded
+from .common import durable, seeded
 
 BITS = 20
 ORDERS = (3, 4, 5, 6)
@@ -118,20 +119,24 @@ def fit_table(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_row
     """Fit on the labelled rows outside the held-out fold.
 
     The sample is bounded: the `most_rows` labelled ids of least seeded rank, and of those whole texts in that order
-    while they hold at most `most_chars` characters in all. Labels other than 0 and 1 are left out; of an id labelled
+    that hold at most `most_chars` characters in all; one that no longer fits is passed over and the next are tried. A
+    sample of one label only gives a warning. Labels other than 0 and 1 are left out; of an id labelled
     or texted more than once the largest label and the first text count.
     """
     named = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where("_label IN (0, 1)")
     named = named.where(~held_out("_id")).groupBy("_id").agg(F.max("_label").alias("_label"))
     chosen = named.orderBy(seeded(seed, "_id"), "_id").limit(most_rows)
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(chosen, "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
-    x, y, held = [], [], 0
-    for r in texts.orderBy(seeded(seed, "_id"), "_id").toLocalIterator():
-        held += len(r["_text"] or "")
-        if x and held > most_chars:
-            break
-        x.append(r["_text"])
-        y.append(r["_label"])
+    texts = durable(texts)
+    fits, held = [], 0
+    for r in texts.select("_id", F.coalesce(F.length("_text"), F.lit(0)).alias("n")).orderBy(seeded(seed, "_id"), "_id").collect():  # at most most_rows lengths
+        if held + r["n"] <= most_chars:
+            held += r["n"]
+            fits.append(r["_id"])
+    rows = texts.where(F.col("_id").isin(fits)).orderBy(seeded(seed, "_id"), "_id").collect()  # at most most_chars characters
+    x, y = [r["_text"] for r in rows], [r["_label"] for r in rows]
+    if y and min(y) == max(y):
+        warnings.warn(f"all {len(y)} labelled texts of the sample have the label {y[0]}: every text gets one score", stacklevel=2)
     return fit(x, y)
 
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from obsengine.llm import toxicity
 
@@ -21,11 +22,12 @@ def sample(n, seed=0):
     return rows
 
 
-def test_ngrams_by_hand():
-    def plain(text, n):
-        raw = f" {text} ".lower().replace("\t", " ").encode()
-        return [raw[i : i + n] for i in range(len(raw) - n + 1) if b" " not in raw[i + 1 : i + n - 1]]
+def plain(text, n):
+    raw = f" {text} ".lower().replace("\t", " ").encode()
+    return [raw[i : i + n] for i in range(len(raw) - n + 1) if b" " not in raw[i + 1 : i + n - 1]]
+
 
+def test_ngrams_by_hand():
     for text in ("", "a", "Hello  big\tworld", "é ü", "x" * 50):
         for n in (3, 5):
             got = [h for block in toxicity.ngrams(text, (n,), 20) for h in block.tolist()]
@@ -34,6 +36,37 @@ def test_ngrams_by_hand():
             assert len(set(got)) == len(set(want))
 
 
+def test_scores_of_a_dense_refit():
+    rows = sample(150, seed=3)
+    y = np.array([r[2] for r in rows], float)
+    held = [{g for n in toxicity.ORDERS for g in plain(r[1], n)} for r in rows]
+    names = sorted(set().union(*held))
+    has = np.array([[g in h for g in names] for h in held], float)
+    p, q = has[y == 1].sum(0) + 1, has[y == 0].sum(0) + 1
+    ratio = np.log(p / ((y == 1).sum() + 2) / (q / ((y == 0).sum() + 2)))
+    told = (has.sum(0) >= 3) & (abs(ratio) > 2 * np.sqrt(1 / p + 1 / q))
+    x = np.column_stack([has[:, told] * ratio[told], np.ones(len(y))])
+    w, step = np.zeros(x.shape[1]), 4 / np.linalg.norm(x, 2) ** 2
+    for _ in range(20000):  # proximal gradient, no penalty on the bias
+        w -= step * (x.T @ (1 / (1 + np.exp(-x @ w)) - y))
+        w[:-1] = np.sign(w[:-1]) * np.maximum(abs(w[:-1]) - step * 2.0, 0)
+    m = toxicity.fit([r[1] for r in rows], [r[2] for r in rows], bits=24, rounds=5000)
+    assert len(m.weights) > 1
+    assert np.allclose([m.score(r[1]) for r in rows], 1 / (1 + np.exp(-x @ w)), atol=1e-3)
+
+
+def test_a_text_that_no_longer_fits_is_passed_over(spark):
+    rows = [(i, t + " x" * 100_000 if i % 7 == 0 else t, "") for i, t, _ in sample(200)]
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in sample(200)], "doc_id long, quality int, toxic int")
+    short = [r if r[0] % 7 else (r[0], None, "") for r in rows]
+    chars = sum(len(t or "") for _, t, _ in short)
+    one = toxicity.fit_table(spark.createDataFrame(rows, SCHEMA), labels, most_chars=chars)
+    two = toxicity.fit_table(spark.createDataFrame([r for r in rows if r[0] % 7], SCHEMA), labels)
+    assert len(one.weights) > 1 and (one.weights == two.weights).all() and one.bias == two.bias
+    with pytest.warns(UserWarning, match="label 0"):
+        toxicity.fit_table(spark.createDataFrame(rows, SCHEMA), labels.selectExpr("doc_id", "quality", "0 AS toxic"))
+
+
 def test_a_text_in_blocks_scores_as_a_whole(monkeypatch):
     rows = sample(200)
     m = toxicity.fit([r[1] for r in rows], [r[2] for r in rows])
