@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, mixing, neighbours, oracle, packing, simhash, sketch, tokens, toxicity, warc
+from . import chat, html, mixing, neighbours, oracle, packing, simhash, sketch, subwords, tokens, toxicity, warc
 from .common import shared_dir, table
 
 CAPACITY = 4096
@@ -79,8 +79,15 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    found = subwords.decode(subwords.encode(table(spark, sf_dir, "documents"), path, packed=True), path)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return found.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.crc32(F.concat("starts", "ends")).alias("ranges_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_packing, op3_token_counts, op4_html_text, op5_toxicity, op6_warc, op7_sketch, op8_chat, op9_mixing, op10_neighbours)
+    own = (op1_simhash, op2_packing, op3_token_counts, op4_html_text, op5_toxicity, op6_warc, op7_sketch, op8_chat, op9_mixing, op10_neighbours, op12_sentencepiece)
     return {f.__name__: f for f in own}
 
 
