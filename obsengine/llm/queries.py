@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, mixing, neighbours, oracle, packing, simhash, sketch, subwords, tokens, toxicity, warc
+from . import alignment, chat, html, mixing, neighbours, oracle, packing, simhash, sketch, subwords, tokens, toxicity, warc
 from .common import shared_dir, table
 
 CAPACITY = 4096
@@ -79,6 +79,11 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
     found = subwords.decode(subwords.encode(table(spark, sf_dir, "documents"), path, packed=True), path)
@@ -87,7 +92,7 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_packing, op3_token_counts, op4_html_text, op5_toxicity, op6_warc, op7_sketch, op8_chat, op9_mixing, op10_neighbours, op12_sentencepiece)
+    own = (op1_simhash, op2_packing, op3_token_counts, op4_html_text, op5_toxicity, op6_warc, op7_sketch, op8_chat, op9_mixing, op10_neighbours, op11_alignment, op12_sentencepiece)
     return {f.__name__: f for f in own}
 
 

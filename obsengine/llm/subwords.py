@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"  # how a space is written inside pieces
-CACHED = 300_000  # stretches that a worker keeps, none longer than LONGEST signs
+CACHED = 500_000  # stretches that a worker keeps, none longer than LONGEST signs
 LONGEST = 64
 AT_ONCE = 2_000_000  # source bytes of a batch that leaves a task
 UNKNOWN, CONTROL, OWN, UNUSED, BYTE = 2, 3, 4, 5, 6  # kinds of pieces in a model file; 1 is an ordinary one
@@ -194,20 +194,31 @@ class Model:
     def _merge(self, stretches: list[str]) -> list[tuple[bytes, bytes | None]]:
         """Ids of each stretch and, where unknown pieces take their sizes from the text, the pieces' bytes."""
         if self.fallback:
-            return [(np.array(i, "<u4").tobytes(), None) for i in self.merges.encode(stretches, num_threads=1)]
+            return [(_raw(i), None) for i in self.merges.encode(stretches, num_threads=1)]
         protos = [self.merges.encode(s, return_type="proto") for s in stretches]
-        return [(np.array([p.id for p in m.pieces], "<u4").tobytes(), np.array([len(p.surface.encode()) for p in m.pieces], "<u4").tobytes()) for m in protos]
+        return [(_raw([p.id for p in m.pieces]), _raw([len(p.surface.encode()) for p in m.pieces])) for m in protos]
+
+    def _cut(self, text: str) -> list[str]:
+        """A normalised text in stretches of spaces and the word behind them; of a space that begins a stretch its key has nothing."""
+        if not self.cuts:
+            return ["\0" + text] if text else []
+        text = text.replace(SPACE, " ")
+        if text.startswith(" ") and not text.endswith(" ") and "  " not in text:
+            return text.split(" ")[1:]
+        return [s[1:] if s.startswith(" ") else "\0" + s for s in re.findall(" *[^ ]+| +", text)]
+
+    def _whole(self, key: str) -> str:
+        return key[1:].replace(" ", SPACE) if key.startswith("\0") else SPACE + key.replace(" ", SPACE)
 
     def ids(self, normalised: list[str]) -> list[tuple[bytes, np.ndarray]]:
         """Of each normalised text the ids as little-endian unsigned 32-bit numbers, and the pieces' bytes."""
-        cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if self.cuts else lambda t: [t] if t else []
-        stretches = [cut(t) for t in normalised]
+        stretches = [self._cut(t) for t in normalised]
         if len(self.found) > CACHED:
             self.found.clear()
             self.sized.clear()
         new = list(set().union(*stretches) - self.found.keys())
         once = []
-        for stretch, (ids, sizes) in zip(new, self._merge(new), strict=True):
+        for stretch, (ids, sizes) in zip(new, self._merge(list(map(self._whole, new))), strict=True):
             self.found[stretch] = ids
             if sizes is not None:
                 self.sized[stretch] = sizes
@@ -262,7 +273,7 @@ class Model:
         def close() -> None:
             i = 0
             while i < len(run):
-                size = next((k for k in range(1, 5) if _whole(bytes(run[i : i + k]))), 0)
+                size = next((k for k in range(1, 5) if _sign(bytes(run[i : i + k]))), 0)
                 out.append(bytes(run[i : i + size]) if size else "�".encode())
                 i += size or 1
             run.clear()
@@ -277,7 +288,11 @@ class Model:
         return b"".join(out)
 
 
-def _whole(raw: bytes) -> bool:
+def _raw(numbers: list[int]) -> bytes:
+    return struct.pack(f"<{len(numbers)}I", *numbers)
+
+
+def _sign(raw: bytes) -> bool:
     try:
         return len(raw.decode()) == 1
     except UnicodeDecodeError:
