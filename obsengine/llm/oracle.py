@@ -53,3 +53,35 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(size) + coalesce(sum(size) FILTER (again), 0) + max(spans * coalesce(system_size, 0)) AS BIGINT) AS formatted_chars
 FROM placed GROUP BY conv_id"""
+
+
+def collocations_sql(least: int, top: int) -> str:
+    """Phrases of two to five words of each language, by what their parts would give by chance."""
+    return f"""
+WITH words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+          unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents)
+), totals AS (
+  SELECT lang, sum(len(ws)) AS n FROM words GROUP BY lang
+), found AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM words, range(1, 6) AS ks(k))
+  GROUP BY ALL HAVING count(*) >= {least}
+), cuts AS (
+  SELECT p.lang, p.phrase, p.f AS a, l.f AS l, r.f AS r, c, t.n, (1000::HUGEINT * p.f * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS c FROM found WHERE k > 1) p
+  JOIN totals t ON t.lang = p.lang
+  JOIN found l ON l.lang = p.lang AND l.phrase = array_to_string(p.ws[1:c], ' ')
+  JOIN found r ON r.lang = p.lang AND r.phrase = array_to_string(p.ws[c + 1:], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), kept AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM found o WHERE o.lang = s.lang AND o.k > 2 AND 100 * o.f >= 100 * s.a AND len(o.phrase) > len(s.phrase)
+      AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase,
+  a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= {top}"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, html, mixing, neighbours, oracle, packing, simhash, sketch, subwords, tokens, toxicity, warc
+from . import alignment, chat, html, mixing, neighbours, oracle, packing, phrases, simhash, sketch, subwords, tokens, toxicity, warc
 from .common import shared_dir, table
 
 CAPACITY = 4096
@@ -91,10 +91,14 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.crc32(F.concat("starts", "ends")).alias("ranges_crc32"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_packing, op3_token_counts, op4_html_text, op5_toxicity, op6_warc, op7_sketch, op8_chat, op9_mixing, op10_neighbours, op11_alignment, op12_sentencepiece)
+    own = (op1_simhash, op2_packing, op3_token_counts, op4_html_text, op5_toxicity, op6_warc, op7_sketch, op8_chat, op9_mixing, op10_neighbours, op11_alignment, op12_sentencepiece, op13_collocations)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": oracle.chat_sql(), "op9_mixing": oracle.mixing_sql(DOMAINS, WEIGHTS, 3, 42)}
+    return {"op8_chat": oracle.chat_sql(), "op9_mixing": oracle.mixing_sql(DOMAINS, WEIGHTS, 3, 42), "op13_collocations": oracle.collocations_sql(100, 2000)}

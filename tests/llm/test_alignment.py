@@ -1,5 +1,6 @@
 """Groups, links and counts of two tokenizers against their definition, token by token."""
 
+import bisect
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -43,7 +44,7 @@ class Plain:
         out = [([], []) for _ in common]
         for side, ids, ends in ((0, a, ends_a), (1, b, ends_b)):
             for i, e in zip(ids, ends, strict=True):
-                out[np.searchsorted(common, e)][side].append(i)
+                out[bisect.bisect_left(common, e)][side].append(i)
         return out
 
     def table(self, rows: list[tuple]) -> list[tuple]:
