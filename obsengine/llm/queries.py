@@ -85,8 +85,7 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("piece_bpe_32k.model")
-    found = subwords.decode(subwords.encode(table(spark, sf_dir, "documents"), path, packed=True), path)
+    found = subwords.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), packed=True, decoded=True)
     n = (F.octet_length("ids") / 4).cast("long")
     return found.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.crc32(F.concat("starts", "ends")).alias("ranges_crc32"))
 

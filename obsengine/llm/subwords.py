@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"  # how a space is written inside pieces
-CACHED = 500_000  # stretches that a worker keeps, none longer than LONGEST signs
+CACHED = 300_000  # stretches that a worker keeps, none longer than LONGEST signs
 LONGEST = 64
 AT_ONCE = 2_000_000  # source bytes of a batch that leaves a task
 UNKNOWN, CONTROL, OWN, UNUSED, BYTE = 2, 3, 4, 5, 6  # kinds of pieces in a model file; 1 is an ordinary one
@@ -318,14 +318,15 @@ def slices(batch: pa.RecordBatch, text: int, most: int = AT_ONCE) -> Iterator[pa
         at = upto
 
 
-def encode(docs: DataFrame, path: str, begin: bool = True, end: bool = True, packed: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`(doc_id, ids, starts, ends)` of every whole text, a row for each row, the ids as the sentencepiece library has them.
+def encode(docs: DataFrame, path: str, begin: bool = True, end: bool = True, packed: bool = False, decoded: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`(doc_id, ids, starts, ends[, decoded])` of every whole text, a row for each row, the ids as the sentencepiece library has them.
 
     Piece i stands for the source's UTF-8 bytes from `starts[i]` up to `ends[i]`. The ranges follow one another; of a
     sign that falls apart into byte pieces the last has the range and the others are empty, as are the begin and end
     ids. `ids`, `starts` and `ends` are arrays of int, or with `packed` binaries of little-endian unsigned 32-bit numbers. Null and empty texts
     have the begin and end ids alone. Repeated rows are encoded each, null doc_ids are kept, other columns are left
     aside whatever their names, and an empty table gives an empty result. `path` must open on every executor.
+    `decoded` adds what the ids decode to: as `decode` has it, without a second worker that holds the model.
     """
 
     kind = pa.binary() if packed else pa.list_(pa.int32())
@@ -337,11 +338,13 @@ def encode(docs: DataFrame, path: str, begin: bool = True, end: bool = True, pac
                 rows = own.encode([t or b"" for t in batch.column(1).to_pylist()], begin, end)
                 columns = [[np.frombuffer(r[0], "<u4") for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
                 arrays = [pa.array([x.tobytes() if packed else x.astype(np.int32) for x in c], kind) for c in columns]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "ids", "starts", "ends"])
+                if decoded:
+                    arrays.append(pa.array([own.decode(x.tolist()).decode() for x in columns[0]], pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "ids", "starts", "ends", "decoded"][: 1 + len(arrays)])
 
     said = "binary" if packed else "array<int>"
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
-    return own.mapInArrow(run, f"doc_id long, ids {said}, starts {said}, ends {said}")
+    return own.mapInArrow(run, f"doc_id long, ids {said}, starts {said}, ends {said}" + ", decoded string" * decoded)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
