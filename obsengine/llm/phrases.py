@@ -33,9 +33,9 @@ LONGEST = 5
 SIGNS = b".,;:!?\n\x0b\x0c\r"
 FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + SIGNS + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(SIGNS) + b" ")
 CHUNK = 1000  # words of a row of numbers, and up to LONGEST - 1 of context
-WORDS = 4_000_000  # of a part
-DISTINCT = 400_000  # words in a part's dictionary
-KEYS = 3_000_000  # distinct phrases that a task holds before it reports
+WORDS = 2_000_000  # of a part
+DISTINCT = 250_000  # words in a part's dictionary
+KEYS = 2_000_000  # distinct phrases that a task holds before it reports
 PHRASES = 500_000  # of a trie
 ROOT = 0
 
@@ -333,7 +333,7 @@ def passed(chunks_: DataFrame, trie: object, first: int, k: int, whole: bool, le
         own: DoubleArray = trie.value
         counts = np.zeros(int(own.accepts.max(initial=-1)) + 1, np.int64)
         seen = Seen(least)
-        for batch in batches:
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             ids, sizes = _flat(batch.column("ids"))
             if not len(ids):
                 continue
