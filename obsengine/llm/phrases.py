@@ -4,9 +4,7 @@
    dictionary covers. Words with enough occurrences over all parts get a number for the whole table, and each part
    its own words' numbers, so no dictionary of the whole table is sent anywhere.
 2. Level by level, candidates of k words are found that no phrase with enough occurrences can miss. Their first and
-   last k - 1 words must be candidates too (Apriori), and what tasks have seen must leave room for the number asked:
-   a task reports a phrase only from a number of occurrences on that follows from its share of the language's words,
-   and adds what it may have kept back to every phrase's bound.
+   last k - 1 words must be candidates too (Apriori), and the tasks' reports of it must leave room for the number asked.
 3. The candidates become double-array tries of a bounded size, each broadcast for a pass over the numbered words. Numpy
    takes all positions of a task one level down at a time; a bincount over the accepting states counts them, and the
    tasks' counts are added up. The same pass reports the next level's candidates.
@@ -115,28 +113,22 @@ def numbered(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
 
 
 class Seen:
-    """Phrases of a task by language, as pairs of numbers in one key, and what the task must say of them.
+    """Phrases of a task by language, as pairs of numbers in one key, with how often the task met them.
 
-    A phrase with `least` occurrences over a table of n words has, in some task with m of them, at least
-    `least * m / n`; a task keeps back what falls under half of that. Its report of a phrase is the occurrences less
-    what it may keep back of any phrase, so that a sum of reports and of all tasks' allowances bounds the count.
+    Tasks report everything: a report that a task may keep back has to fall under `least` in all tasks together, which
+    leaves nothing to keep back once there are `least` tasks.
     """
 
-    def __init__(self, least: int) -> None:
-        self.least = least
+    def __init__(self) -> None:
         self.keys: dict[str, list[np.ndarray]] = {}
         self.counts: dict[str, list[np.ndarray]] = {}
-        self.words: dict[str, int] = {}
         self.held: dict[str, int] = {}
-        self.total: dict[str, int] = {}
 
-    def add(self, lang: str, total: int, words: int, keys: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray, int]]:
+    def add(self, lang: str, keys: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         keys, counts = np.unique(keys, return_counts=True)
         self.keys.setdefault(lang, []).append(keys)
         self.counts.setdefault(lang, []).append(counts)
-        self.words[lang] = self.words.get(lang, 0) + words
         self.held[lang] = self.held.get(lang, 0) + len(keys)
-        self.total[lang] = total
         if self.held[lang] > KEYS:
             self._merge(lang)
             if self.held[lang] > KEYS // 2:
@@ -151,21 +143,18 @@ class Seen:
         self.counts[lang] = [np.add.reduceat(counts, first) if len(first) else counts]
         self.held[lang] = len(first)
 
-    def _report(self, lang: str) -> tuple[str, np.ndarray, np.ndarray, int]:
+    def _report(self, lang: str) -> tuple[str, np.ndarray, np.ndarray]:
         self._merge(lang)
-        keys, counts, m = self.keys.pop(lang)[0], self.counts.pop(lang)[0], self.words.pop(lang)
         del self.held[lang]
-        back = max(1, -(-self.least * m // (2 * self.total[lang]))) - 1
-        kept = counts > back
-        return lang, keys[kept], counts[kept] - back, back
+        return lang, self.keys.pop(lang)[0], self.counts.pop(lang)[0]
 
-    def close(self) -> Iterator[tuple[str, np.ndarray, np.ndarray, int]]:
+    def close(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         for lang in list(self.keys):
             yield self._report(lang)
 
 
-REPORT = pa.schema([("lang", pa.string()), ("ids", pa.list_(pa.int32())), ("own", pa.int32()), ("total", pa.int64()), ("m", pa.int64()), ("phrase", pa.int64()), ("next", pa.int32()), ("n", pa.int64()), ("back", pa.int64())])
-SAID = "lang string, ids array<int>, own int, total long, m long, phrase long, next int, n long, back long"
+REPORT = pa.schema([("lang", pa.string()), ("ids", pa.list_(pa.int32())), ("own", pa.int32()), ("phrase", pa.int64()), ("next", pa.int32()), ("n", pa.int64())])
+SAID = "lang string, ids array<int>, own int, phrase long, next int, n long"
 
 
 def _batch(size: int, /, **columns: object) -> pa.RecordBatch:
@@ -178,18 +167,16 @@ def _batch(size: int, /, **columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=REPORT)
 
 
-def _reports(found: Iterable[tuple[str, np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-    for lang, keys, counts, back in found:
-        if back:
-            yield _batch(1, lang=lang, back=back)
+def _reports(found: Iterable[tuple[str, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for lang, keys, counts in found:
         for i in range(0, len(keys), 50_000):
             k = keys[i : i + 50_000]
             yield _batch(len(k), lang=lang, phrase=k >> 32, next=(k & 0xFFFFFFFF).astype(np.int32), n=counts[i : i + 50_000])
 
 
-def renumbered(found: DataFrame, frequent: DataFrame, totals: DataFrame, least: int) -> DataFrame:
+def renumbered(found: DataFrame, frequent: DataFrame) -> DataFrame:
     """The numbered words by the whole table's numbers, -1 where a piece ends and -2 for rarer words, and reports of neighbours."""
-    rows = found.where("word IS NULL").select("part", "lang", "ids", "own", F.col("n").alias("m")).join(totals, "lang")
+    rows = found.where("word IS NULL").select("part", "lang", "ids", "own")
     known = found.where("word IS NOT NULL").select("part", "lang", "word", "place").join(frequent, ["lang", "word"]).select(F.col("part").alias("of_part"), "place", "id")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -200,16 +187,16 @@ def renumbered(found: DataFrame, frequent: DataFrame, totals: DataFrame, least:
         to = np.full(most + 2, -2, np.int32)
         to[right.column("place").to_numpy()] = right.column("id").to_numpy()
         to[-1] = -1  # what ends a piece
-        seen, reports, out = Seen(least), [], []
-        lang, total = left.column("lang")[0].as_py(), left.column("total")[0].as_py()
+        seen, reports, out = Seen(), [], []
+        lang = left.column("lang")[0].as_py()
         for batch in left.to_batches(500):
             ids, sizes = _flat(batch.column("ids"))
             ids, row = to[ids], _row(sizes)
             at = np.flatnonzero(_mine(sizes, batch.column("own").to_numpy())[:-1] & (row[1:] == row[:-1]) & (ids[1:] >= 0) & (ids[:-1] >= 0))
-            reports += seen.add(lang, total, int(batch.column("m").to_numpy().sum()), ids[at].astype(np.int64) << 32 | ids[at + 1])
+            reports += seen.add(lang, ids[at].astype(np.int64) << 32 | ids[at + 1])
             cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            own = [batch.column("lang"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids)), *(batch.column(c) for c in ("own", "total", "m"))]
-            out.append(pa.RecordBatch.from_arrays([*own, *[pa.nulls(batch.num_rows, f.type) for f in list(REPORT)[5:]]], schema=REPORT))
+            own = [batch.column("lang"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids)), batch.column("own")]
+            out.append(pa.RecordBatch.from_arrays([*own, *[pa.nulls(batch.num_rows, f.type) for f in list(REPORT)[3:]]], schema=REPORT))
         return pa.Table.from_batches([*out, *_reports([*reports, *seen.close()])], schema=REPORT)
 
     return rows.groupBy("part").cogroup(known.groupBy("of_part")).applyInArrow(run, SAID)
@@ -323,7 +310,7 @@ class DoubleArray:
         return at, state
 
 
-def passed(chunks_: DataFrame, trie: object, first: int, k: int, whole: bool, least: int) -> DataFrame:
+def passed(chunks_: DataFrame, trie: object, first: int, k: int, whole: bool) -> DataFrame:
     """Counts `(phrase, n)` of a trie's phrases, numbered from `first`, and reports `(lang, phrase, next, n)` of what follows them.
 
     With the `whole` level in one trie, a phrase's report needs its last k words to be a candidate as well.
@@ -332,7 +319,7 @@ def passed(chunks_: DataFrame, trie: object, first: int, k: int, whole: bool, le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: DoubleArray = trie.value
         counts = np.zeros(int(own.accepts.max(initial=-1)) + 1, np.int64)
-        seen = Seen(least)
+        seen = Seen()
         for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             ids, sizes = _flat(batch.column("ids"))
             if not len(ids):
@@ -358,26 +345,22 @@ def passed(chunks_: DataFrame, trie: object, first: int, k: int, whole: bool, le
                 at, phrase = at[follows], phrase[follows]
                 keys = (first + phrase) << 32 | ids[at + k]
                 langs = pa.compute.dictionary_encode(batch.column("lang"))
-                said, m, total = langs.indices.to_numpy(), batch.column("m").to_numpy(), batch.column("total").to_numpy()
-                lang_of = said[row[at]]
+                lang_of = langs.indices.to_numpy()[row[at]]
                 for i, name in enumerate(langs.dictionary.to_pylist()):
-                    rows = said == i
-                    yield from _reports(seen.add(name, int(total[rows][0]), int(m[rows].sum()), keys[lang_of == i]))
+                    yield from _reports(seen.add(name, keys[lang_of == i]))
         yield from _reports(seen.close())
         found = np.flatnonzero(counts)
         for i in range(0, len(found), 50_000):
             f = found[i : i + 50_000]
             yield _batch(len(f), phrase=first + f, n=counts[f])
 
-    return chunks_.select("lang", "ids", "own", "total", "m").mapInArrow(run, SAID)
+    return chunks_.select("lang", "ids", "own").mapInArrow(run, SAID)
 
 
 def bounded(found: DataFrame, least: int) -> DataFrame:
-    """Reported phrases `(phrase, next)` that may have `least` occurrences, with their language."""
-    reports = found.where("next IS NOT NULL")
-    back = found.where("back IS NOT NULL").groupBy("lang").agg(F.sum("back").alias("kept_back"))
-    most = reports.groupBy("lang", "phrase", "next").agg(F.sum("n").alias("n")).join(back, "lang", "left")
-    return most.where(F.col("n") + F.coalesce("kept_back", F.lit(0)) >= least).select("lang", "phrase", "next")
+    """Reported phrases `(phrase, next)` whose reports leave room for `least` occurrences, with their language."""
+    most = found.where("next IS NOT NULL").groupBy("lang", "phrase", "next").agg(F.sum("n").alias("n"))
+    return most.where(F.col("n") >= least).select("lang", "phrase", "next")
 
 
 def with_number(df: DataFrame, to: str, *order: str) -> DataFrame:
@@ -395,7 +378,7 @@ def counts(docs: DataFrame, least: int = 100, text: str = "text", lang: str = "l
     totals = durable(found.where("word IS NULL").groupBy("lang").agg(F.sum("n").alias("total")))
     often = found.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     frequent = durable(with_number(often, "id").withColumn("id", F.col("id").cast("int")))
-    said = durable(renumbered(found, frequent.select("lang", "word", "id"), totals, least))
+    said = durable(renumbered(found, frequent.select("lang", "word", "id")))
     chunks_ = said.where("ids IS NOT NULL")
     # a phrase of each level as its words' numbers
     level = frequent.select("lang", F.col("id").cast("long").alias("phrase"), F.array("id").alias("ids"), "f")
@@ -419,7 +402,7 @@ def counts(docs: DataFrame, least: int = 100, text: str = "text", lang: str = "l
             phrases = phrases[order]
             trie = spark.sparkContext.broadcast(DoubleArray(phrases))
             table.append(durable(spark.createDataFrame(pa.table({"phrase": np.arange(first, first + len(phrases)), "ids": pa.FixedSizeListArray.from_arrays(pa.array(phrases.ravel()), k).cast(pa.list_(pa.int32())), "lang": rows.column("lang").take(pa.array(order))}))))
-            passes.append(durable(passed(chunks_, trie, first, k, shards == 1, least)))
+            passes.append(durable(passed(chunks_, trie, first, k, shards == 1)))
             trie.unpersist()
             first += len(phrases)
         said = reduce(DataFrame.unionByName, passes)
