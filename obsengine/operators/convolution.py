@@ -1,4 +1,8 @@
-"""Random dilated convolutions of windows on a regular grid, and linear models on them."""
+"""Random dilated convolutions of windows on a regular grid, and linear models on them.
+
+The features are those of Dempster, Schmidt and Webb, "MiniRocket: A Very Fast (Almost) Deterministic Transform for Time
+Series Classification" (KDD 2021), in their form for several channels.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .draws import ranked
+from .ridges import loo_ridge, ridge_answer
 from .windows import WIN
 
 GOLDEN = (1 + 5**0.5) / 2
@@ -114,26 +118,22 @@ def convolution_features(rows: DataFrame, fitting: DataFrame, channels: int, ste
 
 
 def convolution_ridge(train: DataFrame, scored: DataFrame, target: str, outcome: bool, penalties: Sequence[float], fold: str = "fold") -> DataFrame:
-    """`scored` with `predicted` by a ridge on `features`, or by L2 logistic regression where the target is an outcome
-    of 0 and 1; the penalty is the one whose fit on each fold answers the other best."""
+    """`scored` with `predicted` by a ridge on `features` whose penalty has the least leave-one-out error, or by L2
+    logistic regression where the target is an outcome of 0 and 1, whose penalty is the one whose fit on each fold
+    answers the other best."""
+    if not outcome:
+        return ridge_answer(loo_ridge(train, "features", target, penalties), scored, "features")
     ready = lambda df: df.withColumn("_x", array_to_vector("features"))
     rows = ready(train).withColumn("_y", F.col(target).cast("double")).select("_x", "_y", fold).persist()
-
-    def model(df: DataFrame, penalty: float):
-        kind = LogisticRegression if outcome else LinearRegression
-        return kind(featuresCol="_x", labelCol="_y", regParam=penalty, elasticNetParam=0.0).fit(df)
-
-    def answers(m, df: DataFrame) -> DataFrame:
-        out = m.transform(df)
-        return out.withColumn("predicted", vector_to_array("probability")[1] if outcome else F.col("prediction"))
+    model = lambda df, penalty: LogisticRegression(featuresCol="_x", labelCol="_y", regParam=penalty, elasticNetParam=0.0).fit(df)
+    answers = lambda m, df: m.transform(df).withColumn("predicted", vector_to_array("probability")[1])
 
     def missed(penalty: float) -> float:
         lost = 0.0
         for held in (0, 1):
             told = answers(model(rows.where(F.col(fold) != held), penalty), rows.where(F.col(fold) == held))
             p = F.least(F.greatest(F.col("predicted"), F.lit(1e-9)), F.lit(1 - 1e-9))
-            loss = -(F.col("_y") * F.ln(p) + (1 - F.col("_y")) * F.ln(1 - p)) if outcome else F.pow(F.col("predicted") - F.col("_y"), F.lit(2))
-            lost += told.agg(F.sum(loss)).first()[0] or 0.0
+            lost += told.agg(F.sum(-(F.col("_y") * F.ln(p) + (1 - F.col("_y")) * F.ln(1 - p)))).first()[0] or 0.0
         return lost
 
     best = min(penalties, key=missed)

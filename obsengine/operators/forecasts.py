@@ -97,6 +97,29 @@ def own_and_cross_rows(masked: DataFrame, channels: Sequence[str]) -> tuple[Data
     return rows.withColumns(x).drop(*channels), list(x)
 
 
+#: What a cell says of its readings, and the five of it that a forecast answers.
+CELL = ("presence", "log_count", "mean", "minimum", "maximum", "first", "last", "last_offset", "since")
+FIVE = ("mean", "minimum", "maximum", "first", "last")
+
+
+def cell_history_rows(cells: DataFrame, bins: int, context: int, channels: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Each read cell with its five values, and as features the nine of each of the `context` cells before it on
+    its unit's own axis and, for each of them, the other channels' means; 0 where there is nothing.
+
+    Windows follow one another, `bins` cells each, so a cell's place is `position * bins + bin`.
+    """
+    rows = cells.withColumn("hour", F.col("position") * bins + F.col("bin"))
+    w, side = Window.partitionBy("unit", "channel").orderBy("hour"), Window.partitionBy("unit").orderBy("hour")
+    back = lambda c, i, over: F.coalesce(F.when(F.lag("hour", i).over(over) == F.col("hour") - i, F.lag(c, i).over(over).cast("double")), F.lit(0.0))
+    own = {f"f{i}_{c}": back(c, i, w) for i in range(1, context + 1) for c in CELL}
+    held = rows.select("unit", "channel", "position", "bin", "hour", "presence", *FIVE, *[v.alias(k) for k, v in own.items()]).where("presence = 1")
+    wide = rows.groupBy("unit", "hour").pivot("channel", list(channels)).agg(F.first("mean"))
+    others = wide.select(F.col("unit").alias("_u"), F.col("hour").alias("_h"), *[back(c, i, side).alias(f"o{i}_{c}") for i in range(1, context + 1) for c in channels])
+    out = held.join(others, (F.col("unit") == F.col("_u")) & (F.col("hour") == F.col("_h"))).drop("_u", "_h", "presence")
+    out = out.withColumns({f"o{i}_{c}": F.when(F.col("channel") == c, 0.0).otherwise(F.col(f"o{i}_{c}")) for i in range(1, context + 1) for c in channels})
+    return out, [*own, *[f"o{i}_{c}" for i in range(1, context + 1) for c in channels]]
+
+
 def segments(hourly: DataFrame, context: int, floor: float = 1e-6) -> DataFrame:
     """Every `context` hours of a series fully read, with the hour after read too: `(unit, channel, hour, mean, v)`, v
     z-scored; `hour` and `mean` are of the hour that met it."""

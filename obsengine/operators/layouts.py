@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordering import percentiles
+from ..functions.ordering import digest_position, percentiles
 
 WIN = ["unit", "position"]
 
@@ -124,6 +126,84 @@ def fleet_correlations(hourly: DataFrame) -> DataFrame:
     return rows.join(fleet, ["channel", "hour"]).groupBy("channel").agg(F.count(F.lit(1)).alias("changes"), F.corr("change", "fleet").alias("correlation"))
 
 
+UNITS_A_BLOCK, HOURS_A_BLOCK = 64, 2048
+
+
+def hourly_changes(hourly: DataFrame) -> DataFrame:
+    """Hourly means with `change` against the hour before, null where that hour wasn't read."""
+    w = Window.partitionBy("unit", "channel").orderBy("hour")
+    return hourly.withColumn("change", F.when(F.lag("hour").over(w) == F.col("hour") - 1, F.col("mean") - F.lag("mean").over(w)))
+
+
+def unit_pair_correlations(hourly: DataFrame, least: int = 3) -> DataFrame:
+    """`(channel, a, b, shared, correlation)`: of every two units the correlation of their hourly changes over the
+    hours in which both changed; pairs with fewer than `least` are left out, a unit that never varies there gives null.
+
+    Units stand in blocks and so do hours. Two blocks of units meet once for each block of hours, as matrices of values
+    and of presence whose products are all sums that a correlation with gaps needs; sums of hours are added up. A block
+    is sent once for each other block, and a row is a pair of units and not of readings.
+    """
+    rows = hourly_changes(hourly).where("change IS NOT NULL")
+    units = digest_position(rows.select("channel", "unit").distinct().withColumn("_d", F.sha2(F.col("unit").cast("string"), 256)), "_d", ["unit"], ["channel"], "_at")
+    units = units.select("channel", "unit", F.floor((F.col("_at") - 1) / UNITS_A_BLOCK).cast("int").alias("_block"))
+    blocks = units.groupBy("channel").agg(F.max("_block").alias("_last"))
+    spans = F.floor(F.col("hour") / HOURS_A_BLOCK).cast("long")
+    own = rows.join(units, ["channel", "unit"]).join(blocks, "channel").withColumn("_span", spans)
+    low = own.withColumn("_other", F.explode(F.sequence("_block", "_last"))).select("channel", "_span", F.col("_block").alias("_i"), F.col("_other").alias("_j"), "unit", "hour", "change", F.lit(True).alias("_left"))
+    high = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_block")))).select("channel", "_span", F.col("_other").alias("_i"), F.col("_block").alias("_j"), "unit", "hour", "change", F.lit(False).alias("_left"))
+    kinds = dict(rows.dtypes)
+
+    def products(part: pd.DataFrame) -> pd.DataFrame:
+        hours = {h: i for i, h in enumerate(part["hour"].unique())}
+        sides = []
+        for left in (True, False):
+            side = part[part["_left"] == left]
+            names = sorted(side["unit"].unique())
+            number = {u: i for i, u in enumerate(names)}
+            x, seen = np.zeros((len(hours), len(names))), np.zeros((len(hours), len(names)))
+            at = side["hour"].map(hours).to_numpy(int), side["unit"].map(number).to_numpy(int)
+            x[at] = side["change"].to_numpy(float)
+            seen[at] = 1
+            sides.append((names, x, seen))
+        (a, x, p), (b, y, q) = sides
+        n = p.T @ q
+        i, j = np.nonzero(n)
+        keep = np.array([a[s] < b[t] for s, t in zip(i, j, strict=True)], bool) if part["_i"].iloc[0] == part["_j"].iloc[0] else np.ones(len(i), bool)
+        i, j = i[keep], j[keep]
+        sums = {"n": n, "sx": x.T @ q, "sy": p.T @ y, "sxy": x.T @ y, "sxx": (x**2).T @ q, "syy": p.T @ y**2}
+        named = lambda values: pd.Series(values, dtype=object)
+        return pd.DataFrame({"channel": named([part["channel"].iloc[0]] * len(i)), "a": named([a[s] for s in i]), "b": named([b[t] for t in j]), **{k: v[i, j] for k, v in sums.items()}})
+
+    schema = f"channel {kinds['channel']}, a {kinds['unit']}, b {kinds['unit']}, n double, sx double, sy double, sxy double, sxx double, syy double"
+    parts = low.unionByName(high).groupBy("channel", "_span", "_i", "_j").applyInPandas(products, schema)
+    swapped = F.col("a") > F.col("b")
+    parts = parts.select("channel", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "sxy", *[F.when(swapped, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in (("sx", "sy"), ("sy", "sx"), ("sxx", "syy"), ("syy", "sxx"))])
+    s = parts.groupBy("channel", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")]).where(F.col("n") >= least)
+    vx, vy = (F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / F.col("n") for c in "xy")
+    varies = (vx > 1e-9 * F.col("sxx")) & (vy > 1e-9 * F.col("syy"))
+    return s.select("channel", "a", "b", F.col("n").cast("long").alias("shared"), F.when(varies, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy)).alias("correlation"))
+
+
+def unit_autocorrelations(hourly: DataFrame, level_lag: int = 1, change_lag: int = 24, least: int = 2) -> DataFrame:
+    """`(channel, unit, level, change)`: of each unit the correlation of its hourly level with that `level_lag` hours
+    before, and of its change with that `change_lag` hours before, over the hours read at both ends; null where those are
+    fewer than `least` or one end never varies.
+
+    A reading is laid at its own hour and at the hours for which it is the earlier one, so one grouping has all pairs.
+    """
+    rows = hourly_changes(hourly).select("channel", "unit", "hour", "mean", "change")
+    at = F.explode(F.array(F.struct(F.col("hour").alias("at"), F.lit(0).alias("lag")), F.struct((F.col("hour") + level_lag).alias("at"), F.lit(1).alias("lag")), F.struct((F.col("hour") + change_lag).alias("at"), F.lit(2).alias("lag"))))
+    met = rows.withColumn("_p", at).select("channel", "unit", "_p.at", "_p.lag", "mean", "change")
+    when = lambda lag, c: F.max(F.when(F.col("lag") == lag, F.col(c)))
+    pairs = met.groupBy("channel", "unit", "at").agg(when(0, "mean").alias("m"), when(1, "mean").alias("m_before"), when(0, "change").alias("c"), when(2, "change").alias("c_before"))
+
+    def both(x: str, y: str) -> Column:
+        a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+        return F.when(F.count(a) >= least, F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b))))
+
+    return pairs.groupBy("channel", "unit").agg(both("m", "m_before").alias("level"), both("c", "c_before").alias("change"))
+
+
 def participation_ratio(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
     """How many signals the columns behave as: squared trace over squared norm of their correlations, from one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

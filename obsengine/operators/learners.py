@@ -6,23 +6,20 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .draws import ranked
+from .trees import Trees, fit_trees, score_trees
 
 
-def moment_sums(rows: DataFrame, keys: Sequence[str], x: Sequence[str], y: str, fold: str = "fold") -> DataFrame:
-    """`(keys, fold, sums)`: the additive sums of products of (1, x, y), a flattened square for each key and fold.
+def moment_sums(rows: DataFrame, keys: Sequence[str], x: Sequence[str], y: str | Sequence[str], fold: str = "fold") -> DataFrame:
+    """`(keys, fold, sums)`: the additive sums of products of (1, x, y, or several y), a flattened square for each key and fold.
 
     Each batch of a task is summed in arrays before anything is shuffled; only squares of the features' number are.
     Rows with a gap take no part.
     """
-    columns, keyed = [*x, y], [*keys, fold]
+    columns, keyed = [*x, *([y] if isinstance(y, str) else y)], [*keys, fold]
     kinds = dict(rows.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keyed], "pos int, s double"])
 
@@ -83,41 +80,27 @@ def ridge_answers(rows: DataFrame, fits: DataFrame, keys: Sequence[str], x: Sequ
     return held.withColumn(to, out).drop("intercept", "coefficients")
 
 
-def with_gaps_marked(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Features without gaps: 0 in place of null and a mark beside it, since trees here take no missing values."""
-    marked = rows.withColumns({**{f"{c}_gap": F.col(c).isNull().cast("double") for c in columns}, **{c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}})
-    return marked, [*columns, *[f"{c}_gap" for c in columns]]
-
-
-def boosted_trees(train: DataFrame, columns: Sequence[str], target: str, outcome: bool, rounds: int = 20, depth: int = 3, seed: int = 42):
-    """Boosted trees, a classifier with balanced weights for outcomes of 0 and 1, else a regressor."""
-    rows, names = with_gaps_marked(train, columns)
-    rows = VectorAssembler(inputCols=names, outputCol="_x").transform(rows.withColumn("_y", F.col(target).cast("double")))
-    common = {"featuresCol": "_x", "labelCol": "_y", "maxIter": rounds, "maxDepth": depth, "stepSize": 0.1, "seed": seed}
+def boosted_trees(train: DataFrame, columns: Sequence[str], target: str, outcome: bool, rounds: int = 100, depth: int = 3) -> Trees:
+    """Boosted trees, with both classes of the same weight for outcomes of 0 and 1, else a regressor. Gaps need no marks."""
     if not outcome:
-        return GBTRegressor(**common).fit(rows)
-    ones, n = rows.agg(F.sum("_y"), F.count(F.lit(1))).first()
+        return fit_trees(train, columns, target, False, rounds=rounds, depth=depth)
+    ones, n = train.where(F.col(target).isNotNull()).agg(F.coalesce(F.sum(F.col(target).cast("double")), F.lit(0.0)), F.count(F.lit(1))).first()
     if not 0 < ones < n:
         raise ValueError("one outcome only")
-    weight = F.when(F.col("_y") == 1, n / (2.0 * ones)).otherwise(n / (2.0 * (n - ones)))
-    return GBTClassifier(weightCol="_w", **common).fit(rows.withColumn("_w", weight))
+    weight = F.when(F.col(target) == 1, n / (2.0 * ones)).otherwise(n / (2.0 * (n - ones)))
+    return fit_trees(train.withColumn("_w", weight), columns, target, True, "_w", rounds, depth)
 
 
-def score_windows(model, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+def score_windows(model: Trees, rows: DataFrame) -> DataFrame:
     """A model's answers for feature rows: the probability of 1 for outcomes, else the value. Columns it lacks count as gaps."""
-    lacking = [c for c in columns if c not in rows.columns]
-    full, names = with_gaps_marked(rows.withColumns({c: F.lit(None).cast("double") for c in lacking}), columns)
-    out = model.transform(VectorAssembler(inputCols=names, outputCol="_x").transform(full))
-    answer = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
-    return out.select(*rows.columns, answer.alias("predicted"))
+    return score_trees(model, rows)
 
 
 def fit_and_score(rows: DataFrame, side: str, columns: Sequence[str], target: str, key: Sequence[str], budget: int, outcome: bool, seed: int = 42) -> DataFrame:
     """Draw `budget` training rows by seeded rank, fit trees on them, and score the held-out rows."""
     pool = rows.where(F.col(side) == "training")
     drawn = ranked(pool, key, seed).where(F.col("place") <= budget).drop("digest", "place")
-    model = boosted_trees(drawn, columns, target, outcome, seed=seed)
-    return score_windows(model, rows.where(F.col(side) != "training"), columns)
+    return score_windows(boosted_trees(drawn, columns, target, outcome), rows.where(F.col(side) != "training"))
 
 
 def stacked_rows(sources: Mapping[str, tuple[DataFrame, float]], key: Sequence[str], target: str, budget: int, seed: int) -> DataFrame:

@@ -26,8 +26,9 @@ def paired_bootstrap(pairs: DataFrame, resamples: int, seed: int, level: float =
     units = digest_position(pairs.withColumn("_d", digest(F.col("unit"))), "_d", ["unit"], by).drop("_d")
     spark = pairs.sparkSession
     if strata is not None:
-        sizes = pairs.where(F.col(strata).isNotNull()).groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
-        cells = spark.range(resamples).withColumnRenamed("id", "draw").crossJoin(sizes.select(strata, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")))
+        known = units.where(F.col(strata).isNotNull())
+        sizes = known.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
+        cells = known.select(strata, (F.col("place") - 1).alias("i")).join(sizes, strata).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
         at = F.pmod(F.conv(F.substring(digest(F.col("draw"), F.col(strata), F.col("i")), 1, 15), 16, 10).cast("long"), F.col("n")) + 1
         return _interval(pairs, cells.select("draw", strata, at.alias("place")).groupBy("draw", strata, "place").agg(F.count(F.lit(1)).alias("k")), units, ["place", strata], level)
     n = pairs.count()

@@ -87,12 +87,15 @@ def k7_event_fbeta(spark, sf_dir):
     return metrics.corrected_event_fbeta(predictions(spark, sf_dir).withColumn("flagged", F.col("score") > 1))
 
 
+def nation_strata(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("unit"), (F.col("s_nationkey") % 5).cast("string").alias("stratum"))
+
+
 @query(f"""WITH {ERRORS}, t AS (SELECT e.*, CAST(s_nationkey % 5 AS VARCHAR) AS stratum FROM e JOIN supplier ON CAST(s_suppkey AS VARCHAR) = e.unit), u AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('42|' || unit), unit) AS place, count(*) OVER (PARTITION BY stratum) AS total FROM t),
 d AS (SELECT draw, stratum, CAST(('0x' || substr(sha256('42|' || draw || '|' || stratum || '|' || (place - 1)), 1, 15)) AS BIGINT) % total + 1 AS place FROM range(0, 200) a(draw), u), x AS (SELECT draw, sqrt(sum(se_a) / sum(n)) - sqrt(sum(se_b) / sum(n)) AS reduction FROM d JOIN u USING (stratum, place) GROUP BY draw)
 SELECT (SELECT round(sqrt(sum(se_a) / sum(n)) - sqrt(sum(se_b) / sum(n)), 5) + 0.0 FROM t) AS observed, {r('quantile_cont(reduction, 0.025)', 'low')}, {r('quantile_cont(reduction, 0.975)', 'high')}, {r('least(1.0, 2 * least((count(*) FILTER (reduction <= 0) + 1) / (count(*) + 1), (count(*) FILTER (reduction >= 0) + 1) / (count(*) + 1)))', 'p')} FROM x""")
 def b2_paired_bootstrap_strata(spark, sf_dir):
-    strata = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("unit"), (F.col("s_nationkey") % 5).cast("string").alias("stratum"))
-    return resample.paired_bootstrap(paired(spark, sf_dir).drop("unpaired").join(strata, "unit"), 200, SEED, strata="stratum")
+    return resample.paired_bootstrap(paired(spark, sf_dir).drop("unpaired").join(nation_strata(spark, sf_dir), "unit"), 200, SEED, strata="stratum")
 
 
 @query("WITH t AS (SELECT CAST(l_suppkey AS VARCHAR) AS test, avg(l_discount) / 100000 AS p FROM lineitem GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY p, test) AS k FROM t) SELECT test, round(p, 5) + 0.0 AS p, round(max(least(1.0, p * (100000 - k + 1))) OVER (ORDER BY k), 5) + 0.0 AS holm, round(min(least(1.0, p * 100000 / k)) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 5) + 0.0 AS benjamini_hochberg FROM k")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import draws_of_units, features, layouts, learners
+from ..operators import draws_of_units, features, layouts, learners, trees
 from ..sources.tables import table
 from .layouts import ANSWERS, answers
 from .queries import CHANNELS, OBS, SEED, query, r, readings, tokens
@@ -47,12 +47,26 @@ def i7_cross_channel_ridge(spark, sf_dir):
     return told.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.pow(F.col("predicted") - F.col("l_extendedprice"), F.lit(2)))).alias("rmse"))
 
 
-@query()
-def c4_fit_and_score(spark, sf_dir):
-    """Whether a user-day holds an error, by trees on the other channels' features of units of even number."""
+def user_days(spark, sf_dir):
+    """User-days with the other channels' features, whether they hold an error, and a side by the unit's number."""
     stats = features.window_statistics(tokens(spark, sf_dir))
     others = [c for c in CHANNELS if c != "error"]
     wide = features.per_channel_features(stats, CHANNELS, ["n", "mean"])
     rows = wide.withColumns({"target": (F.col("error_n") > 0).cast("int"), "side": F.when(F.col("unit").cast("long") % 2 == 0, "training").otherwise("held_out")})
-    columns = [f"{c}_{k}" for c in others for k in ("n", "mean")]
+    return rows, [f"{c}_{k}" for c in others for k in ("n", "mean")]
+
+
+@query()
+def c4_fit_and_score(spark, sf_dir):
+    """Whether a user-day holds an error, by trees on the other channels' features of units of even number."""
+    rows, columns = user_days(spark, sf_dir)
     return learners.fit_and_score(rows, "side", columns, "target", ["unit", "position"], 1000, True).select("unit", "position", "target", "predicted")
+
+
+@query()
+def a12_taught_trees(spark, sf_dir):
+    """Every user-day's log-odds of a taught event: the errors of a tenth of the units of even number, each unit's one event."""
+    rows, columns = user_days(spark, sf_dir)
+    taught = (F.col("unit").cast("long") % 20 == 0) & (F.col("target") == 1)
+    model = trees.taught_trees(rows.where("side = 'training'").withColumn("event", F.when(taught, F.col("unit"))), columns)
+    return trees.score_trees(model, rows, "score", raw=True).select("unit", "position", "target", "score")
