@@ -199,7 +199,8 @@ def unit_autocorrelations(hourly: DataFrame, level_lag: int = 1, change_lag: int
 
     def both(x: str, y: str) -> Column:
         a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
-        return F.when(F.count(a) >= least, F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b))))
+        varies = (F.var_pop(a) > 1e-9 * F.avg(a * a)) & (F.var_pop(b) > 1e-9 * F.avg(b * b))  # else it is rounding
+        return F.when((F.count(a) >= least) & varies, F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b))))
 
     return pairs.groupBy("channel", "unit").agg(both("m", "m_before").alias("level"), both("c", "c_before").alias("change"))
 

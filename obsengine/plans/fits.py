@@ -11,18 +11,23 @@ from .queries import BINS, CHANNELS, LINES, SEED, query, r, tokens
 DAILY = f"{LINES}, daily AS (SELECT unit, channel, CAST(floor(time / 24) AS BIGINT) AS hour, avg(value) AS mean FROM obs WHERE value IS NOT NULL AND isfinite(value) GROUP BY ALL), ch AS (SELECT *, CASE WHEN lag(hour) OVER w = hour - 1 THEN mean - lag(mean) OVER w END AS change FROM daily WINDOW w AS (PARTITION BY unit, channel ORDER BY hour))"
 
 
+def varying(x: str, y: str) -> str:
+    """SQL of a correlation, null where one side varies by rounding alone."""
+    return f"CASE WHEN var_pop({x}) > 1e-9 * avg({x} * {x}) AND var_pop({y}) > 1e-9 * avg({y} * {y}) THEN corr({x}, {y}) END"
+
+
 def daily(spark, sf_dir):
     """Suppliers' means a day: their hours are days here."""
     return repair.hourly_means(order_line_readings(table(spark, sf_dir, "lineitem")).withColumn("time", F.col("time") / 24))
 
 
-@query(f"WITH {DAILY}, x AS (SELECT channel, unit, hour, change FROM ch WHERE change IS NOT NULL) SELECT a.channel, a.unit AS a, b.unit AS b, count(*) AS shared, round(corr(a.change, b.change), 4) + 0.0 AS correlation FROM x a JOIN x b ON a.channel = b.channel AND a.hour = b.hour AND a.unit < b.unit GROUP BY a.channel, a.unit, b.unit HAVING count(*) >= 8")
+@query(f"WITH {DAILY}, x AS (SELECT channel, unit, hour, change FROM ch WHERE change IS NOT NULL) SELECT a.channel, a.unit AS a, b.unit AS b, count(*) AS shared, round({varying('a.change', 'b.change')}, 4) + 0.0 AS correlation FROM x a JOIN x b ON a.channel = b.channel AND a.hour = b.hour AND a.unit < b.unit GROUP BY a.channel, a.unit, b.unit HAVING count(*) >= 8")
 def u9_unit_pairs(spark, sf_dir):
     told = layouts.unit_pair_correlations(daily(spark, sf_dir), 8)
     return told.withColumn("correlation", F.round("correlation", 4) + F.lit(0.0))
 
 
-@query(f"WITH {DAILY}, l AS (SELECT a.channel, a.unit, corr(a.mean, b.mean) AS level FROM ch a JOIN ch b ON a.channel = b.channel AND a.unit = b.unit AND b.hour = a.hour - 1 GROUP BY ALL HAVING count(*) >= 3), c AS (SELECT a.channel, a.unit, corr(a.change, b.change) AS change FROM ch a JOIN ch b ON a.channel = b.channel AND a.unit = b.unit AND b.hour = a.hour - 7 WHERE a.change IS NOT NULL AND b.change IS NOT NULL GROUP BY ALL HAVING count(*) >= 3) SELECT channel, unit, round(level, 4) + 0.0 AS level, round(change, 4) + 0.0 AS change FROM l JOIN c USING (channel, unit) WHERE isfinite(level) AND isfinite(change)")
+@query(f"WITH {DAILY}, l AS (SELECT a.channel, a.unit, {varying('a.mean', 'b.mean')} AS level FROM ch a JOIN ch b ON a.channel = b.channel AND a.unit = b.unit AND b.hour = a.hour - 1 GROUP BY ALL HAVING count(*) >= 3), c AS (SELECT a.channel, a.unit, {varying('a.change', 'b.change')} AS change FROM ch a JOIN ch b ON a.channel = b.channel AND a.unit = b.unit AND b.hour = a.hour - 7 WHERE a.change IS NOT NULL AND b.change IS NOT NULL GROUP BY ALL HAVING count(*) >= 3) SELECT channel, unit, round(level, 4) + 0.0 AS level, round(change, 4) + 0.0 AS change FROM l JOIN c USING (channel, unit) WHERE level IS NOT NULL AND change IS NOT NULL")
 def u9_autocorrelation(spark, sf_dir):
     told = layouts.unit_autocorrelations(daily(spark, sf_dir), 1, 7, least=3)
     return told.dropna().select("channel", "unit", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("level", "change")])
