@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import kept
 from .learners import moment_sums
 
 FLAT = 1e-12  # a feature with less than this sum of squares is constant
@@ -162,6 +163,6 @@ def target_answers(rows: DataFrame, fits: DataFrame, keys: Sequence[str], x: Seq
         value = [F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_lo_{c}")), F.col(f"_hi_{c}"))).cast("double") for c in x]
     else:
         value = [F.col(c).cast("double") for c in x]
-    held = held.withColumn("_x", F.array(*value))
+    held = kept(held.select(*rows.columns, *[f"_fit_{y}" for y in ys], F.array(*value).alias("_x")))
     dot = lambda y: F.aggregate(F.zip_with("_x", f"_fit_{y}.coefficients", lambda a, b: a * b), F.col(f"_fit_{y}.intercept"), lambda s, v: s + v)
     return held.select(*rows.columns, *[dot(y).alias(f"predicted_{y}") for y in ys])

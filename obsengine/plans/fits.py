@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordering import kept
 from ..operators import forecasts, impute, layouts, repair, ridges, windows
 from ..sources.tables import order_line_readings, table
 from .queries import BINS, CHANNELS, LINES, SEED, query, r, tokens
@@ -56,6 +57,6 @@ def i9_cell_values(spark, sf_dir):
 def i6_cell_ridge(spark, sf_dir):
     """The five values of a cell by the nine of each of the three before it and the other channels' means; folds by halves of the month."""
     rows, x = forecasts.cell_history_rows(windows.cells(tokens(spark, sf_dir), BINS), BINS, 3, CHANNELS)
-    rows = rows.withColumn("fold", (F.col("position") >= 15).cast("int"))
+    rows = kept(rows.withColumn("fold", (F.col("position") >= 15).cast("int")))  # its many columns are computed once and planned apart
     fits = ridges.target_ridges(rows, ["channel"], x, forecasts.FIVE, PENALTIES)
     return ridges.target_answers(rows, fits, ["channel"], x, forecasts.FIVE, rows).select("unit", "channel", "position", "bin", *[f"predicted_{y}" for y in forecasts.FIVE])
