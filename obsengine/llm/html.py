@@ -30,13 +30,16 @@ UNSEEN_TAGS, BLOCK_TAGS, VOID_TAGS = (frozenset(x.split()) for x in (UNSEEN, BLO
 #: What opens inside one of these ends it first.
 CLOSED_BY = {"p": BLOCK_TAGS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
 
-#: Comments, and script and style, whose insides are not markup; the latter two run to the page's end if need be.
-OPAQUE = r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+#: Attributes as browsers read them: a quote quotes right after `=` only, elsewhere it is a sign as any other; `=` before a name is one too.
+ATTRIBUTES = r"(?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?=>)|[^\s\"'>][^\s>]*+))?+)*+"
+INSIDE = ATTRIBUTES + r"[\s/]*+"
+#: Comments, of which `<!-->` and `<!--->` end at once, and script and style, whose insides are not markup; all run to the page's end if need be.
+OPAQUE = rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>script|style)(?=[\s/>]){INSIDE}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
 #: An element that closes itself; a slash in an unquoted value closes nothing.
-CLOSED = r"<(?:svg|math)(?=[\s/])(?:[^>\"'=/]|/(?!>)|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))*+/>"
-MARKUP = re.compile(OPAQUE + "|" + CLOSED + r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>", re.S | re.I)
+CLOSED = rf"<(?:svg|math)(?=[\s/]){ATTRIBUTES}(?:\s*+/)++>"
+MARKUP = re.compile(OPAQUE + "|" + CLOSED + rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>{INSIDE})>|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>", re.S | re.I)
 CLOSE = re.compile(r"</(?:script|style)(?=[\s/>])[^>]*>\Z", re.I)
-NESTED = re.compile(OPAQUE + "|" + CLOSED + rf"|<(?P<end>/?)(?P<tag>{'|'.join(t for t in UNSEEN.split() if t not in ('script', 'style'))})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.S | re.I)
+NESTED = re.compile(OPAQUE + "|" + CLOSED + rf"|<(?P<end>/?)(?P<tag>{'|'.join(t for t in UNSEEN.split() if t not in ('script', 'style'))})(?=[\s/>]){INSIDE}>", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PATH, WORDS, MEASURES = 256, 32, 10

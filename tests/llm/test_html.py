@@ -124,3 +124,49 @@ def test_table(spark, model):
         want = "A title of words.\nFirst paragraph with some words in it.\nSecond & last paragraph, with more words." if r.page_id == 1 else ""
         assert (r.text, r.n_chars) == (want, len(want))
     assert html.extract(spark.createDataFrame([], SCHEMA), model).collect() == []
+
+
+def _shown(page: str) -> list[str]:
+    return [b.text for b in html.blocks(page)]
+
+
+@pytest.mark.parametrize(
+    ("page", "shown"),
+    [
+        ("<p title=it's>Hello world</p><p>I don't know</p><p>more</p>", ["Hello world", "I don't know", "more"]),
+        ('<p class="a"">Hello</p><p>a 5" screen</p><p>more</p>', ["Hello", 'a 5" screen', "more"]),
+        ("<img alt=l'eau><p>Texte</p><p>l'autre</p><p>fin</p>", ["Texte", "l'autre", "fin"]),
+        ("<p>x</p><!-->y<p>z</p>", ["x", "y", "z"]),
+        ("<p>x</p><!--->y<p>z</p>", ["x", "y", "z"]),
+        ("<p>x</p><!-- a --!>y<p>z</p>", ["x", "y", "z"]),
+        ("<p a = 'x > y' b>one</p>", ["one"]),
+        ('<p a=>one</p><p ="x>two</p><p>"three</p>', ["one", "two", '"three']),
+        ("<script data-x=it's>no</script><p>yes</p>", ["yes"]),
+        ("<svg a='1'/><p>one</p><svg a=b/>no</svg><p>two</p>", ["one", "two"]),
+        ('<p a="x"b=\'>\'>one</p>', ["one"]),
+    ],
+)
+def test_quotes_and_comments_as_browsers_have_them(page, shown):
+    assert _shown(page) == shown
+
+
+def test_mangled_pages_keep_their_text():
+    """Against the standard library's parser: attributes with stray quotes, slashes and equals signs."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self) -> None:
+            super().__init__()
+            self.out: list[str] = []
+
+        def handle_data(self, data: str) -> None:
+            self.out.append(data)
+
+    r = random.Random(11)
+    parts = ["a", " b", " c=d", " e='f'", ' g="h>i"', " j=k'l", ' m=n"o', " p", " q=", " r = s", "'", '"', " /"]
+    for _ in range(600):
+        page = "".join(f"<p {''.join(r.choice(parts) for _ in range(r.randrange(5)))} z>w{i} it's 5\" \n</p>" for i in range(4))
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        assert " ".join(_shown(page)).split() == "".join(plain.out).split(), page
