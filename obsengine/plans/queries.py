@@ -78,7 +78,7 @@ def p1_to_long(spark, sf_dir):
     return lines(spark, sf_dir)
 
 
-@query(f"WITH {OBS} SELECT count(DISTINCT unit) AS units, count(*) AS readings, count(DISTINCT channel) AS channels, bit_xor(CAST('0x' || substr(md5(concat_ws('|', coalesce(unit, ''), coalesce(channel, ''), CAST(CAST(round(time * 3.6e9) AS BIGINT) AS VARCHAR), CAST(CAST(round(value * 1e6) AS BIGINT) AS VARCHAR))), 1, 15) AS BIGINT)) AS fingerprint FROM obs")
+@query(f"WITH {OBS} SELECT count(DISTINCT unit) AS units, count(*) AS readings, count(DISTINCT channel) AS channels, bit_xor(CAST('0x' || substr(md5(concat_ws('|', coalesce(unit, ''), coalesce(channel, ''), CAST(CAST(round(time * 3.6e9) AS BIGINT) AS VARCHAR), CAST(CAST(round(value * 1e6) AS BIGINT) AS VARCHAR))), 1, 15) AS BIGINT)) AS fingerprint, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', coalesce(unit, ''), coalesce(channel, ''), CAST(CAST(round(time * 3.6e9) AS BIGINT) AS VARCHAR), CAST(CAST(round(value * 1e6) AS BIGINT) AS VARCHAR))), 1, 15) AS BIGINT)::HUGEINT) % 1152921504606846976 AS BIGINT) AS total FROM obs")
 def s16_describe(spark, sf_dir):
     return describe(readings(spark, sf_dir))
 

@@ -44,8 +44,8 @@ def order_line_readings(lineitem: DataFrame) -> DataFrame:
 
 def describe(readings: DataFrame) -> DataFrame:
     """Units, readings and channels, and an order-free fingerprint of the content: units, channels, times in
-    microseconds and values in millionths."""
+    microseconds and values in millionths. Equal readings cancel in the exclusive or, so their sum modulo 2^60 stands beside it."""
     micro = lambda c, by: F.round(F.col(c) * by).cast("long").cast("string")
     text = F.concat_ws("|", F.coalesce("unit", F.lit("")), F.coalesce("channel", F.lit("")), micro("time", 3.6e9), micro("value", 1e6))
     key = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-    return readings.agg(F.countDistinct("unit").alias("units"), F.count(F.lit(1)).alias("readings"), F.countDistinct("channel").alias("channels"), F.bit_xor(key).alias("fingerprint"))
+    return readings.agg(F.countDistinct("unit").alias("units"), F.count(F.lit(1)).alias("readings"), F.countDistinct("channel").alias("channels"), F.bit_xor(key).alias("fingerprint"), (F.sum(key.cast("decimal(19,0)")) % F.lit(1 << 60)).cast("long").alias("total"))
