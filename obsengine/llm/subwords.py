@@ -199,16 +199,21 @@ class Model:
         return [(_raw([p.id for p in m.pieces]), _raw([len(p.surface.encode()) for p in m.pieces])) for m in protos]
 
     def _cut(self, text: str) -> list[str]:
-        """A normalised text in stretches of spaces and the word behind them; of a space that begins a stretch its key has nothing."""
+        """Keys of a text's stretches of spaces and the word behind them: one that begins with a space goes without it.
+
+        Spaces are plain in keys, so the written space, which no key holds otherwise, marks a stretch that begins with none.
+        """
         if not self.cuts:
-            return ["\0" + text] if text else []
+            return [SPACE + text] if text else []
         text = text.replace(SPACE, " ")
         if text.startswith(" ") and not text.endswith(" ") and "  " not in text:
             return text.split(" ")[1:]
-        return [s[1:] if s.startswith(" ") else "\0" + s for s in re.findall(" *[^ ]+| +", text)]
+        return [s[1:] if s.startswith(" ") else SPACE + s for s in re.findall(" *[^ ]+| +", text)]
 
     def _whole(self, key: str) -> str:
-        return key[1:].replace(" ", SPACE) if key.startswith("\0") else SPACE + key.replace(" ", SPACE)
+        if not self.cuts:
+            return key[1:]
+        return (key[1:] if key.startswith(SPACE) else SPACE + key).replace(" ", SPACE)
 
     def ids(self, normalised: list[str]) -> list[tuple[bytes, np.ndarray]]:
         """Of each normalised text the ids as little-endian unsigned 32-bit numbers, and the pieces' bytes."""

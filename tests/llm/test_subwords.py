@@ -13,7 +13,7 @@ from obsengine.llm.queries import op12_sentencepiece
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("piece_bpe_32k.model")
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "▁", "▁a ▁▁b", "naïve café", "日本語 テキスト", "x\ny\t z", "\x00a\x00", "𝔘𝔫𝔦", "é ﬁ ½ Ⅷ", "Ａｂｃ　ｄ", "<s> </s> <unk>", "a" * 3000, "<0x41>", "​﻿z", "  lead and trail  ", "a b", "ガ"]
+ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "▁", "▁a ▁▁b", "naïve café", "日本語 テキスト", "x\ny\t z", "\x00a\x00", "b \x00a c", "𝔘𝔫𝔦", "é ﬁ ½ Ⅷ", "Ａｂｃ　ｄ", "<s> </s> <unk>", "a" * 3000, "<0x41>", "​﻿z", "  lead and trail  ", "a b", "ガ"]
 
 
 def _with(**normaliser: object) -> bytes:
