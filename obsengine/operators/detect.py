@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ordering import kept, median, percentiles
+from .windows import step_of
 
 VALUES = ("mean", "minimum", "maximum", "last", "log_count")
 
@@ -42,6 +43,34 @@ def channel_departures(summaries: DataFrame, floor: DataFrame, span: int = 6) ->
     return rows.join(floor, ["channel", "kind"]).groupBy("unit", "position", "channel").agg(F.max(departure).alias("departure"))
 
 
+def bin_summaries(tokens: DataFrame, bins: int) -> DataFrame:
+    """A1 by bins: five values for each channel of each bin of a window; a bin without readings has no row."""
+    rows = tokens.withColumn("bin", step_of("time", bins))
+    return rows.groupBy("unit", "position", "channel", "bin").agg(F.avg("value").alias("mean"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.max(F.struct("time", "value"))["value"].alias("last"), F.log1p(F.count(F.lit(1))).alias("log_count"))
+
+
+def bin_departures(bins: DataFrame, floor: DataFrame, span: int = 6) -> DataFrame:
+    """A3 by bins: how far each channel's bins of a window lie from the median of all bins of its windows before.
+
+    `bins`: `bin_summaries`; `floor`: `departure_floor` of window or of bin summaries. The largest over bins and values
+    counts. Where under half of the `span - 1` windows before hold a reading the departure is 0: a window counts once
+    however many of its bins do, and an empty bin adds nothing to its history. A window and channel is one row, so
+    the history is shuffled once for all five values and holds `span - 1` times the bins at most.
+    """
+    w = Window.partitionBy("unit", "channel").orderBy("position").rangeBetween(-(span - 1), -1)
+    rows = bins.groupBy("unit", "channel", "position").agg(F.collect_list(F.struct(*VALUES)).alias("now"))
+    rows = rows.withColumn("before", F.collect_list("now").over(w)).withColumn("held", F.flatten("before"))
+    floors = floor.groupBy("channel").agg(*[F.max(F.when(F.col("kind") == k, F.col("floor"))).alias(f"floor_{k}") for k in VALUES])
+    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
+    rows = rows.join(floors, "channel").withColumns({f"h_{k}": F.sort_array(F.col(f"held.{k}")) for k in VALUES})
+    rows = rows.withColumns({f"mid_{k}": middle(F.col(f"h_{k}")) for k in VALUES})
+    off = lambda k: F.transform(f"h_{k}", lambda v: F.abs(v - F.col(f"mid_{k}")))
+    rows = rows.withColumns({f"off_{k}": F.sort_array(off(k)) for k in VALUES})
+    rows = rows.withColumns({f"scale_{k}": F.greatest(1.4826 * middle(F.col(f"off_{k}")), F.col(f"floor_{k}")) for k in VALUES})
+    largest = F.array_max(F.transform("now", lambda s: F.greatest(*[F.abs(s[k] - F.col(f"mid_{k}")) / F.col(f"scale_{k}") for k in VALUES])))
+    return rows.select("unit", "position", "channel", F.when(2 * F.size("before") >= span - 1, largest).otherwise(0.0).alias("departure"))
+
+
 def window_score(departures: DataFrame) -> DataFrame:
     """A4: a window's largest and mean departure."""
     return departures.groupBy("unit", "position").agg(F.max("departure").alias("score"), F.avg("departure").alias("mean_score"))

@@ -220,6 +220,22 @@ def corpus_facts(readings: DataFrame, counts: DataFrame) -> DataFrame:
     return readings.agg(F.countDistinct("unit").alias("units"), F.countDistinct("channel").alias("channels"), F.count(F.lit(1)).alias("values")).crossJoin(counts.agg(F.sum("windows").alias("windows")))
 
 
+def corpus_variants(readings: DataFrame, units: DataFrame, variants: Sequence[tuple[float, float]]) -> DataFrame:
+    """`(length, stride, units, channels, values, windows, tokens)` of a corpus for each window variant, in one scan.
+
+    A token is a reading in a window. How many windows hold a reading follows from its place in its unit, so no reading
+    is repeated and no variant has a pass of its own; sums are taken by unit and channel before they are added up.
+    """
+    at = F.col("time") - F.col("extent_start")
+    fit = lambda n, s: F.floor((F.col("extent_end") - F.col("extent_start") - n) / s + 1e-9)
+    of = lambda n, s: F.greatest(F.least(F.floor(at / s), fit(n, s)) - F.greatest(F.floor((at - n) / s) + 1, F.lit(0)) + 1, F.lit(0))
+    held = readings.join(units, "unit").groupBy("unit", "channel").agg(F.count(F.lit(1)).alias("values"), *[F.sum(of(n, s)).alias(f"t{i}") for i, (n, s) in enumerate(variants)])
+    told = held.agg(F.countDistinct("unit").alias("units"), F.countDistinct("channel").alias("channels"), F.sum("values").alias("values"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(len(variants))])
+    counted = units.agg(*[F.sum(F.greatest(fit(n, s) + 1, F.lit(0))).alias(f"w{i}") for i, (n, s) in enumerate(variants)])
+    each = F.array(*[F.struct(F.lit(float(n)).alias("length"), F.lit(float(s)).alias("stride"), F.col(f"w{i}").alias("windows"), F.col(f"t{i}").alias("tokens")) for i, (n, s) in enumerate(variants)])
+    return told.crossJoin(counted).select("units", "channels", "values", F.inline(each)).select("length", "stride", "units", "channels", "values", "windows", "tokens")
+
+
 def strata(predictions: DataFrame) -> DataFrame:
     """Units with and without an event, and how many there are."""
     return predictions.groupBy("unit").agg(F.bool_or(F.col("event") > 0).alias("with_event")).groupBy("with_event").agg(F.count(F.lit(1)).alias("units"))

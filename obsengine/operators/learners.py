@@ -113,3 +113,22 @@ def stacked_rows(sources: Mapping[str, tuple[DataFrame, float]], key: Sequence[s
         rows = drawn.withColumns({target: F.col(target) / scale, "corpus": F.lit(name)})
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
+
+
+def cross_corpus_fit(sources: Mapping[str, tuple[DataFrame, float]], key: Sequence[str], columns: Mapping[str, Sequence[str]], side: str, target: str, budget: int, seed: int = 42, rounds: int = 100) -> DataFrame:
+    """One model over the labelled rows of several corpora, `(corpus, key, target, predicted)` of their held-out rows.
+
+    `columns` names each corpus's features; the model has all of them, and those that a corpus lacks are gaps, which the
+    trees send their own way. Of each corpus `budget` training rows are drawn; targets are fitted over the scale of
+    their corpus and answers multiplied by it again. Corpora without training rows are answered too.
+    """
+    every = sorted({c for names in columns.values() for c in names})
+    taken = {n: (df.where(F.col(side) == "training").select(*key, *columns[n], F.col(target).cast("double").alias(target)), scale) for n, (df, scale) in sources.items()}
+    model = boosted_trees(stacked_rows(taken, key, target, budget, seed), every, target, False, rounds)
+    out = None
+    for name in sorted(sources):
+        df, scale = sources[name]
+        held = df.where(F.col(side) != "training").select(*key, *columns[name], target)
+        told = score_windows(model, held).select(F.lit(name).alias("corpus"), *key, target, (F.col("predicted") * scale).alias("predicted"))
+        out = told if out is None else out.unionByName(told)
+    return out

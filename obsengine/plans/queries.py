@@ -550,7 +550,7 @@ def k1_rmse(spark, sf_dir):
     return metrics.rmse(rows, ["unit"])
 
 
-from . import completed, draws as draws_, finding, fits, forecasting, groups, layouts, learning, more, rules, sides  # noqa: E402, F401  add their queries to these
+from . import completed, draws as draws_, finding, fits, forecasting, groups, histories, layouts, learning, more, rules, sides  # noqa: E402, F401  add their queries to these
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

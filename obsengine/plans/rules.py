@@ -17,7 +17,10 @@ from .queries import FEATURES, HOURLY, LABELLED, LINES, OBS, SEED, STATS, TOK, U
 def shared(spark, name: str) -> str:
     """A new path in the folder that driver and executors share; a temporary one where the session names none."""
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
-    folder = at.get() if at.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = at.get() if at.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    folder = folder or tempfile.mkdtemp(prefix="spark-")
     return f"{folder}/{name}-{uuid.uuid4()}"
 
 
@@ -150,8 +153,7 @@ def l10_event_annotations(spark, sf_dir):
 
 @query(f"WITH {TOK} SELECT unit, position, channel, {r('value', 'value')}, {r('time', 'time')}, {r('gap', 'gap')}, CAST(CAST(unit AS BIGINT) % 4 AS BIGINT) AS part FROM tokens WHERE CAST(unit AS BIGINT) % 4 IN (1, 2)")
 def s17_publish_and_read(spark, sf_dir):
-    path = shared(spark, "published")
-    formats.publish(tokens(spark, sf_dir).withColumn("part", F.col("unit").cast("long") % 4), path, {"length": 24, "stride": 24})
+    path = formats.publish(tokens(spark, sf_dir).withColumn("part", F.col("unit").cast("long") % 4), shared(spark, "published"), {"length": 24, "stride": 24})
     return formats.read_published(spark, path, parts=["1", "2"]).select("unit", "position", "channel", "value", "time", "gap", "part")
 
 

@@ -5,8 +5,12 @@ Readers of many small files take the unit from the file's name. A value that isn
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,8 +64,14 @@ def read_stays_2019(spark: SparkSession, path: str, excluded: Sequence[str] = ()
     """S3: hourly wide rows between bars: readings, statics and units `(unit, extent_start, extent_end)`.
 
     The hour is `ICULOS`, the label column is never a channel, and an extent goes from the first hour to one past the last.
+    A file without the label column is refused, and so is, when its row is read, a label other than 0 and 1.
     """
     raw = spark.read.option("header", True).option("sep", "|").csv(path).withColumn("unit", file_stem())
+    if "SepsisLabel" not in raw.columns:
+        raise ValueError(f"{path}: no column SepsisLabel")
+    label = F.col("SepsisLabel").try_cast("double")
+    bad = F.raise_error(F.concat(F.lit("label other than 0 and 1: "), F.coalesce("SepsisLabel", F.lit("none")), F.lit(" in "), F.col("unit")))
+    raw = raw.where(F.when(label.isin(0.0, 1.0), F.lit(True)).otherwise(bad.cast("boolean")))
     raw = raw.where(~F.col("unit").isin(*excluded)).withColumn("time", F.col("ICULOS").try_cast("double"))
     names = [c for c in raw.columns if c not in ("unit", "time", "ICULOS", "SepsisLabel")]
     numbers = raw.select("unit", "time", *[F.col(c).try_cast("double").alias(c) for c in names])
@@ -219,25 +229,50 @@ def choose_parts(df: DataFrame, parts: Sequence[str]) -> DataFrame:
     return df.where(F.col("part").isin(*parts)).withColumn("unit", F.concat_ws("/", "part", "unit"))
 
 
-def publish(tokens: DataFrame, path: str, manifest: Mapping[str, object], part: str = "part", source: DataFrame | None = None, fingerprint: int | None = None) -> None:
-    """Tokens by part, a unit's rows in one file of its part, and the manifest beside them; a path in use is refused.
+def publish(tokens: DataFrame, folder: str, manifest: Mapping[str, object], part: str = "part", source: DataFrame | None = None, fingerprint: int | None = None) -> str:
+    """Tokens by part, a unit's rows in one file of its part, and the manifest; the path under `folder`, all or nothing.
 
-    With `source`, the readings that the tokens were made of, their description joins the manifest, and readings whose
-    `fingerprint` isn't the one given are refused: they have moved since.
+    The path's name follows from the tokens' digest, their columns and the manifest, so the same data and spec give the
+    same path, and what is there is not written again. Tokens go to a folder of the attempt; the commit, written last,
+    names it. A job that dies before leaves an attempt that nobody reads; of attempts that end at once the first by
+    name counts, and both hold the same. With `source`, the readings that the tokens were made of, their description
+    joins the manifest, and readings whose `fingerprint` isn't the one given are refused: they have moved since.
     """
+    spark = tokens.sparkSession
     if source is not None:
         found = describe(source).first().asDict()
         if fingerprint is not None and found["fingerprint"] != fingerprint:
             raise ValueError(f"the source's fingerprint is {found['fingerprint']}, not {fingerprint}")
         manifest = {**manifest, **found}
-    tokens.repartition(part, "unit").sortWithinPartitions(part, "unit", "position").write.partitionBy(part).parquet(f"{path}/tokens")
-    spark = tokens.sparkSession
-    spark.createDataFrame([(k, str(v)) for k, v in sorted(manifest.items())], "key string, value string").write.json(f"{path}/manifest")
+    key = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(tokens.columns))), 256), 1, 15), 16, 10).cast("decimal(19,0)")
+    total, n = tokens.agg(F.sum(key), F.count(F.lit(1))).first()
+    spec = json.dumps([[k, str(v)] for k, v in sorted(manifest.items())] + sorted(tokens.dtypes) + [part, str(total), n])
+    path = f"{folder}/{hashlib.sha256(spec.encode()).hexdigest()[:32]}"
+    if committed(spark, path) is None:
+        attempt = uuid.uuid4().hex
+        tokens.repartition(part, "unit").sortWithinPartitions(part, "unit", "position").write.partitionBy(part).parquet(f"{path}/{attempt}/tokens")
+        spark.createDataFrame([(k, str(v)) for k, v in sorted(manifest.items())], "key string, value string").coalesce(1).write.json(f"{path}/{attempt}/manifest")
+        spark.createDataFrame([(attempt,)], "attempt string").coalesce(1).write.mode("append").json(f"{path}/commit")
+    return path
+
+
+def committed(spark: SparkSession, path: str) -> str | None:
+    """The folder of a published path's attempt that counts; none if no attempt has come to its end."""
+    try:
+        first = spark.read.schema("attempt string").json(f"{path}/commit").agg(F.min("attempt")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if first is None else f"{path}/{first}"
 
 
 def read_published(spark: SparkSession, path: str, parts: Sequence[str] | None = None, units: DataFrame | None = None, positions: DataFrame | None = None) -> DataFrame:
     """Published tokens, of some parts (whose folders alone are listed), units, or `(unit, position)` only."""
-    df = spark.read.parquet(f"{path}/tokens")
+    at = committed(spark, path)
+    if at is None:
+        raise ValueError(f"nothing is published in {path}")
+    df = spark.read.parquet(f"{at}/tokens")
     df = df if parts is None else df.where(F.col("part").isin(*parts))
     df = df if units is None else df.join(units.select("unit").distinct(), "unit", "left_semi")
     return df if positions is None else df.join(positions.select("unit", "position").distinct(), ["unit", "position"], "left_semi")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ORIGIN = "2024-01-01 00:00:00"
 
@@ -19,6 +20,26 @@ def hours_since(ts: str, origin: str = ORIGIN) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{origin}', {ts})") / F.lit(3.6e9)
 
 
+def local_to_utc(df: DataFrame, local: str, zone: str, transitions: DataFrame, origin: str = ORIGIN, to: str = "time") -> DataFrame:
+    """`df` with the UTC hours since `origin` of a local clock, to the minute.
+
+    `local` is a timestamp without zone, `zone` a name read without case and outer spaces. `transitions`: `(zone, since,
+    minutes)`, from the UTC instant `since` on (null: from ever) clocks are `minutes` ahead of UTC; few rows a zone. A
+    clock time that a change skips is read by the offset before it, one that comes twice is its first. A time before a
+    zone's first row takes that row's offset. An unknown or null zone is UTC; a null clock gives null.
+    """
+    minute = lambda c: F.floor(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{origin}', `{c}`)") / F.lit(6e7)).cast("long")
+    name = lambda c: F.upper(F.trim(F.col(c)))
+    rows = transitions.select(name("zone").alias("_zone"), minute("since").alias("_since"), F.col("minutes").cast("long").alias("_minutes"))
+    ahead = F.greatest("_minutes", F.lag("_minutes").over(Window.partitionBy("_zone").orderBy(F.asc_nulls_first("_since"))))
+    rows = rows.withColumn("_from", F.coalesce(F.col("_since") + ahead, F.lit(-(1 << 62))))
+    offsets = rows.groupBy("_zone").agg(F.sort_array(F.collect_list(F.struct("_from", "_minutes"))).alias("_offsets"))
+    held = df.withColumns({"_key": name(zone), "_local": minute(local)}).join(offsets, F.col("_key") == F.col("_zone"), "left")
+    begun = F.filter("_offsets", lambda o: o["_from"] <= F.col("_local"))
+    offset = F.coalesce(F.try_element_at(begun, F.lit(-1))["_minutes"], F.get("_offsets", F.lit(0))["_minutes"], F.lit(0))
+    return held.withColumn(to, (F.col("_local") - offset) / 60.0).drop("_key", "_local", "_zone", "_offsets")
+
+
 def event_readings(events: DataFrame, unit: str = "user_id", origin: str = ORIGIN) -> DataFrame:
     """An event table as readings; rows without a finite value are absent, not null."""
     rows = events.select(F.col(unit).cast("string").alias("unit"), F.col("event_type").alias("channel"), hours_since("ts", origin).alias("time"), F.col("value").alias("value"))

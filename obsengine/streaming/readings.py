@@ -1,6 +1,7 @@
 """The same work on readings that arrive: windows, running statistics, deduplication, hourly means.
 
-Inputs are streaming frames `(unit, channel, ts, value)` with an event time; late rows past the watermark are dropped.
+Inputs are streaming frames `(unit, channel, ts, value)` with an event time; late rows past the watermark are dropped
+(`late.counted_windows` counts them).
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.repair import clean
+
 
 def stream_windows(readings: DataFrame, length: str, slide: str | None = None, lateness: str = "10 minutes") -> DataFrame:
     """Five summaries of each channel of a unit in sliding (or, without `slide`, tumbling) windows of event time."""
@@ -16,8 +19,9 @@ def stream_windows(readings: DataFrame, length: str, slide: str | None = None, l
     return found.select("unit", "channel", F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"), "n", "mean", "minimum", "maximum", "last")
 
 
-def stream_clean_normalise(readings: DataFrame, stats: DataFrame) -> DataFrame:
-    """Standard scores by fitted statistics, a static table of a row per channel."""
+def stream_clean_normalise(readings: DataFrame, stats: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Readings cleaned by `bounds` (P12), then standard scores by fitted statistics, static tables of a row per channel."""
+    readings = readings if bounds is None else clean(readings, bounds)
     z = (F.col("value") - F.col("mean")) / F.when(F.col("std") > 0, F.col("std")).otherwise(1.0)
     return readings.join(stats, "channel").withColumn("value", z).select(*readings.columns)
 
