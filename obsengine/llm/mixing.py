@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from .common import durable, fresh, seeded
 
-SEP = "\x1f"
+SEP, NONE = "\x1f", "\x1e"  # between levels; for a null level
 RANK_BITS = 60
 MOST_SENT = 50_000  # leaves whose plan, some 100 bytes each, is sent to all tasks
 
@@ -28,9 +28,29 @@ def words(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"\S+")).cast("long")
 
 
+ESCAPES = {"\x1b": "\x1b0", SEP: "\x1b1", NONE: "\x1b2"}  # the first sign first: it stands in the others
+
+
 def path(*levels: Column) -> Column:
-    """The place in the tree as one string; a null level is a value of its own."""
-    return F.concat_ws(SEP, *[F.coalesce(c.cast("string"), F.lit("\x1e")) for c in levels])
+    """The place in the tree as one string, the same for no two places; a null level is a value of its own."""
+    return F.concat_ws(SEP, *[F.coalesce(_replaced(c.cast("string"), ESCAPES), F.lit(NONE)) for c in levels])
+
+
+def level(path: Column | str, nth: int) -> Column:
+    """The `nth` level, from 0, of a `path` as it was."""
+    said = F.get(F.split(path, SEP), F.lit(nth))
+    return F.when(said != NONE, _replaced(said, {v: k for k, v in reversed(ESCAPES.items())}))
+
+
+def _replaced(c: Column, signs: Mapping[str, str]) -> Column:
+    for a, b in signs.items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _named(key: tuple[str | None, ...]) -> str:
+    said = [NONE if k in (None, NONE) else k.replace("\x1b", ESCAPES["\x1b"]).replace(SEP, ESCAPES[SEP]).replace(NONE, ESCAPES[NONE]) for k in key]
+    return SEP.join(said)
 
 
 def fill(nodes: DataFrame, parent: Sequence[str], budget: str = "given", cap: str = "cap", weight: str = "weight", to: str = "quota") -> DataFrame:
@@ -52,8 +72,8 @@ def fill(nodes: DataFrame, parent: Sequence[str], budget: str = "given", cap: st
 
 
 def quotas(leaves: DataFrame, levels: Sequence[str], budget: float, weights: Mapping[tuple[str, ...], float], epochs: int) -> DataFrame:
-    """`leaves` (the levels, `available`) with `quota`. `weights` names nodes by their path; the rest weigh 1."""
-    named = F.create_map(*[x for k, v in weights.items() for x in (F.lit(SEP.join(k)), F.lit(float(v)))]) if weights else None
+    """`leaves` (the levels, `available`) with `quota`. `weights` names nodes by their path, None for null; the rest weigh 1."""
+    named = F.create_map(*[x for k, v in weights.items() for x in (F.lit(_named(k)), F.lit(float(v)))]) if weights else None
     rows = leaves.withColumn("cap", F.col("available").cast("double") * epochs)
     above = rows.agg(F.least(F.sum("cap"), F.lit(float(budget))).alias("given")).withColumn("_p0", F.lit(""))
     rows = rows.withColumn("_p0", F.lit(""))
@@ -85,7 +105,7 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[st
     names = [f"_mix_l{i}" for i in range(len(levels))]
     sums = durable(rows.groupBy("_mix_leaf", "_mix_bucket").agg(F.sum("_mix_n").alias("n")))
     leaves = sums.groupBy("_mix_leaf").agg(F.sum("n").alias("available"))
-    leaves = leaves.select("*", *[F.element_at(F.split("_mix_leaf", SEP), i + 1).alias(c) for i, c in enumerate(names)])
+    leaves = leaves.select("*", *[level("_mix_leaf", i).alias(c) for i, c in enumerate(names)])
     if budget is None:
         budget = share * (leaves.agg(F.sum("available")).first()[0] or 0)
     given = quotas(leaves, names, budget, weights, epochs)

@@ -93,7 +93,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 2048,
     own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable("v")).distinct()
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     entries = durable(own.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    chosen = entries.select(F.size("v").alias("d"), "v", seeded(seed, F.element_at("ids", 1)).alias("r")).withColumn("nth", F.row_number().over(Window.partitionBy("d").orderBy("r", "v")))
+    ranked = entries.select(F.size("v").alias("d"), "v", seeded(seed, F.element_at("ids", 1)).alias("r"))
+    drawn = F.lit(False)  # what can be among the least ranks, some more than `pivots`, so that no task ranks all rows
+    for d, n in entries.groupBy(F.size("v")).count().collect():
+        drawn = drawn | ((F.col("d") == d) & (F.col("r") <= int(min(1.0, (pivots + 8 * pivots**0.5 + 64) / n) * 2**60)))
+    chosen = ranked.where(drawn).withColumn("nth", F.row_number().over(Window.partitionBy("d").orderBy("r", "v")))
     by_length: dict[int, list] = {}
     for r in chosen.where(F.col("nth") <= pivots).select("d", "v").toLocalIterator():
         by_length.setdefault(r["d"], []).append(r["v"])

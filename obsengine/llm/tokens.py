@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,13 +51,20 @@ class Trie:
         self.best, self.tokens, self.done = array("d", [0.0]), array("q", [0]), {}
 
     def count(self, word: str, mark: str = MARK) -> int:
-        """Tokens of the mark and the word."""
-        said, node, path, child, best, tokens = mark + word, 0, [0], self.child, self.best, self.tokens
+        """Tokens of the mark and the word. A trie that the word would fill starts afresh; a word of more signs than a
+        trie has nodes is scored beside it."""
+        said, path = mark + word, [0]
         for c in said:
-            node = child.get(node << 21 | ord(c))
+            node = self.child.get(path[-1] << 21 | ord(c))
             if node is None:
                 break
             path.append(node)
+        if len(self.best) + len(said) + 1 - len(path) > self.most:
+            self.clear()
+            path = [0]
+            if len(said) >= self.most:
+                return self._beside(said)
+        child, best, tokens = self.child, self.best, self.tokens
         get, unknown, longest = self.scores.get, self.unknown, self.longest
         for i in range(len(path), len(said) + 1):
             above, size = path[-1], len(said[i - 1].encode("utf-8", "surrogatepass"))
@@ -72,13 +80,27 @@ class Trie:
         self.done[word] = found = tokens[path[-1]]
         return found
 
+    def _beside(self, said: str) -> int:
+        """The same scores with the last positions' alone in memory."""
+        get, unknown, longest = self.scores.get, self.unknown, self.longest
+        last = deque([(0.0, 0)], maxlen=longest)  # the best score and its tokens up to each of the positions before
+        for i in range(1, len(said) + 1):
+            size = len(said[i - 1].encode("utf-8", "surrogatepass"))
+            top, least = last[-1][0] + unknown * size, last[-1][1] + size
+            for j, (score, n) in enumerate(last, i - len(last)):
+                s = get(said[j:i])
+                if s is not None and ((s := s + score) > top or s == top and n < least - 1):
+                    top, least = s, n + 1
+            last.append((top, least))
+        return last[-1][1]
+
     def total(self, words: list[str]) -> int:
-        done, count, out = self.done, self.count, 0
+        out = 0
         for w in words:
-            n = done.get(w)
-            out += count(w) if n is None else n
-        if len(self.best) > self.most or len(done) > self.most // 2:
-            self.clear()
+            n = self.done.get(w)
+            out += self.count(w) if n is None else n
+            if len(self.done) > self.most // 2:
+                self.clear()
         return out
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -93,3 +94,16 @@ def test_defined_cases(spark):
     assert mixing.mix(df.limit(0), levels(), WEIGHTS).collect() == []
     plan = mixing.mix(spark.createDataFrame(rows(50), SCHEMA), levels(), WEIGHTS)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_levels_may_hold_the_signs_that_part_them(spark):
+    """Two leaves whose levels, put one after another, read alike are two leaves, and null isn't the sign that stands for it."""
+    kinds = [("a\x1fb", "c"), ("a", "b\x1fc"), ("\x1b1", "x"), ("\x1f", "x"), ("\x1e", "x"), (None, "x"), ("\x1b2", "x"), ("", "x")]
+    docs = spark.createDataFrame([(100 * k + i, "w w", a, b) for k, (a, b) in enumerate(kinds) for i in range(20)], "doc_id long, text string, lang string, source string")
+    weights = {("\x1f",): 3.0, (None,): 5.0, ("a\x1fb",): 2.0}
+    got = mixing.mix(docs, {"lang": F.col("lang"), "source": F.col("source")}, weights, budget=150.0).groupBy("lang", "source").count().collect()
+    # Null is full at 40 words; the other 110 go over weights of 10 in all, and a quota is passed by less than a document.
+    want = {k: 20 if k[0] is None else math.ceil(11 * weights.get((k[0],), 1.0) / 2) for k in kinds}
+    assert {(r["lang"], r["source"]): r["count"] for r in got} == want
+    back = docs.select("lang", mixing.path(F.col("lang"), F.col("source")).alias("p")).select("lang", mixing.level("p", 0).alias("l"), mixing.level("p", 1).alias("s"))
+    assert back.where("NOT (lang <=> l)").count() == 0 and {r["s"] for r in back.collect()} == {"c", "b\x1fc", "x"}

@@ -85,3 +85,17 @@ def test_few_rows(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.search(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1)]
     assert neighbours.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
     assert neighbours.search(df.limit(1), F.lit(True)).collect() == []
+
+
+def test_pivots_are_the_least_ranks_of_a_length(spark):
+    """Few pivots of many rows are the same as by ranking them all; no task ranks more than some more of them."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.search(rows, F.col("vec_id") % 50 == 0, 5, pivots=64, prefix=16, share=0.2).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = unit[::50] @ unit.T
+    cosine[np.arange(60), np.arange(60) * 50] = -2
+    best = np.argsort(-cosine, axis=1)[:, :5]
+    hit = sum(len(set(best[q // 50]) & set(part["vec_id"])) for q, part in found.groupby("query_id"))
+    assert len(found) == 300 and hit / 300 >= 0.9

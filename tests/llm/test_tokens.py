@@ -48,3 +48,12 @@ def test_whole_texts(spark):
         if r.doc_id is not None:
             assert (r.n_pretokens, r.n_tokens) == known[r.doc_id]
     assert tokens.token_counts(docs.limit(0), PATH).collect() == []
+
+
+def test_no_word_outgrows_the_trie():
+    rng = random.Random(2)
+    scores = tokens.rank_scores(["a", "b", "ab", "aba", "bb", "abab", "c"])
+    trie, words = tokens.Trie(scores, -20.0, 40), ["".join(rng.choices("abc☃", k=n)) for n in (5, 39, 38, 40, 3000, 7, 3000, 30, 20)]
+    for w in words:
+        assert trie.total([w]) == plain(tokens.MARK + w, scores, -20.0)
+        assert len(trie.best) <= 40 and len(trie.done) <= 20
