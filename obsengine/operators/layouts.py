@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordering import digest_position, percentiles
+from ..functions.ordering import digest_position, kept, percentiles
 
 WIN = ["unit", "position"]
 
@@ -126,7 +126,7 @@ def fleet_correlations(hourly: DataFrame) -> DataFrame:
     return rows.join(fleet, ["channel", "hour"]).groupBy("channel").agg(F.count(F.lit(1)).alias("changes"), F.corr("change", "fleet").alias("correlation"))
 
 
-UNITS_A_BLOCK, HOURS_A_BLOCK = 64, 2048
+UNITS_A_BLOCK, HOURS_A_BLOCK, VALUES_A_BLOCK = 1024, 2048, 1 << 20
 
 
 def hourly_changes(hourly: DataFrame) -> DataFrame:
@@ -135,53 +135,82 @@ def hourly_changes(hourly: DataFrame) -> DataFrame:
     return hourly.withColumn("change", F.when(F.lag("hour").over(w) == F.col("hour") - 1, F.col("mean") - F.lag("mean").over(w)))
 
 
+def _pair_sums(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], strip: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """For strips of the `left` series `(hours, changes)`: where the strip begins and the sums n, x, y, xy, xx and yy
+    `(6, strip, right)` over the hours that two series share, taken over spans of hours."""
+    flat = lambda side: (np.repeat(np.arange(len(side)), [len(h) for h, _ in side]), np.concatenate([h for h, _ in side]), np.concatenate([v for _, v in side]))
+    j, hours, y = flat(right)
+    axis = np.unique(hours)
+    at = np.searchsorted(axis, hours)
+    for low in range(0, len(left), strip):
+        part = left[low : low + strip]
+        i, own, x = flat(part)
+        place = np.searchsorted(axis, own)
+        met = axis[np.minimum(place, len(axis) - 1)] == own
+        i, place, x = i[met], place[met], x[met]
+        sums = np.zeros((6, len(part), len(right)))
+        for start in range(0, len(axis), HOURS_A_BLOCK):
+            n = min(HOURS_A_BLOCK, len(axis) - start)
+            a, b = (place >= start) & (place < start + n), (at >= start) & (at < start + n)
+            p, xs, q, ys = (np.zeros((n, size)) for size in (len(part), len(part), len(right), len(right)))
+            p[place[a] - start, i[a]], xs[place[a] - start, i[a]] = 1, x[a]
+            q[at[b] - start, j[b]], ys[at[b] - start, j[b]] = 1, y[b]
+            for s, (u, v) in zip(sums, ((p, q), (xs, q), (p, ys), (xs, ys), (xs**2, q), (p, ys**2)), strict=True):
+                s += u.T @ v
+        yield low, sums
+
+
 def unit_pair_correlations(hourly: DataFrame, least: int = 3) -> DataFrame:
     """`(channel, a, b, shared, correlation)`: of every two units the correlation of their hourly changes over the
     hours in which both changed; pairs with fewer than `least` are left out, a unit that never varies there gives null.
 
-    Units stand in blocks and so do hours. Two blocks of units meet once for each block of hours, as matrices of values
-    and of presence whose products are all sums that a correlation with gaps needs; sums of hours are added up. A block
-    is sent once for each other block, and a row is a pair of units and not of readings.
+    A unit's changes are one row, units stand in blocks, and two blocks meet once, as matrices of values and of presence
+    whose products are all sums that a correlation with gaps needs. A pair is told where its blocks meet, so no row of a
+    pair is shuffled; a block is sent once for each block, and the longer the series the smaller the blocks.
     """
-    rows = hourly_changes(hourly).where("change IS NOT NULL")
-    units = digest_position(rows.select("channel", "unit").distinct().withColumn("_d", F.sha2(F.col("unit").cast("string"), 256)), "_d", ["unit"], ["channel"], "_at")
-    units = units.select("channel", "unit", F.floor((F.col("_at") - 1) / UNITS_A_BLOCK).cast("int").alias("_block"))
-    blocks = units.groupBy("channel").agg(F.max("_block").alias("_last"))
-    spans = F.floor(F.col("hour") / HOURS_A_BLOCK).cast("long")
-    own = rows.join(units, ["channel", "unit"]).join(blocks, "channel").withColumn("_span", spans)
-    low = own.withColumn("_other", F.explode(F.sequence("_block", "_last"))).select("channel", "_span", F.col("_block").alias("_i"), F.col("_other").alias("_j"), "unit", "hour", "change", F.lit(True).alias("_left"))
-    high = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_block")))).select("channel", "_span", F.col("_other").alias("_i"), F.col("_block").alias("_j"), "unit", "hour", "change", F.lit(False).alias("_left"))
+    rows = hourly_changes(hourly).where("change IS NOT NULL AND unit IS NOT NULL AND channel IS NOT NULL")
+    series = rows.groupBy("channel", "unit").agg(F.sort_array(F.collect_list(F.struct(F.col("hour").cast("long").alias("hour"), F.col("change").cast("double").alias("change")))).alias("_s"))
+    series = kept(series.where(F.size("_s") >= least).select("channel", "unit", F.col("_s.hour").alias("hours"), F.col("_s.change").alias("changes")))
+    longest = series.agg(F.max(F.size("hours"))).first()[0] or 1
+    a_block = max(1, min(UNITS_A_BLOCK, VALUES_A_BLOCK // longest))
+    placed = digest_position(series.withColumn("_d", F.sha2(F.col("unit").cast("string"), 256)), "_d", ["unit"], ["channel"], "_at")
+    placed = placed.withColumn("_block", F.floor((F.col("_at") - 1) / a_block).cast("int"))
+    last = placed.groupBy("channel").agg(F.max("_block").alias("_last"))
+    own = placed.join(F.broadcast(last), "channel")
+    told = ["channel", "_i", "_j", "unit", "hours", "changes", "_left"]
+    low = own.select("*", F.explode(F.sequence("_block", "_last")).alias("_j"), F.col("_block").alias("_i"), F.lit(True).alias("_left")).select(told)
+    high = own.where("_block > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("_block") - 1)).alias("_i"), F.col("_block").alias("_j"), F.lit(False).alias("_left")).select(told)
     kinds = dict(rows.dtypes)
 
-    def products(part: pd.DataFrame) -> pd.DataFrame:
-        hours = {h: i for i, h in enumerate(part["hour"].unique())}
-        sides = []
-        for left in (True, False):
-            side = part[part["_left"] == left]
-            names = sorted(side["unit"].unique())
-            number = {u: i for i, u in enumerate(names)}
-            x, seen = np.zeros((len(hours), len(names))), np.zeros((len(hours), len(names)))
-            at = side["hour"].map(hours).to_numpy(int), side["unit"].map(number).to_numpy(int)
-            x[at] = side["change"].to_numpy(float)
-            seen[at] = 1
-            sides.append((names, x, seen))
-        (a, x, p), (b, y, q) = sides
-        n = p.T @ q
-        i, j = np.nonzero(n)
-        keep = np.array([a[s] < b[t] for s, t in zip(i, j, strict=True)], bool) if part["_i"].iloc[0] == part["_j"].iloc[0] else np.ones(len(i), bool)
-        i, j = i[keep], j[keep]
-        sums = {"n": n, "sx": x.T @ q, "sy": p.T @ y, "sxy": x.T @ y, "sxx": (x**2).T @ q, "syy": p.T @ y**2}
-        named = lambda values: pd.Series(values, dtype=object)
-        return pd.DataFrame({"channel": named([part["channel"].iloc[0]] * len(i)), "a": named([a[s] for s in i]), "b": named([b[t] for t in j]), **{k: v[i, j] for k, v in sums.items()}})
-
-    schema = f"channel {kinds['channel']}, a {kinds['unit']}, b {kinds['unit']}, n double, sx double, sy double, sxy double, sxx double, syy double"
-    parts = low.unionByName(high).groupBy("channel", "_span", "_i", "_j").applyInPandas(products, schema)
-    swapped = F.col("a") > F.col("b")
-    parts = parts.select("channel", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "sxy", *[F.when(swapped, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in (("sx", "sy"), ("sy", "sx"), ("sxx", "syy"), ("syy", "sxx"))])
-    s = parts.groupBy("channel", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")]).where(F.col("n") >= least)
-    vx, vy = (F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / F.col("n") for c in "xy")
-    varies = (vx > 1e-9 * F.col("sxx")) & (vy > 1e-9 * F.col("syy"))
-    return s.select("channel", "a", "b", F.col("n").cast("long").alias("shared"), F.when(varies, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy)).alias("correlation"))
+    def meet(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        names, side = part["unit"].to_pylist(), part["_left"].to_numpy()
+        series = [(h.values.to_numpy(), v.values.to_numpy()) for h, v in zip(part["hours"], part["changes"], strict=True)]
+        place = np.empty(len(names), np.int64)
+        place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        left = np.flatnonzero(side)
+        right, same = (left, True) if side.all() else (np.flatnonzero(~side), False)
+        first, second, counts, values = [], [], [], []
+        for at, s in _pair_sums([series[k] for k in left], [series[k] for k in right]) if len(left) and len(right) else ():
+            i, j = np.nonzero(s[0] >= least)
+            x, y = left[at + i], right[j]
+            if same:
+                keep = place[x] < place[y]
+                i, j, x, y = i[keep], j[keep], x[keep], y[keep]
+            n, sx, sy, sxy, sxx, syy = s[:, i, j]
+            vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+            varies = (vx > 1e-9 * sxx) & (vy > 1e-9 * syy)  # else it is rounding
+            r = np.divide(sxy - sx * sy / n, np.sqrt(vx * vy, where=varies, out=np.ones_like(vx)))
+            turned = place[x] > place[y]
+            first.append(np.where(turned, y, x))
+            second.append(np.where(turned, x, y))
+            counts.append(n.astype(np.int64))
+            values.append(pa.array(r, mask=~varies))
+        taken = lambda found: part["unit"].take(pa.array(np.concatenate(found or [np.zeros(0, np.int64)])))
+        a = taken(first)
+        return pa.table({"channel": part["channel"].take(pa.array(np.zeros(len(a), np.int64))), "a": a, "b": taken(second), "shared": np.concatenate(counts or [np.zeros(0, np.int64)]), "correlation": pa.chunked_array(values or [pa.array([], pa.float64())])})
+
+    return low.unionByName(high).groupBy("channel", "_i", "_j").applyInArrow(meet, f"channel {kinds['channel']}, a {kinds['unit']}, b {kinds['unit']}, shared long, correlation double")
 
 
 def unit_autocorrelations(hourly: DataFrame, level_lag: int = 1, change_lag: int = 24, least: int = 2) -> DataFrame:

@@ -80,6 +80,20 @@ def hourly_means(df: DataFrame) -> DataFrame:
     return df.groupBy("unit", "channel", F.floor("time").alias("hour")).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
+def _long(wide: DataFrame, key: Sequence[str], channels: Sequence[str], told: Sequence[str]) -> DataFrame:
+    """`(key, channel, told)`, a row for each channel whose struct of the row isn't null; rows stay where they are dealt."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"_{c}").alias("told")) for c in channels])).alias("_r")
+    return wide.select(*key, each).where("_r.told IS NOT NULL").select(*key, "_r.channel", *[F.col(f"_r.told.{c}").alias(c) for c in told])
+
+
+def wide_hourly_means(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """D13 of wide rows `(unit, time, *channels)`: `hourly_means` of their finite values, grouped before a row is one for each channel."""
+    held = [F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c).cast("double")) for c in channels]
+    each = [F.when(F.count(v) > 0, F.struct(F.avg(v).alias("mean"), F.count(v).alias("n"))).alias(f"_{c}") for c, v in zip(channels, held, strict=True)]
+    told = wide.groupBy("unit", F.floor("time").alias("hour")).agg(*each)
+    return _long(told, ["unit", "hour"], channels, ["mean", "n"]).select("unit", "channel", "hour", "mean", "n")
+
+
 def densify(hourly: DataFrame) -> DataFrame:
     """Every hour from a series' first to its last, null where nothing was read."""
     span = hourly.groupBy("unit", "channel").agg(F.min("hour").alias("a"), F.max("hour").alias("b"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import kept
 from ..operators import forecasts, impute, layouts, repair, ridges, windows
-from ..sources.tables import order_line_readings, table
+from ..sources.tables import LINE_CHANNELS, order_line_values, table
 from .queries import BINS, CHANNELS, LINES, SEED, query, r, tokens
 
 DAILY = f"{LINES}, daily AS (SELECT unit, channel, CAST(floor(time / 24) AS BIGINT) AS hour, avg(value) AS mean FROM obs WHERE value IS NOT NULL AND isfinite(value) GROUP BY ALL), ch AS (SELECT *, CASE WHEN lag(hour) OVER w = hour - 1 THEN mean - lag(mean) OVER w END AS change FROM daily WINDOW w AS (PARTITION BY unit, channel ORDER BY hour))"
@@ -18,8 +18,8 @@ def varying(x: str, y: str) -> str:
 
 
 def daily(spark, sf_dir):
-    """Suppliers' means a day: their hours are days here."""
-    return repair.hourly_means(order_line_readings(table(spark, sf_dir, "lineitem")).withColumn("time", F.col("time") / 24))
+    """Suppliers' means a day: their hours are days here. Lines are dealt by supplier once, before a line is four readings."""
+    return repair.wide_hourly_means(order_line_values(table(spark, sf_dir, "lineitem")).withColumn("time", F.col("time") / 24).repartition("unit"), LINE_CHANNELS)
 
 
 @query(f"WITH {DAILY}, x AS (SELECT channel, unit, hour, change FROM ch WHERE change IS NOT NULL) SELECT a.channel, a.unit AS a, b.unit AS b, count(*) AS shared, round({varying('a.change', 'b.change')}, 4) + 0.0 AS correlation FROM x a JOIN x b ON a.channel = b.channel AND a.hour = b.hour AND a.unit < b.unit GROUP BY a.channel, a.unit, b.unit HAVING count(*) >= 8")

@@ -57,10 +57,17 @@ def to_long(df: DataFrame, ids: Sequence[str], channels: Sequence[str]) -> DataF
     return finite(wide.unpivot(list(ids), list(channels), "channel", "value"))
 
 
+LINE_CHANNELS = ["quantity", "price", "discount", "tax"]
+
+
+def order_line_values(lineitem: DataFrame) -> DataFrame:
+    """A wide row of four values per order line: its supplier and ship date, in hours from 1995."""
+    return lineitem.select(F.col("l_suppkey").cast("string").alias("unit"), hours_since("l_shipdate", "1995-01-01 00:00:00").alias("time"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+
+
 def order_line_readings(lineitem: DataFrame) -> DataFrame:
     """Readings of four channels per supplier by ship date, in hours from 1995."""
-    ids = lineitem.select(F.col("l_suppkey").cast("string").alias("unit"), hours_since("l_shipdate", "1995-01-01 00:00:00").alias("time"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
-    return to_long(ids, ["unit", "time", "l_orderkey", "l_linenumber"], ["quantity", "price", "discount", "tax"])
+    return to_long(order_line_values(lineitem), ["unit", "time", "l_orderkey", "l_linenumber"], LINE_CHANNELS)
 
 
 def describe(readings: DataFrame) -> DataFrame:
