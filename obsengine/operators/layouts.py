@@ -218,13 +218,12 @@ def unit_autocorrelations(hourly: DataFrame, level_lag: int = 1, change_lag: int
     before, and of its change with that `change_lag` hours before, over the hours read at both ends; null where those are
     fewer than `least` or one end never varies.
 
-    A reading is laid at its own hour and at the hours for which it is the earlier one, so one grouping has all pairs.
+    The earlier ends are read by frames of one order of each series, so no reading is repeated or dealt again.
     """
-    rows = hourly_changes(hourly).select("channel", "unit", "hour", "mean", "change")
-    at = F.explode(F.array(F.struct(F.col("hour").alias("at"), F.lit(0).alias("lag")), F.struct((F.col("hour") + level_lag).alias("at"), F.lit(1).alias("lag")), F.struct((F.col("hour") + change_lag).alias("at"), F.lit(2).alias("lag"))))
-    met = rows.withColumn("_p", at).select("channel", "unit", "_p.at", "_p.lag", "mean", "change")
-    when = lambda lag, c: F.max(F.when(F.col("lag") == lag, F.col(c)))
-    pairs = met.groupBy("channel", "unit", "at").agg(when(0, "mean").alias("m"), when(1, "mean").alias("m_before"), when(0, "change").alias("c"), when(2, "change").alias("c_before"))
+    w = Window.partitionBy("unit", "channel").orderBy("hour")
+    before = lambda c, lag: F.max(c).over(w.rangeBetween(-lag, -lag))
+    rows = hourly_changes(hourly.withColumn("hour", F.col("hour").cast("long")))
+    pairs = rows.select("channel", "unit", F.col("mean").alias("m"), before("mean", level_lag).alias("m_before"), F.col("change").alias("c"), before("change", change_lag).alias("c_before"))
 
     def both(x: str, y: str) -> Column:
         a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))

@@ -26,3 +26,14 @@ def test_pairs_are_told_where_their_blocks_meet(spark, monkeypatch):
         shared, r = whole.pop((p["channel"], p["a"], p["b"]))
         assert p["shared"] == shared and p["correlation"] == pytest.approx(r)
     assert not whole
+
+
+def test_autocorrelations_deal_the_readings_once(spark):
+    lines = hourly(spark).groupBy("unit", "hour").pivot("channel", ["x", "y"]).agg(F.first("mean")).withColumn("time", F.col("hour") + 0.5)
+    dealt = lines.select("unit", "time", "x", "y").localCheckpoint().repartition("unit")
+    own = repair.wide_hourly_means(dealt, ["x", "y"])
+    assert plan_of(layouts.unit_autocorrelations(own, 1, 3)).count("Exchange") == 1
+    told = {(p["channel"], p["unit"]): (p["level"], p["change"]) for p in layouts.unit_autocorrelations(own, 1, 3).collect()}
+    for p in layouts.unit_autocorrelations(hourly(spark), 1, 3).collect():
+        assert told.pop((p["channel"], p["unit"])) == pytest.approx((p["level"], p["change"]))
+    assert not told
