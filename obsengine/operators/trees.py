@@ -1,7 +1,7 @@
 """Boosted trees that send gaps their own way: features in quantile bins, a level at a time from summed histograms.
 
 A level needs, for each open node, feature and bin, the sums of gradients and curvatures of the rows there. They add up
-over tasks, so rows stay where they are and what is gathered has the size nodes x features x bins. Gaps have a bin of
+over tasks, so rows stay where they are and what is gathered has the size tasks x nodes x features x bins. Gaps have a bin of
 their own, which each split sends to the side where it helps more. Few rows, as drawn labels are, are fitted in one task.
 """
 
@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import kept
+
+MOST_TASKS, ROWS_A_BLOCK = 64, 20_000
 GAP = 0  # the bin of missing values; values are in bins from 1
 LEAST_GAIN = 1e-9
 
@@ -126,9 +129,13 @@ def boost(sums_at: Callable[[Trees, list, int, int], np.ndarray], start: Trees,
 
 def fit_here(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: Trees, rounds: int, depth: int, rate: float, l2: float, least: float) -> Trees:
     """The trees of rows that are all at hand."""
-    bins = start.binned(x)
-    row, wide = np.arange(len(x)), max(map(len, start.cuts), default=0) + 2
-    raw, seen = np.full(len(x), start.base), 0
+    return fit_bins(start.binned(x), y, w, start, rounds, depth, rate, l2, least)
+
+
+def fit_bins(bins: np.ndarray, y: np.ndarray, w: np.ndarray, start: Trees, rounds: int, depth: int, rate: float, l2: float, least: float) -> Trees:
+    """The trees of binned rows that are all at hand."""
+    row, wide = np.arange(len(bins)), max(map(len, start.cuts), default=0) + 2
+    raw, seen = np.full(len(bins), start.base), 0
 
     def sums_at(so_far: Trees, own: list, level: int, nodes: int) -> np.ndarray:
         nonlocal raw, seen
@@ -144,7 +151,8 @@ def fit_trees(train: DataFrame, columns: Sequence[str], target: str, outcome: bo
     """Boosted trees on columns with gaps, a target of 0 and 1 (`outcome`) or a number; rows without a target take no part.
 
     Cuts are quantiles of the training rows. Outcomes start from even odds, numbers from their weighted mean. Up to
-    `at_hand` rows are fitted in one task of their own; beyond, histograms are summed over tasks, a job for each level.
+    `at_hand` rows are fitted in one place; beyond, rows of equal bins and target become one, and if more than `at_hand`
+    differ, histograms are summed over a few tasks of packed rows, a job without a shuffle for each level.
     """
     own = train.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], F.col(target).cast("double").alias("y"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w")).where("y IS NOT NULL AND w > 0")
     xs = [f"x{i}" for i in range(len(columns))]
@@ -159,28 +167,52 @@ def fit_trees(train: DataFrame, columns: Sequence[str], target: str, outcome: bo
     if told["n"] <= at_hand:
         rows = own.toPandas()  # a bounded number of labelled rows
         return fit_here(rows[xs].to_numpy(float), rows["y"].to_numpy(), rows["w"].to_numpy(), start, rounds, depth, rate, l2, least)
-    own = own.persist()
+    held = _equal_rows(own, xs, start)
+    n = held.count()
+    if n <= at_hand:
+        rows = held.toPandas()  # a bounded number of rows that differ
+        bins, y, w = np.frombuffer(b"".join(rows["bins"]), np.uint16).reshape(n, -1).astype(np.int32), rows["y"].to_numpy(), rows["w"].to_numpy()
+        return fit_bins(bins, y, w, start, rounds, depth, rate, l2, least)
+    tasks = max(1, min(own.sparkSession.sparkContext.defaultParallelism, MOST_TASKS, -(-n // ROWS_A_BLOCK)))
+    blocks = kept(held.repartition(tasks).mapInPandas(_packed, "bins binary, y binary, w binary"))
 
     def sums_at(so_far: Trees, splits: list, level: int, nodes: int) -> np.ndarray:
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((nodes, len(xs), wide, 2))
             for b in batches:
-                held = so_far.binned(b[xs].to_numpy(float))
-                node = leaf_of(held, np.arange(len(held)), *splits, level)
-                total += histogram(held, node, *gradients(so_far.raw(held) if len(so_far.value) else np.full(len(held), so_far.base), b["y"].to_numpy(), b["w"].to_numpy(), outcome), nodes, wide)
-            at = np.flatnonzero(total.any(axis=-1))
-            flat = total.reshape(-1, 2)[at]
-            yield pd.DataFrame({"at": at, "g": flat[:, 0], "h": flat[:, 1]})
-
-        got = own.mapInPandas(part, "at long, g double, h double").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
-        out = np.zeros((nodes * len(xs) * wide, 2))
-        out[got["at"].to_numpy()] = got[["g", "h"]].to_numpy()
-        return out.reshape(nodes, len(xs), wide, 2)
+                for bins, y, w in zip(b["bins"], b["y"], b["w"], strict=True):
+                    y, w = np.frombuffer(y), np.frombuffer(w)
+                    bins = np.frombuffer(bins, np.uint16).reshape(len(y), -1).astype(np.int32)
+                    node = leaf_of(bins, np.arange(len(y)), *splits, level)
+                    total += histogram(bins, node, *gradients(so_far.raw(bins), y, w, outcome), nodes, wide)
+            yield pd.DataFrame({"sums": [total.tobytes()]})
+
+        got = blocks.mapInPandas(part, "sums binary").collect()  # one row of each of few tasks
+        return sum(np.frombuffer(r["sums"]) for r in got).reshape(nodes, len(xs), wide, 2)
 
     try:
         return boost(sums_at, start, rounds, depth, rate, l2, least)
     finally:
-        own.unpersist()
+        blocks.unpersist()
+        held.unpersist()
+
+
+def _equal_rows(own: DataFrame, xs: Sequence[str], start: Trees) -> DataFrame:
+    """`(bins, y, w)`: rows of equal bins and target are one with their weights added up, as sums of gradients can't tell them apart."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bins = start.binned(b[xs].to_numpy(float)).astype(np.uint16)
+            yield pd.DataFrame({"bins": [row.tobytes() for row in bins], "y": b["y"], "w": b["w"]})
+
+    return own.mapInPandas(part, "bins binary, y double, w double").groupBy("bins", "y").agg(F.sum("w").alias("w")).persist()
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A batch of `(bins, y, w)` as one row."""
+    for b in batches:
+        if len(b):
+            yield pd.DataFrame({"bins": [b"".join(b["bins"])], "y": [b["y"].to_numpy(float).tobytes()], "w": [b["w"].to_numpy(float).tobytes()]})
 
 
 def score_trees(model: Trees, rows: DataFrame, to: str = "predicted", raw: bool = False) -> DataFrame:
@@ -205,7 +237,8 @@ def taught_trees(fitting: DataFrame, columns: Sequence[str], event: str = "event
     Every event weighs as much as every other, spread over its windows, and all together as much as the rest.
     """
     sizes = fitting.where(F.col(event).isNotNull()).groupBy(F.col(event).alias("_of")).agg(F.count(F.lit(1)).alias("_windows"))
-    events, rest = sizes.count(), fitting.where(F.col(event).isNull()).count()
+    told = fitting.agg(F.countDistinct(event).alias("events"), F.count_if(F.col(event).isNull()).alias("rest")).first()
+    events, rest = told["events"], told["rest"]
     if not events or not rest:
         raise ValueError("a detector taught events needs events and windows outside them")
     rows = fitting.join(sizes, F.col(event) == F.col("_of"), "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordering import kept
 from ..operators import draws_of_units, features, layouts, learners, trees
 from ..sources.tables import table
 from .layouts import ANSWERS, answers
@@ -67,6 +68,7 @@ def c4_fit_and_score(spark, sf_dir):
 def a12_taught_trees(spark, sf_dir):
     """Every user-day's log-odds of a taught event: the errors of a tenth of the units of even number, each unit's one event."""
     rows, columns = user_days(spark, sf_dir)
+    rows = kept(rows)  # read for the weights, the cuts, the bins and the scores
     taught = (F.col("unit").cast("long") % 20 == 0) & (F.col("target") == 1)
     model = trees.taught_trees(rows.where("side = 'training'").withColumn("event", F.when(taught, F.col("unit"))), columns)
     return trees.score_trees(model, rows, "score", raw=True).select("unit", "position", "target", "score")

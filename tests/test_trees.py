@@ -84,3 +84,14 @@ def test_long_events_weigh_as_much_as_short_ones(spark):
     assert told[1.0] == pytest.approx(told[2.0], abs=0.05) and told[0.0] < 0 < told[1.0]
     with pytest.raises(ValueError, match="outside"):
         trees.taught_trees(rows.where("event IS NOT NULL"), ["a"])
+
+
+def test_many_rows_that_hardly_differ_are_fitted_as_few(spark, monkeypatch):
+    x, y, w = _rows(60)
+    many = _table(spark, np.tile(x, (5, 1)), np.tile(y, 5), np.tile(w, 5))
+    here = trees.fit_trees(many, ["a", "b", "c"], "y", True, "w", rounds=3)
+    tried = []
+    own = trees.fit_bins
+    monkeypatch.setattr(trees, "fit_bins", lambda bins, *rest: tried.append(len(bins)) or own(bins, *rest))
+    few = trees.fit_trees(many, ["a", "b", "c"], "y", True, "w", rounds=3, at_hand=100)
+    assert tried and tried[0] <= 60 and (here.feature == few.feature).all() and few.value == pytest.approx(here.value)
