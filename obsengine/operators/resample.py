@@ -19,7 +19,8 @@ def paired_bootstrap(pairs: DataFrame, resamples: int, seed: int, level: float =
 
     Place i of draw d takes the unit numbered by the digest of (seed, d, i). The draws of a place are counted before
     they meet the units' errors, and draws are spread over tasks. With `strata`, the name of a column, each draw takes
-    as many units of each stratum as there are, by the digest of (seed, draw, stratum, i); null is no stratum.
+    as many units of each stratum as there are, by the digest of (seed, draw, stratum, i), and
+    each pick meets its unit by itself, so no task counts a stratum's picks; null is no stratum.
     """
     digest = lambda *c: F.sha2(F.concat_ws("|", F.lit(str(seed)), *[x.cast("string") for x in c]), 256)
     by = [] if strata is None else [strata]
@@ -28,9 +29,9 @@ def paired_bootstrap(pairs: DataFrame, resamples: int, seed: int, level: float =
     if strata is not None:
         known = units.where(F.col(strata).isNotNull())
         sizes = known.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
-        cells = known.select(strata, (F.col("place") - 1).alias("i")).join(sizes, strata).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
+        cells = known.select(strata, (F.col("place") - 1).alias("i")).join(F.broadcast(sizes), strata).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
         at = F.pmod(F.conv(F.substring(digest(F.col("draw"), F.col(strata), F.col("i")), 1, 15), 16, 10).cast("long"), F.col("n")) + 1
-        return _interval(pairs, cells.select("draw", strata, at.alias("place")).groupBy("draw", strata, "place").agg(F.count(F.lit(1)).alias("k")), units, ["place", strata], level)
+        return _interval(pairs, cells.select("draw", strata, at.alias("place"), F.lit(1).alias("k")), units, ["place", strata], level)
     n = pairs.count()
     draws = spark.range(resamples).withColumnRenamed("id", "draw").crossJoin(F.broadcast(spark.range(n).withColumnRenamed("id", "i")) if n <= 100_000 else spark.range(n).withColumnRenamed("id", "i"))
     at = F.pmod(F.conv(F.substring(digest(F.col("draw"), F.col("i")), 1, 15), 16, 10).cast("long"), F.lit(n)) + 1
