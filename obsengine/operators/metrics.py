@@ -111,10 +111,11 @@ def holm(tests: DataFrame, p: str = "p", family_size: int | None = None) -> Data
     `family_size` counts the whole family where only some of its tests were run, and can't be less than these.
     """
     w = Window.partitionBy(F.lit(0)).orderBy(p, "test")
+    back = Window.partitionBy(F.lit(0)).orderBy(F.desc(p), F.desc("test")).rowsBetween(Window.unboundedPreceding, 0)  # a frame up to the end is read anew for each row
     n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
     if family_size is not None:
         n = F.when(n > family_size, F.raise_error(F.lit(f"more tests than the family's {family_size}"))).otherwise(F.lit(family_size))
     rows = tests.withColumn("_k", F.row_number().over(w)).withColumn("_n", n)
     down = F.max(F.least(F.lit(1.0), F.col(p) * (F.col("_n") - F.col("_k") + 1))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    up = F.min(F.least(F.lit(1.0), F.col(p) * F.col("_n") / F.col("_k"))).over(w.rowsBetween(0, Window.unboundedFollowing))
+    up = F.min(F.least(F.lit(1.0), F.col(p) * F.col("_n") / F.col("_k"))).over(back)
     return rows.withColumn("holm", down).withColumn("benjamini_hochberg", up).drop("_k", "_n")
