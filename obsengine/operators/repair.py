@@ -62,6 +62,14 @@ def one_row_per_instant(df: DataFrame, key: Sequence[str] = ("unit", "channel",
     return df.groupBy(*key).agg(F.min("value").alias("value"), (F.min("value") != F.max("value")).alias("disagrees"), F.count(F.lit(1)).alias("rows"))
 
 
+def wide_one_row_per_instant(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """D7 of wide rows `(unit, time, *channels)`: `one_row_per_instant` of their finite values, grouped before a row is one for each channel."""
+    held = _finite(channels)
+    each = [F.when(F.count(v) > 0, F.struct(F.min(v).alias("value"), (F.min(v) != F.max(v)).alias("disagrees"), F.count(v).alias("rows"))).alias(f"_{c}") for c, v in zip(channels, held, strict=True)]
+    told = _long(wide.groupBy("unit", "time").agg(*each), ["unit", "time"], channels, ["value", "disagrees", "rows"])
+    return told.select("unit", "channel", "time", "value", "disagrees", "rows")
+
+
 def decimate(df: DataFrame, width: float) -> DataFrame:
     """The earliest reading of each bin at its own instant; of one instant the smallest value."""
     first = F.min(F.struct("time", "value")).alias("r")
@@ -86,9 +94,13 @@ def _long(wide: DataFrame, key: Sequence[str], channels: Sequence[str], told: Se
     return wide.select(*key, each).where("_r.told IS NOT NULL").select(*key, "_r.channel", *[F.col(f"_r.told.{c}").alias(c) for c in told])
 
 
+def _finite(channels: Sequence[str]) -> list[Column]:
+    return [F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c).cast("double")) for c in channels]
+
+
 def wide_hourly_means(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
     """D13 of wide rows `(unit, time, *channels)`: `hourly_means` of their finite values, grouped before a row is one for each channel."""
-    held = [F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c).cast("double")) for c in channels]
+    held = _finite(channels)
     each = [F.when(F.count(v) > 0, F.struct(F.avg(v).alias("mean"), F.count(v).alias("n"))).alias(f"_{c}") for c, v in zip(channels, held, strict=True)]
     told = wide.groupBy("unit", F.floor("time").alias("hour")).agg(*each)
     return _long(told, ["unit", "hour"], channels, ["mean", "n"]).select("unit", "channel", "hour", "mean", "n")
@@ -105,10 +117,22 @@ def fill_forward(dense: DataFrame, value: str = "mean") -> DataFrame:
     """The last value carried on; the gap before the first takes the first."""
     w = Window.partitionBy("unit", "channel").orderBy("hour")
     past = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    coming = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy("unit", "channel").orderBy(F.desc("hour"))  # a frame up to the end is read anew for each row
+    coming = F.last(value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     return dense.withColumn("filled", F.coalesce(past, coming))
 
 
+def filled_hours(hourly: DataFrame, value: str = "mean") -> DataFrame:
+    """D14 and D15 at once, `fill_forward(densify(hourly))` for values without gaps of their own: each hour read lays
+    itself out up to the next, so hours without a reading are made where they are filled and never joined or sorted."""
+    hourly = hourly.withColumn("hour", F.col("hour").cast("long"))
+    till = F.lead("hour").over(Window.partitionBy("unit", "channel").orderBy("hour"))
+    own = hourly.select("*", F.col(value).alias("filled"), F.coalesce(till - 1, F.col("hour")).alias("_till"))
+    laid = own.select("*", F.explode(F.sequence("hour", "_till")).alias("_at"))
+    read = lambda c: F.when(F.col("_at") == F.col("hour"), F.col(c)).alias(c)
+    return laid.select("unit", "channel", F.col("_at").alias("hour"), *[read(c) for c in hourly.columns if c not in ("unit", "channel", "hour")], "filled")
+
+
 def scorable(hourly: DataFrame, context: int = 47, least: int = 24) -> DataFrame:
     """Channel-hours that read in at least `least` of the `context` hours before."""
     w = Window.partitionBy("unit", "channel").orderBy("hour").rangeBetween(-context, -1)

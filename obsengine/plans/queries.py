@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, detect, draws, features, impute, metrics, normalise, repair, resample, windows
-from ..sources.tables import describe, event_readings, order_line_readings, table
+from ..sources.tables import LINE_CHANNELS, describe, event_readings, order_line_readings, order_line_values, table
 
 LENGTH, STRIDE, BINS, SEED = 24.0, 24.0, 6, 42
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -38,12 +38,17 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_readings(table(spark, sf_dir, "events"))
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`readings` dealt by their unit once: windows, tokens, cells, hours and histories are groups inside a unit, which Spark then finds in place."""
+    return readings(spark, sf_dir).repartition("unit")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_line_readings(table(spark, sf_dir, "lineitem"))
 
 
 def assigned(spark: SparkSession, sf_dir: str, length: float = LENGTH, stride: float = STRIDE) -> DataFrame:
-    obs = readings(spark, sf_dir)
+    obs = dealt(spark, sf_dir)
     return windows.assign_windows(obs, windows.units_of(obs), length, stride)
 
 
@@ -110,7 +115,7 @@ HOURLY = "hourly AS (SELECT unit, channel, CAST(floor(time) AS BIGINT) AS hour,
 
 
 def hourly(spark, sf_dir):
-    return repair.hourly_means(readings(spark, sf_dir))
+    return repair.hourly_means(dealt(spark, sf_dir))
 
 
 @query(f"WITH {OBS}, {HOURLY} SELECT unit, channel, hour, {r('mean', 'mean')}, n FROM hourly")
@@ -150,7 +155,7 @@ def d6_units_with_least(spark, sf_dir):
 
 @query(f"WITH {LINES} SELECT unit, channel, {r('time', 'time')}, {r('min(value)', 'value')}, min(value) <> max(value) AS disagrees, count(*) AS rows FROM obs GROUP BY unit, channel, time")
 def d7_one_row_per_instant(spark, sf_dir):
-    return repair.one_row_per_instant(lines(spark, sf_dir))
+    return repair.wide_one_row_per_instant(order_line_values(table(spark, sf_dir, "lineitem")), LINE_CHANNELS)
 
 
 @query(f"WITH {OBS}, k AS (SELECT *, CAST(floor(time / 6) AS BIGINT) AS bin, row_number() OVER (PARTITION BY unit, channel, floor(time / 6) ORDER BY time, value) AS nth FROM obs) SELECT unit, channel, bin, {r('time', 'time')}, {r('value', 'value')} FROM k WHERE nth = 1")
@@ -168,7 +173,8 @@ DENSE = f"{HOURLY}, span AS (SELECT unit, channel, min(hour) AS a, max(hour) AS
 
 @query(f"WITH {OBS}, {DENSE} SELECT unit, channel, hour, {r('mean', 'mean')}, n, {r('last_value(mean IGNORE NULLS) OVER (PARTITION BY unit, channel ORDER BY hour)', 'filled')} FROM dense")
 def d15_densify_fill_forward(spark, sf_dir):
-    return repair.fill_forward(repair.densify(hourly(spark, sf_dir)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number that holds: what is dealt is small beside the hours laid out
+    return repair.filled_hours(repair.hourly_means(readings(spark, sf_dir).repartition(parts, "unit")))
 
 
 SUPPLIERS = "u AS (SELECT CAST(s_suppkey AS VARCHAR) AS unit FROM supplier)"
