@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordering import kept
 from ..operators import context, convolution, covariance, features, forecasts, impute, layouts, learners, nearest, repair, windows
 from ..sources.tables import table
 from .groups import vectors
@@ -57,12 +58,12 @@ STEPS = 12
 
 
 def series(spark, sf_dir):
-    return convolution.window_series(windows.regular_grid(tokens(spark, sf_dir), STEPS), CHANNELS, STEPS)
+    return convolution.token_series(tokens(spark, sf_dir), CHANNELS, STEPS)
 
 
 @query()
 def f6_convolution_features(spark, sf_dir):
-    rows = series(spark, sf_dir)
+    rows = kept(series(spark, sf_dir))
     told = convolution.convolution_features(rows, rows.where("position % 2 = 0"), len(CHANNELS), STEPS, 84, SEED)
     return told.select("unit", "position", F.posexplode("features").alias("feature", "share"))
 
@@ -70,12 +71,12 @@ def f6_convolution_features(spark, sf_dir):
 @query()
 def c2_convolution_ridge(spark, sf_dir):
     """The readings of the next user-day by a ridge on convolutions of this one, fitted on units of even number."""
-    rows = series(spark, sf_dir)
     even = F.col("unit").cast("long") % 2 == 0
-    told = convolution.convolution_features(rows, rows.where(even), len(CHANNELS), STEPS, 84, SEED)
     n = tokens(spark, sf_dir).groupBy("unit", (F.col("position") - 1).alias("position")).agg(F.count(F.lit(1)).alias("target"))
-    labelled = told.join(n, ["unit", "position"], "left").fillna(0, ["target"]).withColumn("fold", (F.col("position") % 2).cast("int"))
-    out = convolution.convolution_ridge(labelled.where(even), labelled.where(~even), "target", False, [0.1, 1.0, 10.0])
+    rows = series(spark, sf_dir).join(n, ["unit", "position"], "left").fillna(0, ["target"])
+    rows = kept(rows.withColumn("fold", (F.col("position") % 2).cast("int")))  # twelve steps a channel; features are computed where they are read
+    told = convolution.convolution_features(rows, rows.where(even), len(CHANNELS), STEPS, 84, SEED)
+    out = convolution.convolution_ridge(told.where(even), told.where(~even), "target", False, [0.1, 1.0, 10.0])
     return out.select("unit", "position", "target", "predicted")
 
 

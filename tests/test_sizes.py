@@ -1,10 +1,13 @@
 """What queries shuffle: plans that grow with the readings and not with their pairs or copies."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from obsengine.operators import layouts, repair
+from obsengine.operators import convolution, layouts, metrics, repair, resample, windows
+from obsengine.sources.tables import to_long
 
 
 def plan_of(df) -> str:
@@ -37,3 +40,50 @@ def test_autocorrelations_deal_the_readings_once(spark):
     for p in layouts.unit_autocorrelations(hourly(spark), 1, 3).collect():
         assert told.pop((p["channel"], p["unit"])) == pytest.approx((p["level"], p["change"]))
     assert not told
+
+
+def readings(spark):
+    r = np.random.default_rng(5)
+    rows = [(f"u{u}", c, float(t), float(r.integers(4))) for u in range(5) for c in "xyz" for t in r.uniform(0, 90, 12)]
+    return spark.createDataFrame([*rows, ("u1", "x", 7.5, 2.0), ("u1", "x", 7.5, 3.0)], "unit string, channel string, time double, value double")
+
+
+def test_hours_are_filled_as_densified_ones_are_without_a_join(spark):
+    own = repair.hourly_means(readings(spark).repartition("unit"))
+    want = repair.fill_forward(repair.densify(own))
+    got = repair.filled_hours(own).select(want.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert plan_of(got).count("Exchange") == 1 and "Join" not in plan_of(got)
+
+
+def test_series_of_tokens_are_those_of_their_grid_and_dealt_once(spark):
+    dealt = readings(spark).repartition("unit")
+    tokens = windows.tokenise(windows.assign_windows(dealt, windows.units_of(dealt), 24.0, 24.0), 24.0)
+    want = convolution.window_series(windows.regular_grid(tokens, 12), ["x", "z", "w"], 12)
+    got = convolution.token_series(tokens, ["x", "z", "w"], 12)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.count() > 10
+    assert plan_of(got).count("Exchange") < plan_of(want).count("Exchange")
+    told = convolution.convolution_features(got.withColumn("target", F.lit(1)), got, 3, 12, 84, 1)
+    assert told.columns == ["unit", "position", "target", "features"]
+
+
+def test_instants_of_wide_rows_are_those_of_long_ones(spark):
+    wide = spark.createDataFrame([("a", 1.0, 2.0, None), ("a", 1.0, 3.0, float("nan")), ("a", 2.0, None, 5.0), ("b", 1.0, 4.0, 4.0), ("b", 1.0, 4.0, 4.0), ("c", 1.0, None, float("inf"))], "unit string, time double, x double, y double")
+    got = repair.wide_one_row_per_instant(wide, ["x", "y"])
+    want = repair.one_row_per_instant(to_long(wide, ["unit", "time"], ["x", "y"])).select(got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.count() == 4
+    assert plan_of(got).index("Generate") < plan_of(got).index("Exchange")  # rows are shuffled before they are one for each channel
+
+
+def test_holm_and_fills_read_no_frame_up_to_the_end(spark):
+    tests = spark.createDataFrame([(f"t{i}", float(p)) for i, p in enumerate([0.04, 0.01, 0.04, 0.6, 0.002])], "test string, p double")
+    told = metrics.holm(tests)
+    assert "currentrow$(), unboundedfollowing" not in plan_of(told).lower()
+    assert {r["test"]: round(r["benjamini_hochberg"], 6) for r in told.collect()} == {"t4": 0.01, "t1": 0.025, "t0": 0.05, "t2": 0.05, "t3": 0.6}
+    assert "currentrow$(), unboundedfollowing" not in plan_of(repair.fill_forward(hourly(spark))).lower()
+
+
+def test_strata_are_joined_by_their_sizes_where_units_lie(spark):
+    pairs = spark.createDataFrame([(f"u{i}", float(i), 2, float(i % 3), 2, str(i % 2)) for i in range(40)], "unit string, se_a double, n_a long, se_b double, n_b long, stratum string")
+    plan = plan_of(resample.paired_bootstrap(pairs, 20, 1, strata="stratum"))
+    assert "keys=[draw#" in plan and not re.search(r"HashAggregate\(keys=\[draw#\d+L?, stratum#\d+, place#", plan)
