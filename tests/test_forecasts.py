@@ -67,6 +67,22 @@ def test_nearest_equals_brute_force_in_any_blocks(spark):
     assert nearest.nearest(rows, rows.limit(0), 3).count() == 0
 
 
+def test_nearest_sorts_candidates_alone_and_measures_ties_and_lengths_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 3))
+    x[600:650], x[650:] = x[7], 1e4 * x[650:]  # copies, and vectors beside which single precision tells nothing
+    ids, sizes, plain = np.arange(700), [], np.lexsort
+    monkeypatch.setattr(nearest.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or plain(keys))
+    nearest._closest(ids[:600], x[:600], ids[:600:2], x[:600:2], 4)
+    assert sum(sizes) < 600 * 300 // 10  # not every pair is sorted
+    row, other, distance = nearest._closest(ids, x, ids[::2], x[::2], 4)
+    for i in range(700):
+        near = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), j) for j in range(0, 700, 2) if j != i)[:4]
+        assert list(zip(distance[row == i].tolist(), (2 * other[row == i]).tolist(), strict=True)) == near
+    odd = spark.createDataFrame([(1, [0.0, float("nan")]), (2, [1.0, 1.0]), (3, [float("inf"), 0.0]), (4, [1.0, 2.0]), (5, None)], "id int, v array<double>")
+    assert [(r["id"], r["other"], r["distance"]) for r in nearest.nearest(odd, odd, 3).sort("id").collect()] == [(2, 4, 1.0), (4, 2, 1.0)]
+
+
 def test_taught_direction_equals_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(150, 3)) @ rng.normal(size=(3, 3))
