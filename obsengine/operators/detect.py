@@ -27,20 +27,37 @@ def departure_floor(summaries: DataFrame) -> DataFrame:
     return mad.join(rest, "kind", "left").select("channel", "kind", F.when(F.col("floor") > 0, F.col("floor")).otherwise(F.coalesce("rest", F.lit(1.0))).alias("floor"))
 
 
+def histories(summaries: DataFrame, span: int = 6) -> DataFrame:
+    """`summaries` with, of each value, the median and its absolute deviations' median (`mid_*`, `mad_*`) over the unit's
+    `span - 1` windows before, null where under half of them read. Floors don't touch it, so several can share it.
+
+    A window and channel stays one row: five arrays of at most `span - 1` numbers each, in one pass by unit and channel.
+    """
+    w = Window.partitionBy("unit", "channel").orderBy("position").rangeBetween(-(span - 1), -1)
+    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
+    rows = summaries.select("unit", "position", "channel", *VALUES, *[F.collect_list(k).over(w).alias(f"_h_{k}") for k in VALUES])
+    rows = rows.withColumns({f"_h_{k}": F.when(2 * F.size(f"_h_{k}") >= span - 1, F.sort_array(f"_h_{k}")) for k in VALUES})
+    rows = rows.withColumns({f"mid_{k}": middle(F.col(f"_h_{k}")) for k in VALUES})
+    off = lambda k: F.sort_array(F.transform(f"_h_{k}", lambda v: F.abs(v - F.col(f"mid_{k}"))))
+    rows = rows.withColumns({f"_off_{k}": off(k) for k in VALUES})
+    return rows.select("unit", "position", "channel", *VALUES, *[f"mid_{k}" for k in VALUES], *[middle(F.col(f"_off_{k}")).alias(f"mad_{k}") for k in VALUES])
+
+
+def departures_of(told: DataFrame, floor: DataFrame) -> DataFrame:
+    """A3 of `histories` over max(1.4826 MAD, floor); channels without a floor take no part."""
+    floors = floor.groupBy("channel").agg(*[F.max(F.when(F.col("kind") == k, F.col("floor"))).alias(f"floor_{k}") for k in VALUES])
+    of = lambda k: F.when(F.col(f"mid_{k}").isNotNull(), F.abs(F.col(k) - F.col(f"mid_{k}")) / F.greatest(1.4826 * F.col(f"mad_{k}"), F.col(f"floor_{k}"))).otherwise(0.0)
+    largest = F.greatest(*[F.when(F.col(f"floor_{k}").isNotNull(), of(k)) for k in VALUES])
+    return told.join(F.broadcast(floors), "channel").select("unit", "position", "channel", largest.alias("departure"))  # a row a channel
+
+
 def channel_departures(summaries: DataFrame, floor: DataFrame, span: int = 6) -> DataFrame:
     """A3: how far each channel of a window lies from the median of its windows before, over max(1.4826 MAD, floor).
 
     The history is the unit's `span - 1` windows before; where under half of it reads, the departure is 0. The
-    largest over the five values counts. Histories are arrays of at most `span - 1` numbers.
+    largest over the five values counts.
     """
-    long = summaries.unpivot(["unit", "position", "channel"], list(VALUES), "kind", "x")
-    w = Window.partitionBy("unit", "channel", "kind").orderBy("position").rangeBetween(-(span - 1), -1)
-    rows = long.withColumn("h", F.sort_array(F.collect_list("x").over(w)))
-    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
-    rows = rows.withColumn("mid", middle(F.col("h"))).withColumn("off", F.sort_array(F.transform("h", lambda v: F.abs(v - F.col("mid")))))
-    scale = F.greatest(1.4826 * middle(F.col("off")), F.col("floor"))
-    departure = F.when(2 * F.size("h") >= span - 1, F.abs(F.col("x") - F.col("mid")) / scale).otherwise(0.0)
-    return rows.join(floor, ["channel", "kind"]).groupBy("unit", "position", "channel").agg(F.max(departure).alias("departure"))
+    return departures_of(histories(summaries, span), floor)
 
 
 def bin_summaries(tokens: DataFrame, bins: int) -> DataFrame:
@@ -87,9 +104,15 @@ def spread_of(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def against_own_unit(scores: DataFrame, fallback: DataFrame) -> DataFrame:
-    """`scores` with `read`: the score less its unit's median over the unit's spread, or `fallback`'s where it has none."""
-    own = scores.join(spread_of(scores, "score", ["unit"]), "unit").crossJoin(F.broadcast(fallback))
-    return own.withColumn("read", (F.col("score") - F.col("centre")) / F.when(F.col("spread") > 0, F.col("spread")).otherwise(F.col("fallback"))).drop("centre", "spread", "fallback")
+    """`scores` with `read`: the score less its unit's median over the unit's spread, or `fallback`'s where it has none.
+
+    A unit's scores meet where they lie, as its history did; a unit without a score has no row.
+    """
+    w = Window.partitionBy("unit")
+    own = scores.where("unit IS NOT NULL").withColumn("centre", F.median("score").over(w)).where("centre IS NOT NULL")
+    own = own.withColumn("_mad", 1.4826 * F.median(F.abs(F.col("score") - F.col("centre"))).over(w)).crossJoin(F.broadcast(fallback))
+    spread = F.when(F.col("_mad") > 1e-9 * (1 + F.abs("centre")), F.col("_mad"))
+    return own.withColumn("read", (F.col("score") - F.col("centre")) / F.coalesce(spread, F.col("fallback"))).drop("centre", "_mad", "fallback")
 
 
 def score_alarm(scores: DataFrame, contamination: float, fitting: DataFrame | None = None, per_unit: bool = False) -> DataFrame:
@@ -99,6 +122,7 @@ def score_alarm(scores: DataFrame, contamination: float, fitting: DataFrame | No
     that of all fitting scores, else 1.
     """
     value = "score"
+    scores = kept(scores)  # they end a long chain and are read several times
     if per_unit:
         of = spread_of(scores if fitting is None else fitting, "score", [])
         fallback = of.select(F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0).alias("fallback"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import kept
 from ..operators import audit, detect, draws, features, impute, metrics, normalise, repair, resample, windows
 from ..sources.tables import LINE_CHANNELS, describe, event_readings, order_line_readings, order_line_values, table
 
@@ -364,7 +365,7 @@ DEPART = f"{SUMS}, {FLOOR}, h AS (SELECT a.unit, a.position, a.channel, a.kind,
 
 
 def departures(spark, sf_dir):
-    summaries = detect.window_summaries(tokens(spark, sf_dir))
+    summaries = kept(detect.window_summaries(tokens(spark, sf_dir)))  # read for the floor and for the histories
     return detect.channel_departures(summaries, detect.departure_floor(summaries))
 
 

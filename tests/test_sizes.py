@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from obsengine.operators import convolution, layouts, metrics, repair, resample, windows
+from obsengine.operators import convolution, detect, layouts, metrics, repair, resample, windows
 from obsengine.sources.tables import to_long
 
 
@@ -87,3 +87,33 @@ def test_strata_are_joined_by_their_sizes_where_units_lie(spark):
     pairs = spark.createDataFrame([(f"u{i}", float(i), 2, float(i % 3), 2, str(i % 2)) for i in range(40)], "unit string, se_a double, n_a long, se_b double, n_b long, stratum string")
     plan = plan_of(resample.paired_bootstrap(pairs, 20, 1, strata="stratum"))
     assert "keys=[draw#" in plan and not re.search(r"HashAggregate\(keys=\[draw#\d+L?, stratum#\d+, place#", plan)
+
+
+def test_departures_shuffle_a_window_once_and_equal_their_definition(spark):
+    r = np.random.default_rng(3)
+    rows = [(f"u{u}", p, c, *map(float, r.normal(size=4).round(2)), float(r.integers(3))) for u in range(4) for c in "xyz" for p in range(14) if r.random() < 0.7]
+    schema = "unit string, position int, channel string, " + ", ".join(f"{k} double" for k in detect.VALUES)
+    summaries = spark.createDataFrame(rows, schema)
+    floor = spark.createDataFrame([(c, k, 0.4) for c in "xy" for k in detect.VALUES], "channel string, kind string, floor double")
+    told = detect.channel_departures(summaries, floor)
+    plan = plan_of(told)
+    assert "Expand" not in plan and len(re.findall(r"Exchange hashpartitioning\(unit", plan)) == 1
+    got = {(d["unit"], d["position"], d["channel"]): d["departure"] for d in told.collect()}
+    for u, p, c, *x in rows:
+        if c == "z":
+            continue
+        past = np.array([y[3:] for y in rows if y[0] == u and y[2] == c and p - 5 <= y[1] < p])
+        want = 0.0
+        if 2 * len(past) >= 5:
+            mid = np.median(past, axis=0)
+            want = (np.abs(np.array(x) - mid) / np.maximum(1.4826 * np.median(np.abs(past - mid), axis=0), 0.4)).max()
+        assert got.pop((u, p, c)) == pytest.approx(want)
+    assert not got
+
+
+def test_scores_are_read_against_their_unit_where_they_lie(spark):
+    scores = spark.createDataFrame([("a", float(x)) for x in (1, 2, 4, 9)] + [("b", 3.0), ("b", 3.0), ("c", None), (None, 1.0)], "unit string, score double")
+    told = detect.against_own_unit(scores, spark.createDataFrame([(2.0,)], "fallback double"))
+    assert plan_of(told).count("Exchange hashpartitioning") == 1
+    got = sorted((r["unit"], r["score"], round(r["read"], 6)) for r in told.collect())
+    assert got == [("a", x, round((x - 3) / (1.4826 * 1.5), 6)) for x in (1.0, 2.0, 4.0, 9.0)] + [("b", 3.0, 0.0)] * 2
