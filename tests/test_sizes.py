@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from obsengine.operators import convolution, detect, layouts, metrics, repair, resample, windows
+from obsengine.operators import convolution, detect, layouts, metrics, rankings, repair, resample, windows
 from obsengine.sources.tables import to_long
 
 
@@ -117,3 +117,37 @@ def test_scores_are_read_against_their_unit_where_they_lie(spark):
     assert plan_of(told).count("Exchange hashpartitioning") == 1
     got = sorted((r["unit"], r["score"], round(r["read"], 6)) for r in told.collect())
     assert got == [("a", x, round((x - 3) / (1.4826 * 1.5), 6)) for x in (1.0, 2.0, 4.0, 9.0)] + [("b", 3.0, 0.0)] * 2
+
+
+@pytest.mark.parametrize("measure", ["auroc", "pr_auc", "recall"])
+def test_areas_of_many_draws_carry_a_row_a_score(spark, monkeypatch, measure):
+    r = np.random.default_rng(6)
+    rows = [(f"u{u}", int(r.integers(1, 4)) if r.random() < 0.3 else 0, a, float(round(r.normal(), 1) if a == "x" else r.integers(2))) for u in range(12) for a in "xy" for _ in range(20)]
+    draws = [(d, f"u{u}", int(r.integers(1, 4))) for d in range(-1, 20) for u in range(12) if d < 0 or r.random() < 0.6]
+    seen, plain = [], rankings.kept
+    monkeypatch.setattr(rankings, "kept", lambda df: (lambda k: seen.append((k.columns, k.count())) or k)(plain(df)))
+    got = rankings.areas(spark.createDataFrame(rows, "unit string, event int, arm string, score double"), spark.createDataFrame(draws, "draw int, unit string, k long"), measure, 0.3)
+    got = {(x["draw"], x["arm"]): x["area"] for x in got.collect()}
+    carried = [n for columns, n in seen if "hs" in columns]
+    assert carried and max(carried) <= len(rows)  # not a row for each draw
+    for d in range(-1, 20):
+        k = {u: n for e, u, n in draws if e == d}
+        for a in "xy":
+            own = [(s, e, k[u], u) for u, e, b, s in rows if b == a and u in k]
+            size = {e: sum(b == a and f == e for _, f, b, _ in rows) for e in (1, 2, 3)}
+            h = [(s, n / size[e] if measure == "pr_auc" else n) for s, e, n, _ in own if e]
+            m = [(s, n) for s, e, n, _ in own if not e]
+            above = lambda x, s: sum(n for t, n in x if t >= s)
+            if measure == "auroc":
+                want = sum(n * o * ((s > t) + (s == t) / 2) for s, n in h for t, o in m) / (sum(n for _, n in h) * sum(n for _, n in m))
+            elif measure == "pr_auc":
+                want = sum(n * above(h, s) / (above(h, s) + above(m, s)) for s, n in h) / sum(n for _, n in h)
+            else:
+                line = min((s for s, *_ in own if above(m, s) <= 0.3 * sum(n for _, n in m)), default=np.inf)
+                best = {}
+                for s, e, n, u in own:
+                    if e:
+                        best[u, e] = (max(s, best.get((u, e), (s,))[0]), n)
+                want = sum(n for s, n in best.values() if s >= line) / sum(n for _, n in best.values())
+            assert got.pop((d, a)) == pytest.approx(want)
+    assert not got
