@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from obsengine.operators import convolution, detect, layouts, metrics, rankings, repair, resample, windows
+from obsengine.operators import convolution, detect, draws_of_units, layouts, metrics, rankings, repair, resample, windows
 from obsengine.sources.tables import to_long
 
 
@@ -151,3 +151,11 @@ def test_areas_of_many_draws_carry_a_row_a_score(spark, monkeypatch, measure):
                 want = sum(n for s, n in best.values() if s >= line) / sum(n for _, n in best.values())
             assert got.pop((d, a)) == pytest.approx(want)
     assert not got
+
+
+def test_picks_of_units_are_dealt_by_place_once_and_sent_to_no_driver(spark):
+    rows = spark.createDataFrame([(f"u{u}", float(u)) for u in range(30)], "unit string, x double")
+    told = draws_of_units.drawn(rows, "unit", 5, 1)
+    assert "SortMergeJoin [place" in plan_of(told) and plan_of(told).count("Exchange hashpartitioning(draw") == 0
+    got = told.groupBy("draw").agg(F.sum("k").alias("k"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(got) == 5 and all(r["k"] == 30 and r["n"] < 30 for r in got)
