@@ -108,6 +108,8 @@ def fit_on_first_days(summaries: DataFrame, windows: DataFrame, days: Sequence[i
 
     `windows` `(unit, position, win_start, win_end)`. Channels that the fitting windows lack take no part.
     """
+    summaries = kept(summaries)
+    told_ = kept(detect.histories(summaries, span))  # the floors alone differ
     first = windows.agg(F.min("win_start").alias("_first"))
     ends = windows.select("unit", "position", "win_end").crossJoin(F.broadcast(first))
     out = None
@@ -115,7 +117,7 @@ def fit_on_first_days(summaries: DataFrame, windows: DataFrame, days: Sequence[i
         early = ends if n is None else ends.where(F.col("win_end") <= F.col("_first") + n * 24.0)
         early = early.select("unit", "position")
         floor = detect.departure_floor(summaries.join(early, ["unit", "position"], "left_semi"))
-        scores = kept(detect.window_score(detect.channel_departures(summaries, floor, span)))
+        scores = kept(detect.window_score(detect.departures_of(told_, floor)))
         told = detect.score_alarm(scores, contamination, scores.join(early, ["unit", "position"], "left_semi"))
         rows = told.select(F.lit(n).cast("int").alias("days"), "unit", "position", "score", "alarm")
         out = rows if out is None else out.unionByName(rows)

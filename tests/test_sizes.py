@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from obsengine.operators import convolution, detect, draws_of_units, layouts, metrics, rankings, repair, resample, windows
+from obsengine.operators import convolution, detect, draws_of_units, finding, layouts, metrics, rankings, repair, resample, windows
 from obsengine.sources.tables import to_long
 
 
@@ -159,3 +159,17 @@ def test_picks_of_units_are_dealt_by_place_once_and_sent_to_no_driver(spark):
     assert "SortMergeJoin [place" in plan_of(told) and plan_of(told).count("Exchange hashpartitioning(draw") == 0
     got = told.groupBy("draw").agg(F.sum("k").alias("k"), F.count(F.lit(1)).alias("n")).collect()
     assert len(got) == 5 and all(r["k"] == 30 and r["n"] < 30 for r in got)
+
+
+def test_first_days_share_their_histories(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(f"u{u}", p, "x", *map(float, r.normal(size=5))) for u in range(6) for p in range(20)]
+    summaries = spark.createDataFrame(rows, "unit string, position int, channel string, " + ", ".join(f"{k} double" for k in detect.VALUES))
+    ends = spark.createDataFrame([(f"u{u}", p, 24.0 * p, 24.0 * p + 24) for u in range(6) for p in range(20)], "unit string, position int, win_start double, win_end double")
+    calls, plain = [], detect.histories
+    monkeypatch.setattr(detect, "histories", lambda *x: calls.append(1) or plain(*x))
+    told = finding.fit_on_first_days(summaries, ends, [8, None], 0.1)
+    assert len(calls) == 1 and told.count() == 240
+    want = detect.score_alarm(detect.window_score(detect.channel_departures(summaries, detect.departure_floor(summaries))), 0.1)
+    got = told.where("days IS NULL").select("unit", "position", "score", "alarm")
+    assert got.exceptAll(want.select("unit", "position", "score", "alarm")).count() == 0
