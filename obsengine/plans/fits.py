@@ -40,14 +40,15 @@ PENALTIES = [10.0**k for k in range(-3, 4)]
 @query()
 def i9_cell_values(spark, sf_dir):
     """The five values of hidden cells by ridges on the line and nearest visible cell, the other channels and the bin; folds by the unit's number."""
-    cells = windows.cells(tokens(spark, sf_dir), BINS)
-    masked = impute.hidden_cells(cells, 0.25, SEED)
+    cells = kept(windows.cells(tokens(spark, sf_dir), BINS))  # read for the masks, the values and the other channels
+    masked = kept(impute.hidden_cells(cells, 0.25, SEED))
     line = impute.interpolate_hidden(masked).select("unit", "position", "channel", "bin", "line", "nearest")
     rows, x = forecasts.own_and_cross_rows(masked, CHANNELS)
     key = ["unit", "position", "channel", "bin"]
     values = cells.where("presence = 1").select(*key, *[F.col(c).alias(f"of_{c}") for c in forecasts.FIVE])
     marks = {f"b{i}": (F.col("bin") == i).cast("double") for i in range(1, BINS)}
     rows = rows.join(line, key).join(values, key).withColumns({**marks, "fold": (F.col("unit").cast("long") % 2).cast("int")}).dropna(subset=["line"])
+    rows = kept(rows)  # fitted, then answered
     x, ys = ["line", "nearest", *x, *marks], [f"of_{c}" for c in forecasts.FIVE]
     fits = ridges.target_ridges(rows, ["channel"], x, ys, PENALTIES)
     return ridges.target_answers(rows, fits, ["channel"], x, ys, rows).select(*key, *[f"predicted_{y}" for y in ys])

@@ -173,3 +173,12 @@ def test_first_days_share_their_histories(spark, monkeypatch):
     want = detect.score_alarm(detect.window_score(detect.channel_departures(summaries, detect.departure_floor(summaries))), 0.1)
     got = told.where("days IS NULL").select("unit", "position", "score", "alarm")
     assert got.exceptAll(want.select("unit", "position", "score", "alarm")).count() == 0
+
+
+def test_cells_and_rows_of_cell_values_are_computed_once(spark, monkeypatch):
+    from obsengine.plans import fits
+
+    seen, plain = [], fits.kept
+    monkeypatch.setattr(fits, "kept", lambda df: seen.append(df.columns) or plain(df))
+    fits.i9_cell_values(spark, "/root/testdata/sf0.001")
+    assert [("presence" in c, "hidden" in c, "fold" in c) for c in seen][0] == (True, False, False) and len(seen) == 3 and "fold" in seen[-1]
