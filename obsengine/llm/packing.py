@@ -12,7 +12,9 @@ the plan has at most about `3 * capacity * log2(capacity)` runs. Rows find their
 from __future__ import annotations
 
 import bisect
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,18 +30,11 @@ from .common import durable
 
 CACHED = 500_000
 SPLITS_ONLY_IN_PYTHON = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: ASCII signs that form one pre-token however many stand together; an apostrophe may begin another.
-SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_kept: dict[str, tuple[object, object, dict[str, bytes]]] = {}
-
-
-def _tokenizer(path: str) -> tuple[object, object, dict[str, bytes]]:
-    if path not in _kept:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        _kept[path] = tokenizer, tokenizer.model, {}
-    return _kept[path]
+_LATIN = [chr(c) for c in range(256)]
+_LETTERS, _NUMBERS, _SIGNS = ("".join(c for c in _LATIN if unicodedata.category(c)[0] in kinds and not c.isspace()) for kinds in ("L", "N", "CMPSZ"))
+#: The tokenizer's pre-tokens in a lower-case text of Latin-1: letters, an apostrophe's ending, any other signs together, one number.
+PRE_TOKENS = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{re.escape(_SIGNS)}]+|[{_NUMBERS}]")
+IS_SIGN = np.array([c in _SIGNS for c in _LATIN])
 
 
 def _byte_signs() -> dict[int, int]:
@@ -56,42 +51,90 @@ def _raw(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class Encoded(dict):
+    """The ids of what lies between white space, and of pre-tokens; what is new in Latin-1 goes to the tokenizer's model alone."""
+
+    def __init__(self, model: object) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        parts = [word] if word.isalpha() else PRE_TOKENS.findall(word)
+        if len(parts) > 1:
+            raw = b"".join([self[p] for p in parts])
+        else:
+            signs = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
+            raw = _raw([t.id for t in self.model.tokenize(signs)])
+        self[word] = raw
+        return raw
+
+    def shrink(self) -> None:
+        """Leave those that were met first, among which the frequent ones are."""
+        for word in list(self)[CACHED // 4 :]:
+            del self[word]
+
+
+_kept: dict[str, tuple[object, Encoded]] = {}
+
+
+def _tokenizer(path: str) -> tuple[object, Encoded]:
+    if path not in _kept:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        _kept[path] = tokenizer, Encoded(tokenizer.model)
+    return _kept[path]
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _cut(texts: list[str]) -> list[list[str]]:
+    """Texts of Latin-1 in lower case, cut at white space and before signs, where a pre-token begins in any case."""
+    code = np.frombuffer("\x1c".join(texts).lower().encode("latin-1"), np.uint8)
+    sign = IS_SIGN[code]
+    code = np.insert(code, np.flatnonzero(sign[1:] & ~sign[:-1]) + 1, ord(" "))
+    return [t.split() for t in code.tobytes().decode("latin-1").split("\x1c")]
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each whole text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer cuts at white space first, so what lies between is encoded once and kept. Letters of Latin-1 with
-    signs after them are two pre-tokens, which go to the tokenizer's model alone; other strings go through all of it.
-    A text with a special token's string or a separator that only Python takes for white space is encoded as it is.
+    Texts of Latin-1 are cut at white space and before signs, so signs after a word make no new entry of what is kept.
+    Others are cut at white space, as the tokenizer does first; their words beyond Latin-1 go through all of it, once
+    each. A text with a special token's string or a separator that only Python takes for white space is encoded as it is.
     """
-    tokenizer, model, kept = _tokenizer(path)
+    tokenizer, kept = _tokenizer(path)
     apart = (*SPLITS_ONLY_IN_PYTHON, *(t.content for t in tokenizer.get_added_tokens_decoder().values()))
-    odd = [any(s in t for s in apart) for t in texts]
-    words = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
     if len(kept) > CACHED:
-        kept.clear()
-
-    def alone(pre_token: str) -> bytes:
-        raw = kept.get(pre_token)
-        if raw is None:
-            signs = pre_token if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(BYTE_SIGNS)
-            raw = kept[pre_token] = _raw([t.id for t in model.tokenize(signs)])
-        return raw
-
-    rest = []
-    for w in set().union(*words) - kept.keys():
-        stem = w.rstrip(SIGNS)
-        if stem.isalpha() and max(stem) < "\u0100":
-            kept[w] = alone(stem.lower()) + alone(w[len(stem) :]) if len(stem) < len(w) else alone(stem.lower())
-        else:
-            rest.append(w)
-    if rest:
-        e = tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
-        of = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-        raw = np.array(e.ids, "<u4").tobytes()
-        cut = np.searchsorted(of, np.arange(len(rest) + 1)).tolist()
-        kept.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(rest, cut, cut[1:], strict=False))
+        kept.shrink()
     get = kept.__getitem__
-    return [_raw(tokenizer.encode(t, add_special_tokens=False).ids) if o else b"".join(map(get, w)) for t, w, o in zip(texts, words, odd, strict=True)]
+    out: list[bytes | None] = [_raw(tokenizer.encode(t, add_special_tokens=False).ids) if any(s in t for s in apart) else None for t in texts]
+    left = [i for i, raw in enumerate(out) if raw is None]
+    plain = [i for i in left if _latin(texts[i])]
+    for i, words in zip(plain, _cut([texts[i] for i in plain]), strict=False):
+        out[i] = b"".join(map(get, words))
+    cut = {i: texts[i].split() for i in left if out[i] is None}
+    if cut:
+        new = list(set().union(*cut.values()) - kept.keys())
+        plain = [w for w in new if _latin(w)]
+        for w, words in zip(plain, _cut(plain), strict=False):
+            kept[w] = b"".join(map(get, words))
+        rest = [w for w in new if w not in kept]
+        if rest:
+            e = tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
+            of = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
+            raw = np.array(e.ids, "<u4").tobytes()
+            at = np.searchsorted(of, np.arange(len(rest) + 1)).tolist()
+            kept.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(rest, at, at[1:], strict=False))
+        for i, words in cut.items():
+            out[i] = b"".join(map(get, words))
+    return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

@@ -103,3 +103,25 @@ def test_lengths_out_of_range_are_refused(spark):
     for length in (0, 11, None):
         with pytest.raises(ValueError, match="outside"):
             packing.pack(spark.createDataFrame([(1, 0, length)], "doc_id long, piece int, length long"), 10)
+
+
+def test_signs_beside_words_make_no_new_entry_and_all_of_latin_1_is_cut_as_the_tokenizer_does():
+    tokenizer, kept = packing._tokenizer(PATH)
+    kept.clear()
+    packing.encode(["zorbig zorbig, zorbig) ZORBIG! zorbig..."], PATH)
+    assert [w for w in kept if "zorbig" in w] == ["zorbig"]
+    signs = [chr(c) for c in range(256)]
+    rng = random.Random(3)
+    texts = ["", *("".join(rng.choices(signs + ["'s", "it's", "'LL", "12"], k=30)) for _ in range(500)), "漢字 Don't, ½'re", "<|endoftext|> a,b"]
+    own = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in packing.encode(texts, PATH)] == own
+    assert packing.encode([], PATH) == [] and packing.encode(["漢字"], PATH) == [np.array(tokenizer.encode("漢字", add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_words_met_first_stay_when_too_many_are_kept(monkeypatch):
+    kept = packing._tokenizer(PATH)[1]
+    kept.clear()
+    monkeypatch.setattr(packing, "CACHED", 8)
+    packing.encode(["aa bb cc dd ee ff gg hh ii"], PATH)
+    packing.encode(["zz"], PATH)
+    assert list(kept) == ["aa", "bb", "zz"]
