@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,17 +110,57 @@ def cell_history_rows(cells: DataFrame, bins: int, context: int, channels: Seque
     its unit's own axis and, for each of them, the other channels' means; 0 where there is nothing.
 
     Windows follow one another, `bins` cells each, so a cell's place is `position * bins + bin`.
+    A unit's cells meet in one task in the order of their hours and each batch is laid out in arrays, with the hours
+    that the batch before it leaves for its last unit.
     """
-    rows = cells.withColumn("hour", F.col("position") * bins + F.col("bin"))
-    w, side = Window.partitionBy("unit", "channel").orderBy("hour"), Window.partitionBy("unit").orderBy("hour")
-    back = lambda c, i, over: F.coalesce(F.when(F.lag("hour", i).over(over) == F.col("hour") - i, F.lag(c, i).over(over).cast("double")), F.lit(0.0))
-    own = {f"f{i}_{c}": back(c, i, w) for i in range(1, context + 1) for c in CELL}
-    held = rows.select("unit", "channel", "position", "bin", "hour", "presence", *FIVE, *[v.alias(k) for k, v in own.items()]).where("presence = 1")
-    wide = rows.groupBy("unit", "hour").pivot("channel", list(channels)).agg(F.first("mean"))
-    others = wide.select(F.col("unit").alias("_u"), F.col("hour").alias("_h"), *[back(c, i, side).alias(f"o{i}_{c}") for i in range(1, context + 1) for c in channels])
-    out = held.join(others, (F.col("unit") == F.col("_u")) & (F.col("hour") == F.col("_h"))).drop("_u", "_h", "presence")
-    out = out.withColumns({f"o{i}_{c}": F.when(F.col("channel") == c, 0.0).otherwise(F.col(f"o{i}_{c}")) for i in range(1, context + 1) for c in channels})
-    return out, [*own, *[f"o{i}_{c}" for i in range(1, context + 1) for c in channels]]
+    rows = cells.withColumn("hour", F.col("position") * bins + F.col("bin")).select("unit", "channel", "position", "bin", "hour", "presence", *[F.col(c).cast("double").alias(c) for c in CELL if c != "presence"]).where("unit IS NOT NULL AND hour IS NOT NULL")
+    x = [f"f{i}_{c}" for i in range(1, context + 1) for c in CELL] + [f"o{i}_{c}" for i in range(1, context + 1) for c in channels]
+    kinds = dict(rows.dtypes)
+    own = ["unit", "channel", "position", "bin", "hour", *FIVE]
+    place = {c: i for i, c in enumerate(channels)}
+
+    def before(group: np.ndarray, hour: np.ndarray, i: int) -> np.ndarray:
+        """Of rows in the order of groups and hours the place of the one `i` hours before, -1 where a group has none."""
+        at = np.arange(len(hour)) - i
+        there = np.maximum(at, 0)
+        return np.where((at >= 0) & (group[there] == group) & (hour[there] + i == hour), there, -1)
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch]).combine_chunks()
+            new = np.arange(t.num_rows) >= (0 if left is None else left.num_rows)
+            hour = t.column("hour").to_numpy().astype(np.int64)
+            unit = pa.compute.dictionary_encode(t.column("unit"), null_encoding="encode").combine_chunks().indices.to_numpy(zero_copy_only=False)
+            named = pa.compute.dictionary_encode(t.column("channel"), null_encoding="encode").combine_chunks()
+            channel = named.indices.to_numpy(zero_copy_only=False)
+            column = np.array([place.get(c, -1) for c in named.dictionary.to_pylist()])[channel]
+            value = np.column_stack([pa.compute.fill_null(t.column(c).cast(pa.float64()), 0.0).to_numpy() for c in CELL])
+            out = np.zeros((t.num_rows, len(x)))
+            order = np.lexsort((hour, channel, unit))
+            series = np.cumsum(np.concatenate([[False], (unit[order][1:] != unit[order][:-1]) | (channel[order][1:] != channel[order][:-1])]))
+            first = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (hour[1:] != hour[:-1])]))
+            instant = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hour))))
+            wide = np.zeros((len(first), len(channels)))
+            known = column >= 0
+            wide[instant[known], column[known]] = value[known, CELL.index("mean")]
+            for i in range(1, context + 1):
+                at = before(series, hour[order], i)
+                out[order[at >= 0], (i - 1) * len(CELL) : i * len(CELL)] = value[order[at[at >= 0]]]
+                at = before(unit[first], hour[first], i)
+                others = np.where((at >= 0)[:, None], wide[at], 0.0)[instant]
+                others[known, column[known]] = 0.0
+                start = context * len(CELL) + (i - 1) * len(channels)
+                out[:, start : start + len(channels)] = others
+            told = new & (t.column("presence").to_numpy() == 1)
+            held = t.select(own).filter(pa.array(told)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*[held.column(c).combine_chunks() for c in own], *[pa.array(v) for v in out[told].T]], [*own, *x])
+            left = t.filter(pa.array((unit == unit[-1]) & (hour >= hour[-1] - context)))
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in own], *[f"{c} double" for c in x]])
+    return rows.repartition("unit").sortWithinPartitions("unit", "hour", "channel").mapInArrow(laid, schema), x
 
 
 def segments(hourly: DataFrame, context: int, floor: float = 1e-6) -> DataFrame:

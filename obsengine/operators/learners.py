@@ -13,10 +13,14 @@ from .draws import ranked
 from .trees import Trees, fit_trees, score_trees
 
 
+HELD = 64  # squares in a task
+
+
 def moment_sums(rows: DataFrame, keys: Sequence[str], x: Sequence[str], y: str | Sequence[str], fold: str = "fold") -> DataFrame:
     """`(keys, fold, sums)`: the additive sums of products of (1, x, y, or several y), a flattened square for each key and fold.
 
-    Each batch of a task is summed in arrays before anything is shuffled; only squares of the features' number are.
+    A task's batches are summed in arrays before anything is shuffled; only squares of the features' number are. A task
+    holds the squares of at most `HELD` keys and folds before it tells them.
     Rows with a gap take no part.
     """
     columns, keyed = [*x, *([y] if isinstance(y, str) else y)], [*keys, fold]
@@ -24,11 +28,20 @@ def moment_sums(rows: DataFrame, keys: Sequence[str], x: Sequence[str], y: str |
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keyed], "pos int, s double"])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def told() -> Iterator[pd.DataFrame]:
+            for key, s in held.items():
+                yield pd.DataFrame({**dict(zip(keyed, key, strict=True)), "pos": np.arange(s.size, dtype=np.int32), "s": s.ravel()})
+            held.clear()
+
         for b in batches:
             for key, part in b.groupby(keyed, sort=False):
                 z = np.column_stack([np.ones(len(part)), part[columns].to_numpy(float)])
-                s = (z.T @ z).ravel()
-                yield pd.DataFrame({**dict(zip(keyed, key, strict=True)), "pos": np.arange(len(s), dtype=np.int32), "s": s})
+                held[key] = held.get(key, 0.0) + z.T @ z
+                if len(held) > HELD:
+                    yield from told()
+        yield from told()
 
     own = rows.select(*keyed, *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     summed = own.mapInPandas(partial, schema).groupBy(*keyed, "pos").agg(F.sum("s").alias("s"))

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import kept
 from .learners import moment_sums
 
 FLAT = 1e-12  # a feature with less than this sum of squares is constant
@@ -153,16 +154,36 @@ def target_ridges(rows: DataFrame, keys: Sequence[str], x: Sequence[str], ys: Se
 def target_answers(rows: DataFrame, fits: DataFrame, keys: Sequence[str], x: Sequence[str], ys: Sequence[str], bounds: DataFrame | None = None) -> DataFrame:
     """`rows` with `predicted_<target>` for each target; a gap in a feature or a key without a fit gives null.
 
-    With `bounds`, the fitted rows, each feature is held to the range that its key was fitted on.
+    With `bounds`, the fitted rows, each feature is held to the range that its key was fitted on. Fits and ranges, a row
+    for each key, go to every task, which answers a batch of a key's rows at once.
     """
-    wide = fits.groupBy(*keys).pivot("target", list(ys)).agg(F.first(F.struct("intercept", "coefficients")))
-    held = rows.join(wide.select(*keys, *[F.col(y).alias(f"_fit_{y}") for y in ys]), list(keys), "left")
+    lines = {(*[r[k] for k in keys], r["target"]): (r["intercept"], r["coefficients"]) for r in fits.collect()}
+    sides = {}
     if bounds is not None:
-        sides = bounds.dropna(subset=list(x)).groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in x for n, f in (("lo", F.min), ("hi", F.max))])
-        held = held.join(sides, list(keys), "left")
-        value = [F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_lo_{c}")), F.col(f"_hi_{c}"))).cast("double") for c in x]
-    else:
-        value = [F.col(c).cast("double") for c in x]
-    held = kept(held.select(*rows.columns, *[f"_fit_{y}" for y in ys], F.array(*value).alias("_x")))
-    dot = lambda y: F.aggregate(F.zip_with("_x", f"_fit_{y}.coefficients", lambda a, b: a * b), F.col(f"_fit_{y}.intercept"), lambda s, v: s + v)
-    return held.select(*rows.columns, *[dot(y).alias(f"predicted_{y}") for y in ys])
+        found = bounds.dropna(subset=list(x)).groupBy(*keys).agg(F.array(*map(F.min, x)).cast("array<double>").alias("_lo"), F.array(*map(F.max, x)).cast("array<double>").alias("_hi"))
+        sides = {tuple(r[k] for k in keys): (r["_lo"], r["_hi"]) for r in found.collect()}
+    kind = pa.struct([(f"predicted_{y}", pa.float64()) for y in ys])
+
+    @F.arrow_udf(", ".join(f"predicted_{y} double" for y in ys))
+    def answer(*columns: pa.Array) -> pa.Array:
+        own, value = columns[: len(keys)], [pa.compute.fill_null(c, 0.0).to_numpy(zero_copy_only=False) for c in columns[len(keys) :]]
+        whole = np.all([c.is_valid().to_numpy(zero_copy_only=False) for c in columns], axis=0)
+        coded = [c.dictionary_encode(null_encoding="encode") for c in own]
+        codes, which = np.unique(np.column_stack([c.indices.to_numpy() for c in coded]), axis=0, return_inverse=True)
+        names = [c.dictionary.to_pylist() for c in coded]
+        out, known = np.zeros((len(ys), len(whole))), np.zeros((len(ys), len(whole)), bool)
+        for g, code in enumerate(codes):
+            key, at = tuple(n[i] for n, i in zip(names, code, strict=True)), np.flatnonzero((which.ravel() == g) & whole)
+            z = [v[at] for v in value]
+            if key in sides:
+                z = [np.where(np.isnan(v), high, np.minimum(np.maximum(v, low), high)) for v, low, high in zip(z, *sides[key], strict=True)]
+            for j, y in enumerate(ys):
+                if (*key, y) in lines:
+                    s, w = lines[(*key, y)]
+                    for v, c in zip(z, w, strict=True):
+                        s = s + v * c
+                    out[j, at], known[j, at] = s, True
+        return pa.StructArray.from_arrays([pa.array(o, mask=~k) for o, k in zip(out, known, strict=True)], fields=list(kind))
+
+    held = rows.withColumn("_told", answer(*keys, *[F.col(c).cast("double") for c in x]))
+    return held.select(*rows.columns, *[f"_told.predicted_{y}" for y in ys])

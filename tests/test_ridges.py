@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from obsengine.operators import forecasts, layouts, ridges
+from obsengine.operators import forecasts, layouts, learners, ridges
 
 
 def _solved(x, y, penalty):
@@ -102,3 +102,42 @@ def test_pairs_and_autocorrelations_are_those_of_pandas(spark, monkeypatch, size
     own = {p["unit"]: p for p in layouts.unit_autocorrelations(rows, 1, 3).where(F.col("unit") != "flat").collect()}
     for u in own:
         assert own[u]["level"] == pytest.approx(wide[u].autocorr(1)) and own[u]["change"] == pytest.approx(changes[u].autocorr(3))
+
+
+def test_cell_history_reads_cells_once_and_spans_batches(spark):
+    cell = "unit string, position long, channel string, bin int, presence int, log_count double, mean double, minimum double, maximum double, first double, last double, last_offset double, since int"
+    r = np.random.default_rng(4)
+    rows = []
+    for u in range(5):
+        for p in range(6):
+            for c in "abc":
+                if r.random() < 0.7:
+                    rows += [(f"u{u}", p, c, b, int(r.random() < 0.6), 0.7, None if r.random() < 0.1 else float(r.random()), *[float(v) for v in r.random(4)], None, b) for b in range(2)]
+    laid = {(u, c, 2 * p + b): rest for u, p, c, b, *rest in rows}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out, x = forecasts.cell_history_rows(spark.createDataFrame(rows, cell).coalesce(1), 2, 2, ["a", "b"])
+        got = {(t["unit"], t["channel"], t["hour"]): t for t in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Window" not in out._jdf.queryExecution().toString() and set(got) == {k for k, v in laid.items() if v[0]}
+    for (u, c, h), t in got.items():
+        for i in (1, 2):
+            own = laid.get((u, c, h - i), [0] * len(forecasts.CELL))
+            assert [t[f"f{i}_{name}"] for name in forecasts.CELL] == [float(v or 0) for v in own]
+            for o in "ab":
+                assert t[f"o{i}_{o}"] == (0.0 if o == c else float(laid.get((u, o, h - i), [0, 0, 0])[2] or 0))
+
+
+def test_sums_of_a_task_are_told_once(spark, monkeypatch):
+    rows = spark.range(40).selectExpr("cast(id % 2 AS string) AS k", "cast(id % 2 AS int) AS fold", "cast(id AS double) AS x", "cast(id * id AS double) AS y").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    told = []
+    try:
+        seen = type(rows).mapInPandas
+        monkeypatch.setattr(type(rows), "mapInPandas", lambda *a: told.append(seen(*a)) or told[-1])
+        sums = learners.moment_sums(rows, ["k"], ["x"], "y")
+        assert told[0].count() == 2 * 9  # a square for each key and fold, not for each batch
+        assert {s["k"]: s["sums"][:2] for s in sums.collect()} == {"0": [20.0, 380.0], "1": [20.0, 400.0]}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
