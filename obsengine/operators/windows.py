@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,8 +100,15 @@ def cells(tokens: DataFrame, bins: int, frame: DataFrame | None = None) -> DataF
     read = tokens.withColumn("bin", b).groupBy(*WIN, "channel", "bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.min("value").alias("minimum"), F.max("value").alias("maximum"),
         F.min(F.struct("time", "value"))["value"].alias("first"), F.max(F.struct("time", "value")).alias("latest"))
-    held = (tokens if frame is None else frame).select(*WIN, "channel").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    rows = held.join(read, [*WIN, "channel", "bin"], "left")
+    if frame is None:  # a series' bins are packed in a row: readings are laid out once, and nothing is joined
+        told = [c for c in read.columns if c not in (*WIN, "channel")]
+        packed = read.groupBy(*WIN, "channel").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct(*[c for c in told if c != "bin"])))).alias("_read"))
+        named = reduce(lambda a, c: a & F.col(c).isNotNull(), (*WIN, "channel"), F.lit(True))
+        rows = packed.select(*WIN, "channel", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.when(named, F.try_element_at("_read", i)))).alias("bin", "_cell"))
+        rows = rows.select(*WIN, "channel", "bin", *[F.col(f"_cell.{c}").alias(c) for c in told if c != "bin"])
+    else:
+        held = frame.select(*WIN, "channel").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+        rows = held.join(read, [*WIN, "channel", "bin"], "left")
     w = Window.partitionBy(*WIN, "channel").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     carried = F.last(F.col("latest.value"), ignorenulls=True).over(w)
     seen = F.last(F.when(F.col("n").isNotNull(), F.col("bin")), ignorenulls=True).over(w)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from obsengine.operators import forecasts, layouts, learners, ridges
+from obsengine.operators import forecasts, layouts, learners, ridges, windows
 
 
 def _solved(x, y, penalty):
@@ -141,3 +141,13 @@ def test_sums_of_a_task_are_told_once(spark, monkeypatch):
         assert {s["k"]: s["sums"][:2] for s in sums.collect()} == {"0": [20.0, 380.0], "1": [20.0, 400.0]}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_cells_are_laid_out_without_a_join(spark):
+    rows = [("u", 0, "a", 1.0, 0.1, 0.1), ("u", 0, "a", 3.0, 0.2, 0.1), ("u", 0, "a", 5.0, 0.9, 0.7), ("u", 1, None, 2.0, 0.1, 0.1)]
+    tokens = spark.createDataFrame(rows, "unit string, position int, channel string, value double, time double, gap double")
+    out, framed = windows.cells(tokens, 3), windows.cells(tokens, 3, tokens)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and out.dtypes == framed.dtypes
+    assert sorted(out.collect(), key=str) == sorted(framed.collect(), key=str)
+    got = {(c["channel"], c["bin"]): (c["presence"], c["mean"], c["since"]) for c in out.collect()}
+    assert got == {("a", 0): (1, 2.0, 0), ("a", 1): (0, 3.0, 1), ("a", 2): (1, 5.0, 0), **{(None, b): (0, None, None) for b in range(3)}}
