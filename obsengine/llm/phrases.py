@@ -7,7 +7,8 @@
    last k - 1 words must be candidates too (Apriori), and the tasks' reports of it must leave room for the number asked.
 3. The candidates become double-array tries of a bounded size, each broadcast for a pass over the numbered words. Numpy
    takes all positions of a task one level down at a time; a bincount over the accepting states counts them, and the
-   tasks' counts are added up. The same pass reports the next level's candidates.
+   tasks' counts are added up as vectors. The same pass counts what would be the next level's reports by buckets of a
+   hash (Park, Chen and Yu); a second pass reports those alone whose bucket reaches the number asked.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ WORDS = 2_000_000  # of a part
 DISTINCT = 250_000  # words in a part's dictionary
 KEYS = 2_000_000  # distinct phrases that a task holds before it reports
 PHRASES = 500_000  # of a trie
+BLOCK = 4096  # counts of a vector in a row
+SIEVE = 1 << 26  # bytes of a task's buckets at most
 ROOT = 0
 
 
@@ -310,57 +313,131 @@ class DoubleArray:
         return at, state
 
 
-def passed(chunks_: DataFrame, trie: object, first: int, k: int, whole: bool) -> DataFrame:
-    """Counts `(phrase, n)` of a trie's phrases, numbered from `first`, and reports `(lang, phrase, next, n)` of what follows them.
+def _places(batches: Iterator[pa.RecordBatch], own: DoubleArray, k: int, whole: bool) -> Iterator[tuple[np.ndarray, list[tuple[str, np.ndarray]]]]:
+    """Of some rows at a time the trie's phrases, one for each place, and by language the keys of those with a word behind.
 
-    With the `whole` level in one trie, a phrase's report needs its last k words to be a candidate as well.
+    A key is the phrase's number in the trie and the word that follows. With the `whole` level in one trie the last k
+    words have to be a candidate as well.
     """
+    for batch in (rows.slice(i, 500) for rows in batches for i in range(0, rows.num_rows, 500)):
+        ids, sizes = _flat(batch.column("ids"))
+        if not len(ids):
+            continue
+        # a sign before each row but the first: nothing runs from one row into the next
+        before = np.cumsum(sizes)[:-1]
+        row = np.insert(_row(sizes), before, -1)
+        mine = np.insert(_mine(sizes, batch.column("own").to_numpy()), before, False)
+        ids = np.insert(ids, before, -1)
+        symbols = own.symbol(ids)
+        at = np.flatnonzero(symbols >= 0)
+        at, state = own.walk(symbols, at, k)
+        phrase = own.accepts[state]
+        here = mine[at]
+        met, keys = phrase[here], []
+        if k < LONGEST:
+            of = np.full(len(ids) + 1, -1, np.int64)
+            of[at] = phrase
+            at, phrase = at[here], phrase[here]
+            follows = at + k < len(ids)
+            at, phrase = at[follows], phrase[follows]
+            follows = (of[at + 1] >= 0) if whole else ids[at + k] >= 0
+            at, phrase = at[follows], phrase[follows]
+            key = phrase << 32 | ids[at + k]
+            langs = pa.compute.dictionary_encode(batch.column("lang"))
+            lang_of = langs.indices.to_numpy()[row[at]]
+            keys = [(name, key[lang_of == i]) for i, name in enumerate(langs.dictionary.to_pylist())]
+        yield met, keys
+
+
+def buckets(places: int, least: int) -> int:
+    """How many buckets keep the mean of so many places to a quarter of `least`: a power of two, within `SIEVE` bytes."""
+    most = SIEVE // np.min_scalar_type(least).itemsize
+    return min(1 << max(BLOCK.bit_length() + 2, (4 * places // least).bit_length()), 1 << most.bit_length() - 1)
+
+
+def _bucket(keys: np.ndarray, size: int) -> np.ndarray:
+    h = keys.astype(np.uint64)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+VECTORS = pa.schema([("sieve", pa.bool_()), ("block", pa.int64()), ("counts", pa.binary())])
+
+
+def _vectors(sieve: bool, counts: np.ndarray, wide: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of a vector that aren't all zero, up to 64 at a time."""
+    for i in range(0, len(counts), 64 * wide):
+        some = [(j // wide, c.tobytes()) for j in range(i, min(i + 64 * wide, len(counts)), wide) if (c := counts[j : j + wide]).any()]
+        yield pa.RecordBatch.from_arrays([pa.array([sieve] * len(some), pa.bool_()), pa.array([b for b, _ in some], pa.int64()), pa.array([c for _, c in some], pa.binary())], schema=VECTORS)
+
+
+def counted(chunks_: DataFrame, trie: object, k: int, whole: bool, size: int, least: int) -> DataFrame:
+    """`(sieve, block, phrase, n, bits)`: counts of a trie's phrases, and which of `size` buckets of what follows them reach `least`.
+
+    A task tells its counts as vectors in blocks, which are added up block by block. A task's bucket counts to `least` at
+    most; of the sums only a bit is left.
+    """
+    kind = np.min_scalar_type(least)
+    wide = BLOCK * 8 // kind.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: DoubleArray = trie.value
         counts = np.zeros(int(own.accepts.max(initial=-1)) + 1, np.int64)
+        sieve = np.zeros(size if k < LONGEST else 0, kind)
+        for met, found in _places(batches, own, k, whole):
+            counts += np.bincount(met, minlength=len(counts))
+            for _, keys in found:
+                at, n = np.unique(_bucket(keys, size), return_counts=True)
+                sieve[at] = np.minimum(sieve[at] + n, least)
+        yield from _vectors(False, counts, BLOCK)
+        yield from _vectors(True, sieve, wide)
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        sieve, block = (x.as_py() for x in key)
+        total = 0
+        for c in rows.column("counts"):
+            total = total + np.frombuffer(c.as_buffer(), kind if sieve else np.int64).astype(np.int64)
+        if sieve:
+            return pa.table({"sieve": [True], "block": pa.array([block]), "phrase": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "bits": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+        found = np.flatnonzero(total)
+        m = len(found)
+        return pa.table({"sieve": pa.array([False] * m, pa.bool_()), "block": pa.array([block] * m, pa.int64()), "phrase": block * BLOCK + found, "n": total[found], "bits": pa.nulls(m, pa.binary())})
+
+    told = chunks_.mapInArrow(run, "sieve boolean, block long, counts binary")
+    return told.groupBy("sieve", "block").applyInArrow(add, "sieve boolean, block long, phrase long, n long, bits binary")
+
+
+def sieve_of(sums: DataFrame, size: int, least: int) -> np.ndarray:
+    """The buckets' bits in one array of `size / 8` bytes, which `SIEVE` bounds."""
+    wide = BLOCK // np.min_scalar_type(least).itemsize
+    bits = np.zeros(size // 8, np.uint8)
+    found = sums.where("sieve").select("block", "bits").toArrow()
+    for block, b in zip(found.column("block").to_pylist(), found.column("bits"), strict=True):
+        bits[block * wide : (block + 1) * wide] = np.frombuffer(b.as_buffer(), np.uint8)
+    return bits
+
+
+def passed(chunks_: DataFrame, trie: object, sieve: object, first: int, k: int, whole: bool) -> DataFrame:
+    """Reports `(lang, phrase, next, n)` of what follows a trie's phrases, numbered from `first`, where the sieve's bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sieve.value
         seen = Seen()
-        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
-            ids, sizes = _flat(batch.column("ids"))
-            if not len(ids):
-                continue
-            # a sign before each row but the first: nothing runs from one row into the next
-            before = np.cumsum(sizes)[:-1]
-            row = np.insert(_row(sizes), before, -1)
-            mine = np.insert(_mine(sizes, batch.column("own").to_numpy()), before, False)
-            ids = np.insert(ids, before, -1)
-            symbols = own.symbol(ids)
-            at = np.flatnonzero(symbols >= 0)
-            at, state = own.walk(symbols, at, k)
-            phrase = own.accepts[state]
-            here = mine[at]
-            counts += np.bincount(phrase[here], minlength=len(counts))
-            if k < LONGEST:
-                of = np.full(len(ids) + 1, -1, np.int64)
-                of[at] = phrase
-                at, phrase = at[here], phrase[here]
-                follows = at + k < len(ids)
-                at, phrase = at[follows], phrase[follows]
-                follows = (of[at + 1] >= 0) if whole else ids[at + k] >= 0
-                at, phrase = at[follows], phrase[follows]
-                keys = (first + phrase) << 32 | ids[at + k]
-                langs = pa.compute.dictionary_encode(batch.column("lang"))
-                lang_of = langs.indices.to_numpy()[row[at]]
-                for i, name in enumerate(langs.dictionary.to_pylist()):
-                    yield from _reports(seen.add(name, keys[lang_of == i]))
+        for _, found in _places(batches, trie.value, k, whole):
+            for lang, keys in found:
+                at = _bucket(keys, 8 * len(bits))
+                keys = keys[bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1]
+                yield from _reports(seen.add(lang, keys + (first << 32)))
         yield from _reports(seen.close())
-        found = np.flatnonzero(counts)
-        for i in range(0, len(found), 50_000):
-            f = found[i : i + 50_000]
-            yield _batch(len(f), phrase=first + f, n=counts[f])
 
-    return chunks_.select("lang", "ids", "own").mapInArrow(run, SAID)
+    return chunks_.mapInArrow(run, SAID)
 
 
 def bounded(found: DataFrame, least: int) -> DataFrame:
-    """Reported phrases `(phrase, next)` whose reports leave room for `least` occurrences, with their language."""
+    """Reported phrases `(phrase, next, n)` whose reports leave room for `least` occurrences, with their language."""
     most = found.where("next IS NOT NULL").groupBy("lang", "phrase", "next").agg(F.sum("n").alias("n"))
-    return most.where(F.col("n") >= least).select("lang", "phrase", "next")
+    return most.where(F.col("n") >= least).select("lang", "phrase", "next", "n")
 
 
 def with_number(df: DataFrame, to: str, *order: str) -> DataFrame:
@@ -373,18 +450,20 @@ def with_number(df: DataFrame, to: str, *order: str) -> DataFrame:
 
 def counts(docs: DataFrame, least: int = 100, text: str = "text", lang: str = "lang") -> DataFrame:
     """`(lang, phrase, k, f, n)`: phrases of one to five words with at least `least` occurrences, and the language's words."""
-    spark = docs.sparkSession
+    spark, least = docs.sparkSession, max(least, 1)  # what doesn't occur is no phrase
     found = durable(numbered(docs, text, lang))
     totals = durable(found.where("word IS NULL").groupBy("lang").agg(F.sum("n").alias("total")))
     often = found.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     frequent = durable(with_number(often, "id").withColumn("id", F.col("id").cast("int")))
     said = durable(renumbered(found, frequent.select("lang", "word", "id")))
-    chunks_ = said.where("ids IS NOT NULL")
+    # apart from the reports and by language: a phrase is in the tasks of its own language alone
+    chunks_ = said.where("ids IS NOT NULL").select("lang", "ids", "own", F.spark_partition_id().alias("_of"))
+    chunks_ = durable(chunks_.repartitionByRange("lang", "_of").drop("_of"))
     # a phrase of each level as its words' numbers
     level = frequent.select("lang", F.col("id").cast("long").alias("phrase"), F.array("id").alias("ids"), "f")
     levels = [level.select("lang", "ids", "f")]
     for k in range(2, LONGEST + 1):
-        new = bounded(said, least).join(level.select(F.col("phrase").alias("_head"), "ids"), F.col("phrase") == F.col("_head")).select("lang", F.concat("ids", F.array("next")).alias("ids"))
+        new = bounded(said, least).join(level.select(F.col("phrase").alias("_head"), "ids"), F.col("phrase") == F.col("_head")).select("lang", F.concat("ids", F.array("next")).alias("ids"), "n")
         candidates = durable(new)
         n = candidates.count()
         shards = -(-n // PHRASES)
@@ -393,22 +472,29 @@ def counts(docs: DataFrame, least: int = 100, text: str = "text", lang: str = "l
         # a shard is the phrases of some first words: a bounded table, from which the driver lays one trie
         spread = candidates.withColumn("_shard", F.pmod(F.xxhash64(F.slice("ids", 1, 2)), F.lit(shards)))
         spread = durable(spread) if shards > 1 else spread
-        passes, table, first = [], [], 0
+        passes, table, exact, first = [], [], [], 0
         for shard in range(shards):
-            rows = spread.where(F.col("_shard") == shard).select("ids", "lang").toArrow()
+            rows = spread.where(F.col("_shard") == shard).select("ids", "lang", "n").toArrow()
             flat, _ = _flat(rows.column("ids").combine_chunks())
             phrases = flat.reshape(-1, k)
             order = np.lexsort(phrases.T[::-1])
             phrases = phrases[order]
             trie = spark.sparkContext.broadcast(DoubleArray(phrases))
             table.append(durable(spark.createDataFrame(pa.table({"phrase": np.arange(first, first + len(phrases)), "ids": pa.FixedSizeListArray.from_arrays(pa.array(phrases.ravel()), k).cast(pa.list_(pa.int32())), "lang": rows.column("lang").take(pa.array(order))}))))
-            passes.append(durable(passed(chunks_, trie, first, k, shards == 1)))
+            size = buckets(pa.compute.sum(rows.column("n")).as_py() or 0, least)
+            sums = durable(counted(chunks_, trie, k, shards == 1, size, least))
+            exact.append(sums.where("NOT sieve").select((F.col("phrase") + first).alias("phrase"), F.col("n").alias("f")))
+            if k < LONGEST:
+                sieve = spark.sparkContext.broadcast(sieve_of(sums, size, least))
+                passes.append(durable(passed(chunks_, trie, sieve, first, k, shards == 1)))
+                sieve.unpersist()
             trie.unpersist()
             first += len(phrases)
-        said = reduce(DataFrame.unionByName, passes)
-        exact = said.where("next IS NULL AND phrase IS NOT NULL").groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        level = durable(reduce(DataFrame.unionByName, table).join(exact, "phrase").select("lang", "phrase", "ids", "f"))
+        known = reduce(DataFrame.unionByName, exact).where(F.col("f") >= least)
+        level = durable(reduce(DataFrame.unionByName, table).join(known, "phrase").select("lang", "phrase", "ids", "f"))
         levels.append(level.select("lang", "ids", "f"))
+        if passes:
+            said = reduce(DataFrame.unionByName, passes)
     all_ = durable(reduce(DataFrame.unionByName, levels))
     places = all_.select("lang", "ids", "f", F.posexplode("ids").alias("_at", "id")).join(frequent.select("id", "word"), "id")
     spelled = places.groupBy("lang", "ids", "f").agg(F.array_sort(F.collect_list(F.struct("_at", F.col("word").cast("string").alias("word")))).alias("_words"))

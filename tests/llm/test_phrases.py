@@ -58,6 +58,41 @@ def test_shards_parts_and_reports_change_nothing(spark, monkeypatch):
     assert sorted(tuple(r) for r in phrases.collocations(docs, 25, 50).collect()) == plain(ROWS, 25, 50)
 
 
+@pytest.mark.parametrize(("sieve", "block", "least"), [(8, 4096, 25), (1 << 26, 3, 25), (64, 8, 300)])
+def test_sieves_that_all_keys_share_and_short_blocks_change_nothing(spark, monkeypatch, sieve, block, least):
+    monkeypatch.setattr(phrases, "SIEVE", sieve)
+    monkeypatch.setattr(phrases, "BLOCK", block)
+    docs = spark.createDataFrame(ROWS, "text string, lang string").repartition(3)
+    assert sorted(tuple(r) for r in phrases.collocations(docs, least, 50).collect()) == plain(ROWS, least, 50)
+
+
+def test_rare_phrases_with_frequent_parts_are_not_reported(spark, monkeypatch):
+    """All pairs of 12 words are frequent, hardly a triple is: of 1728 triples in each task a few are told."""
+    r = random.Random(5)
+    rows = [(" ".join(r.choice("abcdefghijkl") for _ in range(4000)) + ". x y z" * 40, "en") for _ in range(4)]
+    said, durable = [], phrases.durable
+
+    def kept(df):
+        said.append(durable(df))
+        return said[-1]
+
+    monkeypatch.setattr(phrases, "durable", kept)
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    assert sorted(tuple(x) for x in phrases.collocations(docs, 30, 2000).collect()) == plain(rows, 30, 2000)
+    reports = [d.where("next IS NOT NULL").count() for d in said if {"next", "own"} <= set(d.columns)]
+    assert len(reports) > 1 and sum(reports[1:]) < 100  # after the pairs
+
+
+@pytest.mark.parametrize("least", [3, 300, 70_000])
+def test_buckets_are_bounded(least):
+    for places in (0, 1, 10**6, 10**12):
+        size = phrases.buckets(places, least)
+        assert size & size - 1 == 0 and size * np.min_scalar_type(least).itemsize <= phrases.SIEVE
+        keys = np.random.default_rng(0).integers(0, 1 << 50, 1000)
+        at = phrases._bucket(keys, size)
+        assert at.min() >= 0 and at.max() < size and len(np.unique(at)) > 900
+
+
 def test_sql_is_the_definition():
     db = duckdb.connect()
     db.execute("CREATE TABLE documents (text VARCHAR, lang VARCHAR)")
