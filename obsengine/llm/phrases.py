@@ -319,7 +319,7 @@ def _places(batches: Iterator[pa.RecordBatch], own: DoubleArray, k: int, whole:
     A key is the phrase's number in the trie and the word that follows. With the `whole` level in one trie the last k
     words have to be a candidate as well.
     """
-    for batch in (rows.slice(i, 500) for rows in batches for i in range(0, rows.num_rows, 500)):
+    for batch in (rows.slice(i, 250) for rows in batches for i in range(0, rows.num_rows, 250)):
         ids, sizes = _flat(batch.column("ids"))
         if not len(ids):
             continue
@@ -458,7 +458,8 @@ def counts(docs: DataFrame, least: int = 100, text: str = "text", lang: str = "l
     said = durable(renumbered(found, frequent.select("lang", "word", "id")))
     # apart from the reports and by language: a phrase is in the tasks of its own language alone
     chunks_ = said.where("ids IS NOT NULL").select("lang", "ids", "own", F.spark_partition_id().alias("_of"))
-    chunks_ = durable(chunks_.repartitionByRange("lang", "_of").drop("_of"))
+    # a pass is two tasks a core, however long the text: what tasks tell of a phrase or bucket grows with the cores alone
+    chunks_ = durable(chunks_.repartitionByRange("lang", "_of").drop("_of")).coalesce(2 * spark.sparkContext.defaultParallelism)
     # a phrase of each level as its words' numbers
     level = frequent.select("lang", F.col("id").cast("long").alias("phrase"), F.array("id").alias("ids"), "f")
     levels = [level.select("lang", "ids", "f")]

@@ -83,6 +83,31 @@ def test_rare_phrases_with_frequent_parts_are_not_reported(spark, monkeypatch):
     assert len(reports) > 1 and sum(reports[1:]) < 100  # after the pairs
 
 
+def test_passes_tell_a_phrase_twice_a_core_at_most_however_many_files_there_are(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(" ".join(f"{r.choice('abc')} b c d" for _ in range(500)), "en") for _ in range(40)]
+    said, durable = [], phrases.durable
+
+    def kept(df):
+        # many rows, each a file
+        said.append(durable(df.repartition(60) if df.columns == ["lang", "ids", "own"] else df))
+        return said[-1]
+
+    monkeypatch.setattr(phrases, "durable", kept)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "1m")
+        docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+        assert sorted(tuple(x) for x in phrases.collocations(docs, 30, 2000).collect()) == plain(rows, 30, 2000)
+        reports = [d for d in said if {"next", "own"} <= set(d.columns)][1:]
+        most = [d.where("next IS NOT NULL").groupBy("phrase", "next").count().selectExpr("max(count)").first()[0] for d in reports]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert reports and max(most) <= 2 * spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("least", [3, 300, 70_000])
 def test_buckets_are_bounded(least):
     for places in (0, 1, 10**6, 10**12):
