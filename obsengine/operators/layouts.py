@@ -126,7 +126,11 @@ def fleet_correlations(hourly: DataFrame) -> DataFrame:
     return rows.join(fleet, ["channel", "hour"]).groupBy("channel").agg(F.count(F.lit(1)).alias("changes"), F.corr("change", "fleet").alias("correlation"))
 
 
-UNITS_A_BLOCK, HOURS_A_BLOCK, VALUES_A_BLOCK = 1024, 2048, 1 << 20
+UNITS_A_BLOCK, HOURS_A_BLOCK, VALUES_A_BLOCK = 4096, 2048, 1 << 20
+BLOCKS = 8  # of a channel's units, so that few units are many tasks too
+ROWS_AT_ONCE = 1 << 16
+MEETINGS_AT_ONCE = 1 << 18  # of two units in one hour
+SPARSE = 24  # a meeting takes as long as so many cells of matrix products
 
 
 def hourly_changes(hourly: DataFrame) -> DataFrame:
@@ -135,44 +139,83 @@ def hourly_changes(hourly: DataFrame) -> DataFrame:
     return hourly.withColumn("change", F.when(F.lag("hour").over(w) == F.col("hour") - 1, F.col("mean") - F.lag("mean").over(w)))
 
 
-def _pair_sums(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], strip: int = 256) -> Iterator[tuple[int, np.ndarray]]:
-    """For strips of the `left` series `(hours, changes)`: where the strip begins and the sums n, x, y, xy, xx and yy
-    `(6, strip, right)` over the hours that two series share, taken over spans of hours."""
-    flat = lambda side: (np.repeat(np.arange(len(side)), [len(h) for h, _ in side]), np.concatenate([h for h, _ in side]), np.concatenate([v for _, v in side]))
-    j, hours, y = flat(right)
-    axis = np.unique(hours)
+def _flat(side: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The series `(hours, changes)` one after another: which series, hours, changes."""
+    return np.repeat(np.arange(len(side)), [len(h) for h, _ in side]), np.concatenate([h for h, _ in side]), np.concatenate([v for _, v in side])
+
+
+def _pair_sums(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], least: int, strip: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For strips of the `left` series `(hours, changes)`: the pairs that share at least `least` hours, as numbers of left
+    and right, and their sums n, x, y, xy, xx and yy `(6, pairs)` over these hours.
+
+    Where series seldom meet, sums run over their meetings, else they are products of matrices, over spans of hours.
+    """
+    j, hours, y = _flat(right)
+    i, own, x = _flat(left)
+    axis, held = np.unique(hours, return_counts=True)
+    place = np.searchsorted(axis, own)
+    met = axis[np.minimum(place, len(axis) - 1)] == own
+    i, place, x = i[met], place[met], x[met]
+    if SPARSE * int(held[place].sum()) <= len(left) * len(right) * len(axis):
+        yield from _sums_of_meetings((i, place, x), (j, hours, y), held, len(left), len(right), least)
+        return
     at = np.searchsorted(axis, hours)
     for low in range(0, len(left), strip):
-        part = left[low : low + strip]
-        i, own, x = flat(part)
-        place = np.searchsorted(axis, own)
-        met = axis[np.minimum(place, len(axis) - 1)] == own
-        i, place, x = i[met], place[met], x[met]
-        sums = np.zeros((6, len(part), len(right)))
+        part = slice(*np.searchsorted(i, (low, low + strip)))
+        size = min(strip, len(left) - low)
+        sums = np.zeros((6, size, len(right)))
         for start in range(0, len(axis), HOURS_A_BLOCK):
             n = min(HOURS_A_BLOCK, len(axis) - start)
-            a, b = (place >= start) & (place < start + n), (at >= start) & (at < start + n)
-            p, xs, q, ys = (np.zeros((n, size)) for size in (len(part), len(part), len(right), len(right)))
-            p[place[a] - start, i[a]], xs[place[a] - start, i[a]] = 1, x[a]
+            a, b = (place[part] >= start) & (place[part] < start + n), (at >= start) & (at < start + n)
+            p, xs, q, ys = (np.zeros((n, k)) for k in (size, size, len(right), len(right)))
+            cells = place[part][a] - start, i[part][a] - low
+            p[cells], xs[cells] = 1, x[part][a]
             q[at[b] - start, j[b]], ys[at[b] - start, j[b]] = 1, y[b]
             for s, (u, v) in zip(sums, ((p, q), (xs, q), (p, ys), (xs, ys), (xs**2, q), (p, ys**2)), strict=True):
                 s += u.T @ v
-        yield low, sums
+        found = np.nonzero(sums[0] >= least)
+        yield low + found[0], found[1], sums[:, found[0], found[1]]
+
+
+def _sums_of_meetings(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], held: np.ndarray, lefts: int, rights: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """`_pair_sums` by counting: shared hours are counted first, and changes of the pairs with enough of them are added up."""
+    i, place, x = left
+    j, hours, y = right
+    order = np.argsort(hours, kind="stable")
+    j, y = j[order], y[order]
+    n, starts = held[place], (np.cumsum(held) - held)[place]
+    ends = np.searchsorted(i, np.arange(lefts + 1))
+    before = np.concatenate(([0], np.cumsum(n)))[ends]  # meetings of all series before
+    low = 0
+    while low < lefts:
+        high = max(low + 1, int(np.searchsorted(before, before[low] + MEETINGS_AT_ONCE, "right")) - 1)
+        part = slice(ends[low], ends[high])
+        m = n[part]
+        at = np.arange(m.sum()) + np.repeat(starts[part] - (np.cumsum(m) - m), m)
+        pair = np.repeat((i[part] - low) * rights, m) + j[at]
+        shared = np.bincount(pair, minlength=(high - low) * rights)
+        enough = shared >= least
+        pairs, some = np.flatnonzero(enough), np.flatnonzero(enough[pair])
+        number = (np.cumsum(enough) - 1)[pair[some]]
+        xs, ys = np.repeat(x[part], m)[some], y[at[some]]
+        yield low + pairs // rights, pairs % rights, np.stack([shared[pairs].astype(float), *[np.bincount(number, v, len(pairs)) for v in (xs, ys, xs * ys, xs * xs, ys * ys)]])
+        low = high
 
 
 def unit_pair_correlations(hourly: DataFrame, least: int = 3) -> DataFrame:
     """`(channel, a, b, shared, correlation)`: of every two units the correlation of their hourly changes over the
     hours in which both changed; pairs with fewer than `least` are left out, a unit that never varies there gives null.
 
-    A unit's changes are one row, units stand in blocks, and two blocks meet once, as matrices of values and of presence
-    whose products are all sums that a correlation with gaps needs. A pair is told where its blocks meet, so no row of a
-    pair is shuffled; a block is sent once for each block, and the longer the series the smaller the blocks.
+    A unit's changes are one row, units stand in blocks, and two blocks meet once. Where their units seldom change in the
+    same hour, sums run over the meetings alone and only for pairs that share enough; else the blocks are matrices of values
+    and of presence, whose products are all sums that a correlation with gaps needs. A pair is told where its blocks meet, so
+    no row of a pair is shuffled; a block is sent once for each block, and the longer the series the smaller the blocks.
     """
     rows = hourly_changes(hourly).where("change IS NOT NULL AND unit IS NOT NULL AND channel IS NOT NULL")
     series = rows.groupBy("channel", "unit").agg(F.sort_array(F.collect_list(F.struct(F.col("hour").cast("long").alias("hour"), F.col("change").cast("double").alias("change")))).alias("_s"))
     series = kept(series.where(F.size("_s") >= least).select("channel", "unit", F.col("_s.hour").alias("hours"), F.col("_s.change").alias("changes")))
-    longest = series.agg(F.max(F.size("hours"))).first()[0] or 1
-    a_block = max(1, min(UNITS_A_BLOCK, VALUES_A_BLOCK // longest))
+    longest, most = series.groupBy("channel").agg(F.max(F.size("hours")).alias("l"), F.count("*").alias("n")).agg(F.max("l"), F.max("n")).first()
+    a_block = max(1, min(UNITS_A_BLOCK, VALUES_A_BLOCK // (longest or 1), max(256, -(-(most or 1) // BLOCKS))))
     placed = digest_position(series.withColumn("_d", F.sha2(F.col("unit").cast("string"), 256)), "_d", ["unit"], ["channel"], "_at")
     placed = placed.withColumn("_block", F.floor((F.col("_at") - 1) / a_block).cast("int"))
     last = placed.groupBy("channel").agg(F.max("_block").alias("_last"))
@@ -182,33 +225,29 @@ def unit_pair_correlations(hourly: DataFrame, least: int = 3) -> DataFrame:
     high = own.where("_block > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("_block") - 1)).alias("_i"), F.col("_block").alias("_j"), F.lit(False).alias("_left")).select(told)
     kinds = dict(rows.dtypes)
 
-    def meet(part: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
-        names, side = part["unit"].to_pylist(), part["_left"].to_numpy()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(list(batches)).combine_chunks()
+        unit, side, channel = pa.concat_arrays(part["unit"].chunks), part["_left"].to_numpy(), part["channel"][0]
+        names = unit.to_pylist()
         series = [(h.values.to_numpy(), v.values.to_numpy()) for h, v in zip(part["hours"], part["changes"], strict=True)]
         place = np.empty(len(names), np.int64)
         place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
         left = np.flatnonzero(side)
         right, same = (left, True) if side.all() else (np.flatnonzero(~side), False)
-        first, second, counts, values = [], [], [], []
-        for at, s in _pair_sums([series[k] for k in left], [series[k] for k in right]) if len(left) and len(right) else ():
-            i, j = np.nonzero(s[0] >= least)
-            x, y = left[at + i], right[j]
+        for i, j, sums in _pair_sums([series[k] for k in left], [series[k] for k in right], least) if len(left) and len(right) else ():
+            x, y = left[i], right[j]
             if same:
                 keep = place[x] < place[y]
-                i, j, x, y = i[keep], j[keep], x[keep], y[keep]
-            n, sx, sy, sxy, sxx, syy = s[:, i, j]
+                x, y, sums = x[keep], y[keep], sums[:, keep]
+            n, sx, sy, sxy, sxx, syy = sums
             vx, vy = sxx - sx * sx / n, syy - sy * sy / n
             varies = (vx > 1e-9 * sxx) & (vy > 1e-9 * syy)  # else it is rounding
             r = np.divide(sxy - sx * sy / n, np.sqrt(vx * vy, where=varies, out=np.ones_like(vx)))
             turned = place[x] > place[y]
-            first.append(np.where(turned, y, x))
-            second.append(np.where(turned, x, y))
-            counts.append(n.astype(np.int64))
-            values.append(pa.array(r, mask=~varies))
-        taken = lambda found: part["unit"].take(pa.array(np.concatenate(found or [np.zeros(0, np.int64)])))
-        a = taken(first)
-        return pa.table({"channel": part["channel"].take(pa.array(np.zeros(len(a), np.int64))), "a": a, "b": taken(second), "shared": np.concatenate(counts or [np.zeros(0, np.int64)]), "correlation": pa.chunked_array(values or [pa.array([], pa.float64())])})
+            ends = [unit.take(pa.array(np.where(turned, *at))) for at in ((y, x), (x, y))]
+            told = [pa.repeat(channel, len(x)), *ends, pa.array(n.astype(np.int64)), pa.array(r, mask=~varies)]
+            for at in range(0, len(x), ROWS_AT_ONCE):
+                yield pa.RecordBatch.from_arrays([c.slice(at, ROWS_AT_ONCE) for c in told], ["channel", "a", "b", "shared", "correlation"])
 
     return low.unionByName(high).groupBy("channel", "_i", "_j").applyInArrow(meet, f"channel {kinds['channel']}, a {kinds['unit']}, b {kinds['unit']}, shared long, correlation double")
 

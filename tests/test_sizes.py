@@ -182,3 +182,26 @@ def test_cells_and_rows_of_cell_values_are_computed_once(spark, monkeypatch):
     monkeypatch.setattr(fits, "kept", lambda df: seen.append(df.columns) or plain(df))
     fits.i9_cell_values(spark, "/root/testdata/sf0.001")
     assert [("presence" in c, "hidden" in c, "fold" in c) for c in seen][0] == (True, False, False) and len(seen) == 3 and "fold" in seen[-1]
+
+
+def test_pairs_that_seldom_meet_are_counted_before_they_are_summed(monkeypatch):
+    r = np.random.default_rng(3)
+    series = []
+    for _ in range(40):
+        hours = np.flatnonzero(r.random(1500) < 0.08)
+        series.append((hours, r.normal(size=len(hours))))
+    found = {}
+    for name, sparse, at_once in (("meetings", 1, 1000), ("meetings at once", 1, 1 << 20), ("products", 10**9, 1 << 20)):
+        monkeypatch.setattr(layouts, "SPARSE", sparse)
+        monkeypatch.setattr(layouts, "MEETINGS_AT_ONCE", at_once)
+        found[name] = {(i, j): s for a, b, sums in layouts._pair_sums(series[:15], series, 8) for i, j, s in zip(a.tolist(), b.tolist(), sums.T, strict=True)}
+    assert 100 < len(found["products"]) < 15 * 40
+    for (i, j), s in found["products"].items():
+        (g, x), (h, y) = series[i], series[j]
+        x, y = x[np.isin(g, h)], y[np.isin(h, g)]
+        assert s == pytest.approx([len(x), x.sum(), y.sum(), x @ y, x @ x, y @ y])
+    for name in ("meetings", "meetings at once"):
+        assert found[name].keys() == found["products"].keys() and all(found[name][p] == pytest.approx(s) for p, s in found["products"].items())
+    monkeypatch.setattr(layouts, "SPARSE", 24)
+    monkeypatch.setattr(layouts, "HOURS_A_BLOCK", 0)  # no matrix could be made
+    assert sum(len(a) for a, _, _ in layouts._pair_sums(series, series, 8)) > 0
